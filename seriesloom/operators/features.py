@@ -17,6 +17,7 @@ from seriesloom.functions.lanes import Lanes
 from seriesloom.operators.running_median import expanding_median
 
 REACH = 31
+EWM_BLOCK = 400.0
 
 
 def ewm_name(signal: str, alpha: float) -> str:
@@ -61,59 +62,69 @@ def add_baseline(lanes: Lanes, df: DataFrame, prefix: str, value: Column, least:
                     enough(F.col("_x_n"), least, F.col("_x_std")).alias(f"{prefix}_base_std"))
 
 
-def add_ewma(lanes: Lanes, df: DataFrame, value: Column, out: dict[float, str]) -> DataFrame:
-    """Exponential smoothing of the previous rows, one column per alpha (no bias adjustment).
+def add_ewma(lanes: Lanes, df: DataFrame, values: dict[str, Column], alphas: Sequence[float]) -> DataFrame:
+    """Exponential smoothing of the previous rows: ``ewm_name(signal, alpha)`` for every pair.
 
-    The recurrence y <- a*y + (1-a)*x has a closed form: a sum of x weighted by products of a. With
-    L = -sum(ln a), the sum is cut into blocks of 100 units of L; a term two blocks back weighs less
-    than e-100 of the result, so the running sum of a block plus the total of the block before is all
-    that counts. A null leaves the value as it is, but ages it: after g rows without a value, a is
-    (1-alpha)^g / ((1-alpha)^g + alpha).
+    The recurrence y <- a*y + (1-a)*x is a sum of x weighted by products of a. With L = -sum(ln a) the sum
+    is cut into blocks of L; a term two blocks back weighs less than e-37 of the result, so the running
+    sum of a row's block plus the total of the block before is all that counts. A null leaves y as it is
+    but ages it: g rows after the last value, a = (1-alpha)^g / ((1-alpha)^g + alpha).
     """
     names = df.columns
-    x = df.withColumn("_u", F.lag(value.cast("double")).over(lanes.window))
-    x = lanes.running(x, last=-1, _seen=("max", F.when(F.col("_u").isNotNull(), F.col("step"))))
-    age = F.least(F.col("step") - F.col("_seen"), F.lit(3000)).cast("double")
-    cost = {}
-    for i, alpha in enumerate(out):
-        grown = F.lit(alpha) * F.exp(age * F.lit(-math.log(1 - alpha)))
-        # alpha * (1-alpha)^-g; ln(1 + that) is -ln(a)
-        x = x.withColumn(f"_g{i}", grown)
-        cost[f"_L{i}"] = ("sum", F.when(F.col("_u").isNotNull(), F.coalesce(F.log1p(F.col(f"_g{i}")), F.lit(0.0))))
-    x = lanes.running(x, **cost)
-    for i in range(len(out)):
-        fresh = F.when(F.col("_seen").isNull(), F.lit(1.0)).otherwise(F.col(f"_g{i}") / (1 + F.col(f"_g{i}")))
-        block = F.floor(F.col(f"_L{i}") / 100.0)
-        x = (x.withColumn(f"_b{i}", block)
-             .withColumn(f"_w{i}", fresh * F.col("_u") * F.exp(F.col(f"_L{i}") - F.col(f"_b{i}") * 100.0)))
-    if lanes.split:
-        x = _ewma_split(lanes, x, out)
-    else:
-        for i in range(len(out)):
-            near = (Window.partitionBy(*lanes.key, f"_b{i}").orderBy(*lanes.order)
-                    .rowsBetween(Window.unboundedPreceding, 0))
-            back = Window.partitionBy(*lanes.key).orderBy(f"_b{i}").rangeBetween(-1, -1)
-            x = x.withColumn(f"_s{i}", F.sum(f"_w{i}").over(near)).withColumn(f"_p{i}", F.sum(f"_w{i}").over(back))
+    alphas = sorted(alphas, reverse=True)        # the first one ages fastest and cuts the blocks
+    if math.log(1 - alphas[-1]) / math.log(1 - alphas[0]) * EWM_BLOCK < 37:
+        raise ValueError("alphas too far apart for one set of blocks")
+    x = df.select("*", *[F.lag(v.cast("double")).over(lanes.window).alias(f"_u_{s}") for s, v in values.items()])
+    x = lanes.running(x, last=-1, **{f"_seen_{s}": ("max", F.when(F.col(f"_u_{s}").isNotNull(), F.col("step")))
+                                     for s in values})
+    grown, cost = [], {}
+    for s in values:
+        age = F.coalesce((F.col("step") - F.col(f"_seen_{s}")).cast("double"), F.lit(0.0))
+        for i, a in enumerate(alphas):
+            power = F.least(age * F.lit(-math.log(1 - a)), F.lit(500.0))
+            g = F.when(F.col(f"_seen_{s}").isNotNull(), F.lit(a) * F.exp(power))
+            grown.append(g.alias(f"_g{i}_{s}"))
+            cost[f"_L{i}_{s}"] = ("sum", F.when(F.col(f"_u_{s}").isNotNull(),
+                                                F.coalesce(F.log1p(F.col(f"_g{i}_{s}")), F.lit(0.0))))
+    x = lanes.running(x.select("*", *grown), **cost)
+    x = x.select("*", *[F.floor(F.col(f"_L0_{s}") / EWM_BLOCK).alias(f"_b_{s}") for s in values])
     made = []
-    for i, name in enumerate(out.values()):
-        local = F.col(f"_L{i}") - F.col(f"_b{i}") * 100.0
-        here = F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) * F.exp(-local)
-        past = F.coalesce(F.col(f"_p{i}"), F.lit(0.0)) * F.exp(-local - 100.0)
-        made.append(F.when(F.col(f"_s{i}").isNotNull() | F.col(f"_p{i}").isNotNull(), here + past).alias(name))
+    for s in values:
+        x = _ewma_blocks(lanes, x, s, len(alphas))
+        for i, a in enumerate(alphas):
+            level = F.col(f"_L{i}_{s}")
+            here = F.col(f"_s{i}") * F.exp(F.col(f"_r{i}") - level)
+            past = F.col(f"_p{i}") * F.exp(F.col(f"_q{i}") - level)
+            x = x.withColumn(ewm_name(s, a), F.when(here.isNull() | past.isNull(), F.coalesce(here, past))
+                             .otherwise(here + past))
+            made.append(ewm_name(s, a))
+        x = x.drop(*[f"_{c}{i}" for c in "srpqw" for i in range(len(alphas))])
     return x.select(*names, *made)
 
 
-def _ewma_split(lanes: Lanes, x: DataFrame, out: dict[float, str]) -> DataFrame:
-    """Blocks hold few rows each, so they are windows of their own; the block before comes by a join."""
-    own = ~F.col("_echo")
-    for i in range(len(out)):
-        near = (Window.partitionBy(*lanes.key, f"_b{i}").orderBy("_echo", *lanes.order)
-                .rowsBetween(Window.unboundedPreceding, 0))
-        x = x.withColumn(f"_s{i}", F.sum(F.when(own, F.col(f"_w{i}"))).over(near))
-        before = (x.where(own).groupBy(*lanes.key, (F.col(f"_b{i}") + 1).alias(f"_b{i}"))
-                  .agg(F.sum(f"_w{i}").alias(f"_p{i}")))
-        x = x.join(before, [*lanes.key, f"_b{i}"], "left")
-    return x
+def _ewma_blocks(lanes: Lanes, x: DataFrame, s: str, n: int) -> DataFrame:
+    """Per alpha: running sum ``_s`` and origin ``_r`` of the row's block, ``_p`` and ``_q`` of the one before."""
+    block = f"_b_{s}"
+    own = (lambda c: F.when(~F.col("_echo"), c)) if lanes.split else (lambda c: c)
+    so_far = (Window.partitionBy(*lanes.key, block).orderBy(*(["_echo"] if lanes.split else []), *lanes.order)
+              .rowsBetween(Window.unboundedPreceding, 0))
+    # L never falls inside a series, so its running minimum is its value at the start of the block.
+    x = x.select("*", *[F.min(own(F.col(f"_L{i}_{s}"))).over(so_far).alias(f"_r{i}") for i in range(n)])
+    weight = []
+    for i in range(n):
+        g = F.col(f"_g{i}_{s}")
+        fresh = F.when(g.isNull(), F.lit(1.0)).otherwise(g / (1 + g))
+        weight.append((fresh * F.col(f"_u_{s}") * F.exp(F.col(f"_L{i}_{s}") - F.col(f"_r{i}"))).alias(f"_w{i}"))
+    x = x.select("*", *weight)
+    x = x.select("*", *[F.sum(own(F.col(f"_w{i}"))).over(so_far).alias(f"_s{i}") for i in range(n)])
+    if lanes.split:
+        before = (x.where(~F.col("_echo")).groupBy(*lanes.key, (F.col(block) + 1).alias(block))
+                  .agg(*[F.sum(f"_w{i}").alias(f"_p{i}") for i in range(n)],
+                       *[F.min(f"_r{i}").alias(f"_q{i}") for i in range(n)]))
+        return x.join(before, [*lanes.key, block], "left")
+    back = Window.partitionBy(*lanes.key).orderBy(block).rangeBetween(-1, -1)
+    return x.select("*", *[F.max_by(f"_s{i}", "step").over(back).alias(f"_p{i}") for i in range(n)],
+                    *[F.min(f"_r{i}").over(back).alias(f"_q{i}") for i in range(n)])
 
 
 def weight_columns(lanes: Lanes, df: DataFrame, weight="weight") -> DataFrame:
@@ -175,7 +186,7 @@ def build_features(lanes: Lanes, config: Config = Config(), df: DataFrame | None
     pair = {"sbp", "dbp"} <= have and set(config.signals) == {"sbp", "dbp"}
     for s in config.signals:
         df = add_baseline(lanes, df, s, F.col(s))
-        df = add_ewma(lanes, df, F.col(s), {a: ewm_name(s, a) for a in config.alphas})
+    df = add_ewma(lanes, df, {s: F.col(s) for s in config.signals}, config.alphas)
     if pair:
         df = add_baseline(lanes, df, "_pp", F.col("sbp") - F.col("dbp"))
     if "heart_rate" in have:

@@ -104,7 +104,7 @@ def smoothed_with_holes(spark, sf) -> DataFrame:
     """A third of the values missing: a missing value ages the smoothed level without changing it."""
     lanes = event_lanes(spark, sf)
     v = F.when(F.col("seq") % 3 != 0, F.col("sbp"))
-    out = lanes.done(W.add_ewma(lanes, lanes.df, v, {0.1: "v_ewm10", 0.3: "v_ewm30"}))
+    out = lanes.done(W.add_ewma(lanes, lanes.df, {"v": v}, (0.1, 0.3)))
     return pick(out, ["v_ewm10", "v_ewm30"])
 
 
@@ -217,7 +217,7 @@ def target_alignment(spark, sf) -> DataFrame:
 
 @query("line_item_features", """
 SELECT l_partkey AS series_id, count(*) AS n, """ + ", ".join(
-    f"round(avg({e}), 4) AS {n}" for n, e in (("lag1", "lag1"), ("mean7", "mean7"), ("std14", "std14"), ("slope7", "slope7"),
+    f"{sr(f'avg({e})')} AS {n}" for n, e in (("lag1", "lag1"), ("mean7", "mean7"), ("std14", "std14"), ("slope7", "slope7"),
                                               ("base_mean", "base_mean"))) + """
 FROM (SELECT l_partkey, lag(l_extendedprice) OVER w AS lag1,
   CASE WHEN count(*) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) >= 2
@@ -240,7 +240,7 @@ def line_item_features(spark, sf) -> DataFrame:
     f = W.build_features(lanes, config)
     s = "l_extendedprice"
     return f.groupBy("series_id").agg(F.count("*").alias("n"), *[
-        F.round(F.avg(f"{s}_{n}"), 4).alias(n) for n in ("lag1", "mean7", "std14", "slope7", "base_mean")])
+        r(F.avg(f"{s}_{n}")).alias(n) for n in ("lag1", "mean7", "std14", "slope7", "base_mean")])
 
 
 @query("feature_list")

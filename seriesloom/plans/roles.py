@@ -86,9 +86,13 @@ def event_lanes(spark, sf, reach: int = 31) -> Lanes:
 
 
 def r(c, digits: int = 6) -> Column:
-    """Rounded for comparison; adding zero turns -0.0 into 0.0."""
+    """Rounded for comparison.
+
+    The tiny shift keeps exact decimal halves, which averages of cents often are, off the rounding edge;
+    adding zero turns -0.0 into 0.0.
+    """
     x = F.col(c) if isinstance(c, str) else c
-    return F.round(x.cast("double"), digits) + F.lit(0.0)
+    return F.round(x.cast("double") + F.lit(float(f"1.234567e-{digits + 1}")), digits) + F.lit(0.0)
 
 
 def us(c) -> Column:
@@ -167,4 +171,4 @@ def sql(ctes: str, select: str) -> str:
 
 def sr(expr: str, digits: int = 6) -> str:
     """SQL counterpart of :func:`r`."""
-    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0"
+    return f"round(CAST({expr} AS DOUBLE) + CAST(1.234567e-{digits + 1} AS DOUBLE), {digits}) + 0.0"
