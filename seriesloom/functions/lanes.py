@@ -19,7 +19,7 @@ from seriesloom.lineage import pin
 LANE_ROWS = 1_000_000        # rows one task sorts for one series
 BROADCAST_KEYS = 100_000     # a key list up to this size may be broadcast
 
-_LANE, _ECHO, _PIECE = "_lane", "_echo", "_piece"
+_LANE, _ECHO, _LONG, _PIECE = "_lane", "_echo", "_long", "_piece"
 _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
@@ -30,38 +30,51 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_KEYS) -> DataFrame:
 
 
 class Lanes:
-    """A table laid out as ordered series. ``df`` carries ``step`` (0-based row number)."""
+    """A table laid out as ordered series. ``df`` carries ``step`` (0-based row number).
+
+    When series were cut, running and whole-series aggregates of the long ones need what other lanes
+    hold. That summary has one row per lane; it is computed from the long series alone and pinned, so
+    plans grow by one small broadcast join per aggregate and the short series are not read again.
+    """
 
     def __init__(self, df: DataFrame, key: Sequence[str], order: Sequence[str], split: bool, longest: int):
         self.df, self.key, self.order, self.split = df, list(key), list(order), split
         self.longest = longest          # an upper bound of the rows per series
-        self.part = self.key + ([_LANE] if split else [])
+        self.part = self.key + ([_LONG, _LANE] if split else [])
         self.window = Window.partitionBy(*self.part).orderBy(*self.order)
 
     def rows(self, first: int, last: int):
         """A bounded ROWS frame; it must stay inside the reach given to ``lay_out``."""
         return self.window.rowsBetween(first, last)
 
-    def _own(self, value: Column) -> Column:
+    def own(self, value: Column) -> Column:
+        """The value on the lane's own rows, null on echo rows."""
         return F.when(~F.col(_ECHO), value) if self.split else value
 
+    def summary(self, df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
+        """Aggregates of the long series' own rows, pinned; one row per lane or per long series."""
+        return pin(df.where(F.col(_LONG) & ~F.col(_ECHO)).groupBy(*by).agg(*aggs))
+
+    def attach(self, df: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
+        return df.join(small(summary, summary.count()), list(by), "left")
+
+    def before(self):
+        """All earlier lanes of a series, for windows over a lane summary."""
+        return Window.partitionBy(*self.key).orderBy(_LANE).rowsBetween(Window.unboundedPreceding, -1)
+
     def running(self, df: DataFrame, last: int = 0, **specs: tuple[str, Column]) -> DataFrame:
         """Add running aggregates from the start of the series up to row ``last`` (0 or -1).
 
         Each spec is ``name=("sum" | "count" | "min" | "max", column expression)``.
         """
         frame = self.window.rowsBetween(Window.unboundedPreceding, last)
-        local = {n: _LOCAL[a](self._own(c)).over(frame) for n, (a, c) in specs.items()}
+        local = {n: _LOCAL[a](self.own(c)).over(frame) for n, (a, c) in specs.items()}
         if not self.split:
             return df.select("*", *[c.alias(n) for n, c in local.items()])
-        totals = df.where(~F.col(_ECHO)).groupBy(*self.part).agg(
-            *[_LOCAL[a](c).alias(f"_t_{n}") for n, (a, c) in specs.items()])
-        before = (Window.partitionBy(*self.key).orderBy(_LANE)
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        carry = totals.select(*self.part, *[_MERGE[a](f"_t_{n}").over(before).alias(f"_c_{n}")
+        totals = self.summary(df, self.part, *[_LOCAL[a](c).alias(f"_t_{n}") for n, (a, c) in specs.items()])
+        carry = totals.select(*self.part, *[_MERGE[a](f"_t_{n}").over(self.before()).alias(f"_c_{n}")
                                             for n, (a, _) in specs.items()])
-        out = (df.select("*", *[c.alias(f"_l_{n}") for n, c in local.items()])
-               .join(carry, self.part, "left"))
+        out = self.attach(df.select("*", *[c.alias(f"_l_{n}") for n, c in local.items()]), carry, self.part)
         made = []
         for n, (a, _) in specs.items():
             here, past = F.col(f"_l_{n}"), F.col(f"_c_{n}")
@@ -70,30 +83,28 @@ class Lanes:
             else:
                 v = (F.least if a == "min" else F.greatest)(here, past)
             made.append(v.alias(n))
-        return out.select(*[c for c in df.columns], *made)
+        return out.select(*df.columns, *made)
 
     def moments(self, df: DataFrame, prefix: str, value: Column, last: int = -1) -> DataFrame:
         """Running count, mean and sample deviation as ``<prefix>_n``, ``_mean`` and ``_std``."""
         frame = self.window.rowsBetween(Window.unboundedPreceding, last)
-        v = self._own(value.cast("double"))
+        v = self.own(value.cast("double"))
         n, m, s = F.count(v).over(frame), F.avg(v).over(frame), F.stddev_samp(v).over(frame)
         if not self.split:
             return df.select("*", n.alias(f"{prefix}_n"), m.alias(f"{prefix}_mean"), s.alias(f"{prefix}_std"))
-        lane = (df.where(~F.col(_ECHO)).groupBy(*self.part)
-                .agg(F.count(value).alias("_n"), F.avg(value).alias("_m"),
-                     F.var_pop(value.cast("double")).alias("_v")))
-        before = (Window.partitionBy(*self.key).orderBy(_LANE)
-                  .rowsBetween(Window.unboundedPreceding, -1))
+        lane = self.summary(df, self.part, F.count(value).alias("_n"), F.avg(value).alias("_m"),
+                            F.var_pop(value.cast("double")).alias("_v"))
+        past = self.before()
         carry = (lane.select(*self.part,
-                             F.sum("_n").over(before).alias("_pn"),
-                             F.sum(F.col("_n") * F.col("_m")).over(before).alias("_ps"),
-                             F.sum(F.col("_n") * F.col("_v")).over(before).alias("_pv"),
-                             F.sum(F.col("_n") * F.col("_m") * F.col("_m")).over(before).alias("_pq"))
+                             F.sum("_n").over(past).alias("_pn"),
+                             F.sum(F.col("_n") * F.col("_m")).over(past).alias("_ps"),
+                             F.sum(F.col("_n") * F.col("_v")).over(past).alias("_pv"),
+                             F.sum(F.col("_n") * F.col("_m") * F.col("_m")).over(past).alias("_pq"))
                  .withColumn("_pm", F.try_divide("_ps", "_pn"))
                  .withColumn("_p2", F.col("_pv") + F.col("_pq") - F.col("_ps") * F.col("_pm"))
                  .select(*self.part, "_pn", "_pm", "_p2"))
-        o = (df.select("*", n.alias("_ln"), m.alias("_lm"), F.var_pop(v).over(frame).alias("_lv"))
-             .join(carry, self.part, "left"))
+        o = self.attach(df.select("*", n.alias("_ln"), m.alias("_lm"), F.var_pop(v).over(frame).alias("_lv")),
+                        carry, self.part)
         pn, ln = F.coalesce("_pn", F.lit(0)), F.col("_ln")
         pm, lm = F.coalesce("_pm", F.lit(0.0)), F.coalesce("_lm", F.lit(0.0))
         total = pn + ln
@@ -105,16 +116,18 @@ class Lanes:
                         .alias(f"{prefix}_std"))
 
     def whole(self, df: DataFrame, **aggs: Column) -> DataFrame:
-        """Add whole-series aggregates to every row (same partitioning, or one small join)."""
+        """Add whole-series aggregates to every row."""
+        w = Window.partitionBy(*self.part)
         if not self.split:
-            w = Window.partitionBy(*self.key)
             return df.select("*", *[c.over(w).alias(n) for n, c in aggs.items()])
-        per = df.where(~F.col(_ECHO)).groupBy(*self.key).agg(*[c.alias(n) for n, c in aggs.items()])
-        return df.join(per, self.key, "left")
+        per = self.summary(df, self.key, *[c.alias(f"_w_{n}") for n, c in aggs.items()])
+        out = self.attach(df.select("*", *[c.over(w).alias(f"_l_{n}") for n, c in aggs.items()]), per, self.key)
+        return out.select(*df.columns, *[F.when(F.col(_LONG), F.col(f"_w_{n}")).otherwise(F.col(f"_l_{n}")).alias(n)
+                                         for n in aggs])
 
     def done(self, df: DataFrame) -> DataFrame:
         """Drop echo rows and helper columns."""
-        return df.where(~F.col(_ECHO)).drop(_LANE, _ECHO) if self.split else df
+        return df.where(~F.col(_ECHO)).drop(_LANE, _ECHO, _LONG) if self.split else df
 
 
 def lay_out(df: DataFrame, key: Sequence[str], order: Sequence[str], reach: int = 0,
@@ -160,8 +173,8 @@ def lay_out(df: DataFrame, key: Sequence[str], order: Sequence[str], reach: int
         home,
         F.when(offset >= lane_rows - reach, home + 1),
         F.when((offset < reach) & (home > 0), home - 1)))
-    spread = (long.withColumn("_home", home).withColumn(_LANE, F.explode(lanes))
-              .withColumn(_ECHO, F.col(_LANE) != F.col("_home")).drop("_home"))
+    spread = pin(long.withColumn("_home", home).withColumn(_LANE, F.explode(lanes))
+                 .withColumn(_ECHO, F.col(_LANE) != F.col("_home")).drop("_home"))
     both = (short.withColumn(_LANE, F.lit(0).cast("long")).withColumn(_ECHO, F.lit(False))
-            .unionByName(spread))
+            .withColumn(_LONG, F.lit(False)).unionByName(spread.withColumn(_LONG, F.lit(True))))
     return Lanes(both, key, order, True, longest)

@@ -97,6 +97,7 @@ def add_ewma(lanes: Lanes, df: DataFrame, values: dict[str, Column], alphas: Seq
             past = F.col(f"_p{i}") * F.exp(F.col(f"_q{i}") - level)
             x = x.withColumn(ewm_name(s, a), F.when(here.isNull() | past.isNull(), F.coalesce(here, past))
                              .otherwise(here + past))
+            x = _ewma_carry(lanes, x, f"_L{i}_{s}", ewm_name(s, a))
             made.append(ewm_name(s, a))
         x = x.drop(*[f"_{c}{i}" for c in "srpqw" for i in range(len(alphas))])
     return x.select(*names, *made)
@@ -105,28 +106,52 @@ def add_ewma(lanes: Lanes, df: DataFrame, values: dict[str, Column], alphas: Seq
 def _ewma_blocks(lanes: Lanes, x: DataFrame, s: str, n: int) -> DataFrame:
     """Per alpha: running sum ``_s`` and origin ``_r`` of the row's block, ``_p`` and ``_q`` of the one before."""
     block = f"_b_{s}"
-    own = (lambda c: F.when(~F.col("_echo"), c)) if lanes.split else (lambda c: c)
-    so_far = (Window.partitionBy(*lanes.key, block).orderBy(*(["_echo"] if lanes.split else []), *lanes.order)
+    so_far = (Window.partitionBy(*lanes.part, block).orderBy(*lanes.order)
               .rowsBetween(Window.unboundedPreceding, 0))
     # L never falls inside a series, so its running minimum is its value at the start of the block.
-    x = x.select("*", *[F.min(own(F.col(f"_L{i}_{s}"))).over(so_far).alias(f"_r{i}") for i in range(n)])
+    x = x.select("*", *[F.min(lanes.own(F.col(f"_L{i}_{s}"))).over(so_far).alias(f"_r{i}") for i in range(n)])
     weight = []
     for i in range(n):
         g = F.col(f"_g{i}_{s}")
         fresh = F.when(g.isNull(), F.lit(1.0)).otherwise(g / (1 + g))
         weight.append((fresh * F.col(f"_u_{s}") * F.exp(F.col(f"_L{i}_{s}") - F.col(f"_r{i}"))).alias(f"_w{i}"))
     x = x.select("*", *weight)
-    x = x.select("*", *[F.sum(own(F.col(f"_w{i}"))).over(so_far).alias(f"_s{i}") for i in range(n)])
-    if lanes.split:
-        before = (x.where(~F.col("_echo")).groupBy(*lanes.key, (F.col(block) + 1).alias(block))
-                  .agg(*[F.sum(f"_w{i}").alias(f"_p{i}") for i in range(n)],
-                       *[F.min(f"_r{i}").alias(f"_q{i}") for i in range(n)]))
-        return x.join(before, [*lanes.key, block], "left")
-    back = Window.partitionBy(*lanes.key).orderBy(block).rangeBetween(-1, -1)
-    return x.select("*", *[F.max_by(f"_s{i}", "step").over(back).alias(f"_p{i}") for i in range(n)],
+    x = x.select("*", *[F.sum(lanes.own(F.col(f"_w{i}"))).over(so_far).alias(f"_s{i}") for i in range(n)])
+    back = Window.partitionBy(*lanes.part).orderBy(block).rangeBetween(-1, -1)
+    own_step = lanes.own(F.col("step"))
+    return x.select("*", *[F.max_by(f"_s{i}", own_step).over(back).alias(f"_p{i}") for i in range(n)],
                     *[F.min(f"_r{i}").over(back).alias(f"_q{i}") for i in range(n)])
 
 
+def _ewma_carry(lanes: Lanes, x: DataFrame, level: str, name: str) -> DataFrame:
+    """Add what earlier lanes of a long series left behind, aged by the L in between."""
+    if not lanes.split:
+        return x
+    part = list(lanes.part)
+    ends = lanes.summary(x, lanes.part, F.max_by(name, "step").alias("_y"), F.max(level).alias("_end"))
+
+    def fold(pdf):
+        pdf = pdf.sort_values("_lane")
+        y, at, ys, ats = None, None, [], []
+        for own, end in zip(pdf["_y"], pdf["_end"]):
+            ys.append(y)
+            ats.append(at)
+            if end == end and end is not None:
+                y = (0.0 if own != own or own is None else own) + (0.0 if y is None else y * math.exp(at - end))
+                at = end
+        return pdf[part].assign(_y_in=ys, _at_in=ats).astype({"_y_in": float, "_at_in": float})
+
+    fields = [f for f in ends.schema.fields if f.name in lanes.part]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _y_in double, _at_in double"
+    folded = ends.select(*lanes.part, "_y", "_end").groupBy(*lanes.key).applyInPandas(fold, schema)
+    clean = folded.select(*lanes.part, F.nanvl("_y_in", F.lit(None)).alias("_y_in"),
+                          F.nanvl("_at_in", F.lit(None)).alias("_at_in"))
+    y = lanes.attach(x, clean, lanes.part)
+    past = F.col("_y_in") * F.exp(F.col("_at_in") - F.coalesce(F.col(level), F.col("_at_in")))
+    both = F.when(past.isNull() | F.col(name).isNull(), F.coalesce(F.col(name), past)).otherwise(F.col(name) + past)
+    return y.withColumn(name, both).drop("_y_in", "_at_in")
+
+
 def weight_columns(lanes: Lanes, df: DataFrame, weight="weight") -> DataFrame:
     """Previous weight, its slope over 24 rows and its distance from the running median.
 

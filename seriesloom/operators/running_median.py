@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from seriesloom.functions.lanes import Lanes, lay_out
+from seriesloom.lineage import pin
 
 SHORT_ROWS = 2_000
 CHUNK_ROWS = 20_000
@@ -44,8 +45,8 @@ def expanding_median(lanes: Lanes, df: DataFrame, value: str, name: str, least:
         return df.select("*", F.when(F.count(v).over(frame) >= least,
                                      F.percentile(v, F.lit(0.5)).over(frame)).alias(name))
     key = lanes.key
-    rows = lanes.done(df).select(*key, "step", F.col(value).cast("double").alias("_v"),
-                                 F.floor(F.col("step") / size).alias("_chunk"))
+    rows = pin(lanes.done(df).select(*key, "step", F.col(value).cast("double").alias("_v"),
+                                     F.floor(F.col("step") / size).alias("_chunk")))
     got = _long_medians(rows, key, name, least, size)
     return df.join(got, [*key, "step"], "left")
 
@@ -79,7 +80,8 @@ def _long_medians(rows: DataFrame, key, name: str, least: int, size: int) -> Dat
     asked = (needed.join(copies, [*key, "_vb"])
              .withColumn("_copy", F.pmod(F.xxhash64("_to"), F.col("_copies"))).drop("_copies"))
     slices = (asked.join(spread, [*key, "_vb", "_copy"]).where(F.col("_chunk") < F.col("_to"))
-              .select(*key, F.col("_to").alias("_chunk"), "_v", "_below", "_seen"))
+              .select(*[F.col(k).alias(k) for k in key], F.col("_to").alias("_chunk"), F.col("_v").alias("_v"),
+                      "_below", "_seen"))
     fields = [f for f in rows.schema.fields if f.name in key]
     schema = T.StructType([*fields, T.StructField("step", T.LongType()), T.StructField(name, T.DoubleType())])
 
