@@ -178,3 +178,9 @@ def lay_out(df: DataFrame, key: Sequence[str], order: Sequence[str], reach: int
     both = (short.withColumn(_LANE, F.lit(0).cast("long")).withColumn(_ECHO, F.lit(False))
             .withColumn(_LONG, F.lit(False)).unionByName(spread.withColumn(_LONG, F.lit(True))))
     return Lanes(both, key, order, True, longest)
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame (an aggregate without keys) to every row."""
+    return (df.withColumn("_one", F.lit(0))
+            .join(F.broadcast(row.withColumn("_one", F.lit(0))), "_one").drop("_one"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions.expr import half_even, seconds_between
-from seriesloom.functions.lanes import lay_out
+from seriesloom.functions.lanes import attach_row, lay_out
 
 
 def admissible(sbp="sbp", dbp="dbp", sbp_range=(60, 260), dbp_range=(30, 160), min_diff=10) -> Column:
@@ -115,7 +115,7 @@ def decompose(pairs: DataFrame, counters: DataFrame) -> DataFrame:
         F.count_if(s & ~r & ~F.col("inside_record_span")).alias("left_out"),
         F.count_if(r & ~s & F.col("inside_session_span")).alias("right_in"),
         F.count_if(r & ~s & ~F.col("inside_session_span")).alias("right_out"))
-    one = sets.crossJoin(counters).withColumn("delta", F.col("derived") - F.col("published"))
+    one = attach_row(sets, counters).withColumn("delta", F.col("derived") - F.col("published"))
     base = F.greatest(F.col("delta"), F.lit(1))
     part = lambda c: half_even(F.col(c) / base, 4)
     lines = [

@@ -9,7 +9,7 @@ from seriesloom.operators import panel as P
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (CONFIG, SQL_PANEL, SQL_SESSIONS, event_bound, longest, panel, r, sessions, sql, sr,
                                     table)
-from seriesloom.functions.lanes import lay_out
+from seriesloom.functions.lanes import attach_row, lay_out
 
 TS = "CAST(ts AS VARCHAR) AS day"
 
@@ -195,4 +195,4 @@ def split_sizes(spark, sf) -> DataFrame:
     g = lanes.done(lanes.df).groupBy("split", "patient_split").agg(
         F.count("*").alias("n"), F.count_distinct("series_id").alias("n_series"))
     total = g.agg(F.sum("n").alias("_total"))
-    return g.crossJoin(total).withColumn("share", half_even(F.col("n") / F.col("_total"), 4)).drop("_total")
+    return attach_row(g, total).withColumn("share", half_even(F.col("n") / F.col("_total"), 4)).drop("_total")

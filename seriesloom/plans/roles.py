@@ -172,3 +172,82 @@ def sql(ctes: str, select: str) -> str:
 def sr(expr: str, digits: int = 6) -> str:
     """SQL counterpart of :func:`r`."""
     return f"round(CAST({expr} AS DOUBLE) + CAST(1.234567e-{digits + 1} AS DOUBLE), {digits}) + 0.0"
+
+
+# ---- events as a long panel of their own ------------------------------------------------------------
+
+EVENT_CONFIG = Config(min_sessions=20, min_span_days=10, search_warm=(16, 24, 32, 40), warm=32,
+                      cuts=(12, 20, 28, 36, 44, 52), future=20)
+
+
+def event_panel(spark: SparkSession, sf: str, reach: int = 31) -> Lanes:
+    """One step per event: vitals scaled into a plausible range, clinical flags from the customer row and k."""
+    c = table(spark, sf, "customer")
+    nation, cust = F.col("c_nationkey"), F.col("c_custkey")
+    flag = lambda x: F.when(x, 1).otherwise(0)
+    who = c.select(
+        cust.alias("series_id"), (94 - nation * 3).cast("double").alias("age"),
+        flag(F.col("c_mktsegment").startswith("M")).alias("is_male"),
+        flag(F.col("c_acctbal") > 5000).alias("is_dm"), flag(nation % 5 == 0).alias("has_afib"),
+        flag(nation % 7 == 1).alias("has_cad"), flag(nation % 8 == 3).alias("has_hcm"),
+        flag(nation % 6 < 2).alias("has_hf"), flag(nation % 11 == 4).alias("has_as"),
+        F.when(nation % 6 == 0, "HFREF").when(nation % 6 == 1, "HFPEF").otherwise("NONE").alias("hf_type"),
+        flag(~F.col("c_mktsegment").startswith("M") & (nation % 9 == 2)).alias("is_pregnant"),
+        flag(cust % 4 == 0).alias("on_ace"), flag(cust % 3 == 0).alias("on_bb"), flag(cust % 5 == 2).alias("on_loop"),
+        flag(cust % 7 == 3).alias("on_dhp_ccb"), F.col("c_mktsegment").alias("segment"))
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = e.select(
+        F.col("user_id").alias("series_id"), "event_id", "ts", "event_type",
+        (100 + F.col("value") * 0.5).alias("sbp"), (50 + k * 0.5).alias("dbp"), k.alias("k"),
+        (1 + F.col("event_id") % 4).alias("n_meas"), (60 + F.col("value") * 0.1).alias("weight"),
+        (40 + k).cast("double").alias("pulse"), (F.col("event_id") % 10 / 10.0).alias("adherence_7d"),
+        (k % 4).alias("missed_3d"), F.when(k % 10 == 0, "STANDING").otherwise("SITTING").alias("position"),
+        flag(k % 13 == 1).alias("dizziness"), flag(k % 37 == 5).alias("severe_headache"),
+        flag(k % 29 == 3).alias("edema"), flag(k % 17 == 2).alias("palpitations"), flag(k % 19 == 4).alias("sob"),
+        flag(k % 41 == 7).alias("syncope"), flag(k % 43 == 9).alias("face_swelling"),
+        flag(k % 23 == 6).alias("dry_cough")).join(who, "series_id", "left")
+    lanes = lay_out(rows, ["series_id"], ["ts", "event_id"], reach=reach, bound=event_bound(spark, sf))
+    lanes.df = P.add_splits(lanes, P.attach_cadence(lanes, lanes.df), EVENT_CONFIG)
+    return lanes
+
+
+SQL_EVENT_PANEL = """
+who AS (SELECT c_custkey AS series_id, CAST(94 - c_nationkey * 3 AS DOUBLE) AS age,
+  CASE WHEN starts_with(c_mktsegment, 'M') THEN 1 ELSE 0 END AS is_male,
+  CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END AS is_dm, CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END AS has_afib,
+  CASE WHEN c_nationkey % 7 = 1 THEN 1 ELSE 0 END AS has_cad, CASE WHEN c_nationkey % 8 = 3 THEN 1 ELSE 0 END AS has_hcm,
+  CASE WHEN c_nationkey % 6 < 2 THEN 1 ELSE 0 END AS has_hf, CASE WHEN c_nationkey % 11 = 4 THEN 1 ELSE 0 END AS has_as,
+  CASE WHEN c_nationkey % 6 = 0 THEN 'HFREF' WHEN c_nationkey % 6 = 1 THEN 'HFPEF' ELSE 'NONE' END AS hf_type,
+  CASE WHEN NOT starts_with(c_mktsegment, 'M') AND c_nationkey % 9 = 2 THEN 1 ELSE 0 END AS is_pregnant,
+  CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS on_ace, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS on_bb,
+  CASE WHEN c_custkey % 5 = 2 THEN 1 ELSE 0 END AS on_loop, CASE WHEN c_custkey % 7 = 3 THEN 1 ELSE 0 END AS on_dhp_ccb,
+  c_mktsegment AS segment FROM customer),
+ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+ep0 AS (SELECT e.user_id AS series_id, event_id, ts, event_type, 100 + value * CAST(0.5 AS DOUBLE) AS sbp,
+  50 + k * CAST(0.5 AS DOUBLE) AS dbp, k, 1 + event_id % 4 AS n_meas, 60 + value * CAST(0.1 AS DOUBLE) AS weight,
+  CAST(40 + k AS DOUBLE) AS pulse, event_id % 10 / CAST(10 AS DOUBLE) AS adherence_7d, k % 4 AS missed_3d,
+  CASE WHEN k % 10 = 0 THEN 'STANDING' ELSE 'SITTING' END AS position,
+  CASE WHEN k % 13 = 1 THEN 1 ELSE 0 END AS dizziness, CASE WHEN k % 37 = 5 THEN 1 ELSE 0 END AS severe_headache,
+  CASE WHEN k % 29 = 3 THEN 1 ELSE 0 END AS edema, CASE WHEN k % 17 = 2 THEN 1 ELSE 0 END AS palpitations,
+  CASE WHEN k % 19 = 4 THEN 1 ELSE 0 END AS sob, CASE WHEN k % 41 = 7 THEN 1 ELSE 0 END AS syncope,
+  CASE WHEN k % 43 = 9 THEN 1 ELSE 0 END AS face_swelling, CASE WHEN k % 23 = 6 THEN 1 ELSE 0 END AS dry_cough,
+  w.* EXCLUDE (series_id), row_number() OVER pw - 1 AS step,
+  CAST(floor((epoch_us(ts) - epoch_us(lag(ts) OVER pw)) / 86400000000.0) AS DOUBLE) AS days_since_last_raw
+  FROM ev e LEFT JOIN who w ON e.user_id = w.series_id
+  WINDOW pw AS (PARTITION BY e.user_id ORDER BY ts, event_id)),
+ep AS (SELECT *, least(greatest(coalesce(days_since_last_raw, 2), 1), 30) AS days_since_last,
+  CASE WHEN step > round_even(max(step) OVER (PARTITION BY series_id)
+              * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE)), 0) THEN 'test'
+       WHEN step > round_even(max(step) OVER (PARTITION BY series_id)
+              * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE) - CAST(0.2 AS DOUBLE)), 0) THEN 'val' ELSE 'train' END AS split,
+  CASE WHEN CAST(concat('0x', substr(md5(concat('patient-split:', series_id)), 1, 8)) AS BIGINT) % 100 < 20
+       THEN 'holdout' ELSE 'fit' END AS patient_split,
+  concat(CASE WHEN coalesce(age, 65) < 50 THEN '<50' WHEN coalesce(age, 65) < 65 THEN '50-64'
+    WHEN coalesce(age, 65) < 75 THEN '65-74' ELSE '75+' END, '|', CASE WHEN is_male = 1 THEN 'M' ELSE 'F' END)
+    AS cohort_key FROM ep0)"""
+
+
+def event_rows(spark, sf) -> int:
+    """Rows of the event table; parquet footers answer this."""
+    return table(spark, sf, "events").count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.functions.expr import half_even
+from seriesloom.functions.lanes import attach_row
 from seriesloom.functions.quantile import quantiles
 from seriesloom.operators import sessions as S
 from seriesloom.operators.frames import digest
@@ -120,7 +121,7 @@ def ingest_counters(spark, sf) -> DataFrame:
     uniq = rec.select("patient_id", "day").distinct().agg(F.count("*").alias("published"))
     one = of_runs
     for part in (of_days, med, calendar, of_rec, uniq):
-        one = one.crossJoin(part)            # one row each
+        one = attach_row(one, part)
     return one.select("*", (F.col("reading_runs") - F.col("derived")).alias("second_runs"),
                       (F.col("record_rows") - F.col("published")).alias("duplicate_records"))
 
