@@ -40,17 +40,27 @@ def gate(df: DataFrame) -> Column:
                     (n < 2, "SINGLE_READING_NON_EMERGENCY"), default="NONE")
 
 
-def verdict(tier=None, rule=None, mode="STANDARD", reason=None, short=False) -> Column:
-    text = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
-    return F.struct(text(tier).alias("tier"), text(rule).alias("rule_id"), text(mode).alias("mode"),
-                    (reason if isinstance(reason, Column) else text(reason)).alias("gate_reason"),
-                    F.lit(short).alias("short_circuited"))
+def _verdict(df: DataFrame, keep: Sequence[str], cases: Sequence[tuple[Column, dict | None]]) -> DataFrame:
+    """Evaluate an ordered cascade: one CASE yields the number of the first match, literals yield the rest.
 
-
-def _finish(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, "_v.*").select(
-        "*", F.col("tier").isNotNull().alias("fired"),
-        F.coalesce(F.col("tier").isin(*EMERGENCY_TIERS), F.lit(False)).alias("is_emergency"))
+    A case without outcome ends the cascade silently. ``_gate`` is the gate of the row.
+    """
+    outcomes = [None] + [o for _, o in cases]         # entry 1 of each list: no case matched
+    hit = F.coalesce(first_of(*[(c, i + 2) for i, (c, _) in enumerate(cases)]), F.lit(1))
+    # Looked up in lists rather than compared: a filter on these columns then stays one small expression.
+    look = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_hit"))
+    text = lambda field: look([(o or {}).get(field) for o in outcomes], "string")
+    mark = lambda test: look([bool(o and test(o)) for o in outcomes], "boolean")
+    gates = [("UNCONFIRMED_TERMINAL" if o and o.get("terminal") else None) for o in outcomes]
+    # One-element explode: filters on the verdict stay above it, so the optimizer never copies the long CASE
+    # into predicates and the constraints it infers from them.
+    return df.withColumn("_hit", F.explode(F.array(hit))).select(
+        *keep, text("tier").alias("tier"), text("rule").alias("rule_id"),
+        look(["PERSONALIZED" if o and o["rule"].startswith("RULE_PERSONALIZED") else "STANDARD" for o in outcomes],
+             "string").alias("mode"),
+        F.coalesce(look(gates, "string"), F.col("_gate")).alias("gate_reason"),
+        mark(lambda o: o.get("short")).alias("short_circuited"), mark(lambda o: True).alias("fired"),
+        mark(lambda o: o["tier"] in EMERGENCY_TIERS).alias("is_emergency"))
 
 
 def evaluate_base(lanes: Lanes, df: DataFrame, threshold: str | None = None) -> DataFrame:
@@ -66,25 +76,22 @@ def evaluate_base(lanes: Lanes, df: DataFrame, threshold: str | None = None) ->
     df = df.withColumn("_gate", gate(df)).withColumn("_emergency", fires)
     previous = F.coalesce(F.lag("_emergency").over(lanes.window), F.lit(False))
     df = df.withColumn("_previous", previous)
-    hit = lambda rule, tier, mode="STANDARD": verdict(tier, rule, mode, g)
+    hit = lambda rule, tier, **more: dict(rule=rule, tier=tier, **more)
     pp = F.col("sbp") - F.col("dbp")
-    cases = [(F.col("_emergency"), verdict("BP_LEVEL_2", "RULE_ABSOLUTE_EMERGENCY", "STANDARD", g, True)),
-             (g != "NONE", verdict(reason=g))]
+    cases = [(F.col("_emergency"), hit("RULE_ABSOLUTE_EMERGENCY", "BP_LEVEL_2", short=True)), (g != "NONE", None)]
     if threshold:
-        cases.append((F.col("sbp") >= F.col(threshold),
-                      hit("RULE_PERSONALIZED_HIGH", "BP_LEVEL_1_HIGH", "PERSONALIZED")))
+        cases.append((F.col("sbp") >= F.col(threshold), hit("RULE_PERSONALIZED_HIGH", "BP_LEVEL_1_HIGH")))
     cases.append(((F.col("sbp") >= 140) | (F.col("dbp") >= 90), hit("RULE_STANDARD_L1_HIGH", "BP_LEVEL_1_HIGH")))
     if "age" in keep:
         cases.append(((F.col("age") >= 65) & (F.col("sbp") < 100), hit("RULE_AGE_65_LOW", "BP_LEVEL_1_LOW")))
     cases.append(((F.col("sbp") < 90) | (F.col("dbp") < 60), hit("RULE_STANDARD_L1_LOW", "BP_LEVEL_1_LOW")))
     if "idwg" in keep:
         cases.append((finite("idwg") >= 4.0, hit("RULE_HF_DECOMPENSATION", "BP_LEVEL_1_LOW")))
-    cases += [(F.col("_previous") & (F.col("sbp") < 140),
-               hit("RULE_EMERGENCY_RANGE_CONFIRMED_NORMAL", "TIER_3_INFO")),
+    cases += [(F.col("_previous") & (F.col("sbp") < 140), hit("RULE_EMERGENCY_RANGE_CONFIRMED_NORMAL", "TIER_3_INFO")),
               (pp >= 60, hit("RULE_PULSE_PRESSURE_WIDE", "TIER_3_INFO")),
               (pp <= 25, hit("RULE_PULSE_PRESSURE_NARROW", "TIER_3_INFO")),
               (F.col("step") < 12, hit("RULE_FIRST_MONTH_ADHERENCE_NUDGE", "TIER_3_INFO"))]
-    return _finish(df.withColumn("_v", first_of(*cases, default=verdict(reason=g))), keep)
+    return _verdict(df, keep, cases)
 
 
 def _inputs(df: DataFrame) -> list[Column]:
@@ -115,18 +122,14 @@ def evaluate_extended(df: DataFrame) -> DataFrame:
         axes.setdefault(axis, []).append((rule, tier, F.expr(condition)))
     lone = next(c for r, _, c in axes["CONTRAINDICATION"] if r == "RULE_UNCONFIRMED_EMERGENCY")
     urgent = any_of([F.coalesce(c, F.lit(False)) for _, _, c in axes["EMERGENCY"]])
-    cases = [(urgent & (g == "HISTORICAL_ENTRY"), verdict(reason=g))]
-    cases += [(c, verdict(t, r, "STANDARD", g, True)) for r, t, c in axes["EMERGENCY"]]
+    cases = [(urgent & (g == "HISTORICAL_ENTRY"), None)]
+    cases += [(c, dict(rule=r, tier=t, short=True)) for r, t, c in axes["EMERGENCY"]]
     cases += [((g == "SINGLE_READING_NON_EMERGENCY") & lone,
-               verdict("TIER_1_CONTRAINDICATION", "RULE_UNCONFIRMED_EMERGENCY", "STANDARD",
-                       F.lit("UNCONFIRMED_TERMINAL"))),
-              (g != "NONE", verdict(reason=g))]
+               dict(rule="RULE_UNCONFIRMED_EMERGENCY", tier="TIER_1_CONTRAINDICATION", terminal=True)),
+              (g != "NONE", None)]
     for axis in ("CONTRAINDICATION", "TIER_2", "L1", "TIER_3"):
-        for r, t, c in axes[axis]:
-            mode = "PERSONALIZED" if r.startswith("RULE_PERSONALIZED") and axis != "TIER_3" else "STANDARD"
-            cases.append((c, verdict(t, r, mode, g)))
-    judged = ready.withColumn("_v", first_of(*cases, default=verdict(reason=g)))
-    return _finish(judged, [f"_row.{c}" for c in keep])
+        cases += [(c, dict(rule=r, tier=t)) for r, t, c in axes[axis]]
+    return _verdict(ready, [f"_row.{c}" for c in keep], cases)
 
 
 def with_threshold(df: DataFrame, thresholds: DataFrame, key="series_id", name="ml_threshold") -> DataFrame:
