@@ -1,11 +1,16 @@
-"""Audits that features never see the future."""
+"""Audits that features never see the future; each probe is PASS, WARN or FAIL."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from seriesloom.functions.expr import finite, share
+from seriesloom.functions.lanes import Lanes, attach_row, lay_out
+from seriesloom.operators.contract import rows
+from seriesloom.operators.features import LATENT
+
 
 def target_mismatches(frame: DataFrame, signal: str, horizons: Sequence[int], tolerance: float = 1e-3) -> DataFrame:
     """Is ``y_<signal>_h<h>`` at step t the value at step t + h? One equi-join for all horizons."""
@@ -16,3 +21,102 @@ def target_mismatches(frame: DataFrame, signal: str, horizons: Sequence[int], to
     off = F.col("y").isNull() | (F.abs(F.col("y") - F.col("v")) > tolerance)
     return (asked.join(actual, ["series_id", "step"]).groupBy("h")
             .agg(F.count("*").alias("n"), F.count_if(off).alias("mismatches")))
+
+
+def structural_audit(frame: DataFrame, features: Sequence[str], signal="sbp", horizons=(0, 1, 2), key="series_id",
+                     first_rows: int = 80) -> DataFrame:
+    """Copies of the current value, exact lags, split order, holdout, infinities, coverage, density, latent columns."""
+    features = [f for f in features if f in frame.columns]
+    now = frame.where(F.col("step") < first_rows).select(key, "step", F.col(f"{signal}_lag1").alias("l"))
+    before = frame.where(F.col("step") < first_rows).select(key, (F.col("step") + 1).alias("step"), F.col(signal).alias("v"))
+    lagged = now.join(before, [key, "step"]).agg(F.count_if(~(F.abs(F.col("l") - F.col("v")) <= 1e-3) | F.col("l").isNull()).alias("lag_off"))
+    order = frame.groupBy(key).agg(
+        *[F.max(F.when(F.col("split") == s, F.col("step"))).alias(f"hi_{s}") for s in ("train", "val", "test")],
+        *[F.min(F.when(F.col("split") == s, F.col("step"))).alias(f"lo_{s}") for s in ("train", "val", "test")],
+        (F.min("patient_split") != F.max("patient_split")).alias("mixed")).agg(
+        F.count_if((F.col("hi_train") >= F.col("lo_val")) | (F.col("hi_val") >= F.col("lo_test"))).alias("disorder"),
+        F.count_if("mixed").alias("mixed"))
+    inf = lambda c: F.abs(F.col(c).cast("double")) == float("inf")
+    one = frame.agg(
+        F.greatest(*[F.coalesce(F.abs(F.corr(finite(f), F.col(signal))), F.lit(0.0)) for f in features]).alias("copy"),
+        F.count_if(F.col(f"{signal}_mean3").isNotNull() & F.col(f"{signal}_lag1").isNull()).alias("early"),
+        F.greatest(*[F.max(F.coalesce(inf(f), F.lit(False)).cast("int")) for f in features]).alias("inf"),
+        *[F.avg(F.col(f"y_{signal}_h{h}").isNotNull().cast("double")).alias(f"cov{h}") for h in horizons],
+        F.least(*[F.avg(F.col(f).isNotNull().cast("double")) for f in features]).alias("density"))
+    one = attach_row(attach_row(one, lagged), order)
+    c = F.col
+    latent = sorted(set(LATENT) & set(features))
+    return rows(one, [
+        ("no feature is a copy of the current value", c("copy") < 0.999, c("copy"), True),
+        ("lag 1 equals the previous row", c("lag_off") == 0, c("lag_off"), True),
+        ("no rolling feature precedes its first lag", c("early") == 0, c("early"), True),
+        ("train precedes val precedes test", c("disorder") == 0, c("disorder"), True),
+        ("entity split is disjoint", c("mixed") == 0, c("mixed"), True),
+        ("no infinite values", c("inf") == 0, c("inf"), True),
+        *[(f"target h{h} present", c(f"cov{h}") > 0.5, c(f"cov{h}"), True) for h in horizons],
+        ("every feature known on 30% of rows", c("density") > 0.30, c("density"), False),
+        ("latent variables are not features", F.lit(not latent), F.lit(float(len(latent))), True)])
+
+
+def future_corruption(panel: DataFrame, build: Callable[[DataFrame], DataFrame], features: Sequence[str], value="sbp",
+                      key="series_id", shift: float = 50.0, tolerance: float = 1e-6) -> DataFrame:
+    """Raise the second half of every series and rebuild: no feature of the first half may move.
+
+    ``build`` turns panel rows into features. One row per feature with the number of moved cells.
+    """
+    half = panel.groupBy(key).agg(F.floor((F.max("step") + 1) / 2).alias("_mid"))
+    marked = panel.join(half, key)
+    bent = marked.withColumn(value, F.when(F.col("step") >= F.col("_mid"), F.col(value) + shift).otherwise(F.col(value)))
+    cut = lambda d, tag: d.where(F.col("step") < F.col("_mid")).select(
+        key, "step", *[finite(f).alias(f"{tag}{i}") for i, f in enumerate(features)])
+    j = cut(build(marked), "a").join(cut(build(bent), "b"), [key, "step"])
+    moved = lambda i: ~(F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) | F.coalesce(
+        F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= tolerance + tolerance * F.abs(F.col(f"b{i}")), F.lit(False)))
+    one = j.agg(*[F.count_if(moved(i)).alias(f"m{i}") for i in range(len(features))], F.count("*").alias("n"))
+    return one.select(F.inline(F.array(*[F.struct(
+        F.lit(f).alias("feature"), F.col("n").alias("n_rows"), F.col(f"m{i}").alias("n_moved")) for i, f in enumerate(features)])))
+
+
+def label_reproduction(lanes: Lanes, frame: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Symptom features must not reproduce their own label; same-day columns equal today, not tomorrow."""
+    suffixes = ("_rate30", "_mean30", "_mean7", "_lag1")
+    pairs = []
+    for f in features:
+        stem = next((f[: -len(s)] for s in suffixes if f.endswith(s)), f)
+        if f.startswith("sym_") and stem != f and stem in frame.columns:
+            pairs.append((f, stem))
+    today = [(f, f[len("adh_"):-len("_today")]) for f in features if f.startswith("adh_") and f.endswith("_today")]
+    d = frame.select("*", *[F.lead(raw).over(lanes.window).alias(f"_next_{raw}") for _, raw in today])
+    one = lanes.done(d).agg(
+        *[F.abs(F.corr(f, raw)).alias(f"r_{f}") for f, raw in pairs],
+        *[F.count_if(~F.col(f).eqNullSafe(F.col(raw))).alias(f"e_{f}") for f, raw in today],
+        *[F.abs(F.corr(f, f"_next_{raw}")).alias(f"n_{f}") for f, raw in today])
+    checks = [(f"{f} does not reproduce {raw}", F.coalesce(F.col(f"r_{f}"), F.lit(0.0)) < 0.95, F.col(f"r_{f}"), True)
+              for f, raw in pairs]
+    checks += [(f"{f} reads today, not tomorrow", (F.col(f"e_{f}") == 0) & (F.coalesce(F.col(f"n_{f}"), F.lit(0.0)) < 0.95),
+                F.col(f"n_{f}"), True) for f, _ in today]
+    return rows(one, checks)
+
+
+def shuffled_target(train: DataFrame, target: str, row_keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """Targets dealt out at random: the i-th row by one hash gets the target of the i-th row by another."""
+    rank = lambda s, extra: lay_out(
+        train.select(F.lit(0).alias("_all"), *row_keys, *extra, F.xxhash64(*row_keys, F.lit(s)).alias("_h")),
+        ["_all"], ["_h", *row_keys])
+    a = rank(seed, [])
+    b = rank(seed + 1, [F.col(target).alias("y_shuffled")])
+    left = a.done(a.df).select(*row_keys, "step")
+    right = b.done(b.df).select("step", "y_shuffled")
+    dealt = left.withColumnRenamed("step", "_i").join(right.withColumnRenamed("step", "_i"), "_i").drop("_i")
+    return train.join(dealt, list(row_keys))
+
+
+def last_row_coverage(rows_: DataFrame, features: Sequence[str], inputs: Sequence[str], collected: Sequence[str],
+                      key="series_id") -> DataFrame:
+    """Which features of each newest row are missing, and what would fill them: input, history, or nothing."""
+    from seriesloom.operators.features import unpivot
+    long = unpivot(rows_, features, keep=[key])
+    stem = F.regexp_replace("feature", r"_(lag|mean|std|min|max|range|slope|ewm|rate)\d+$|_(z|d1|base_mean|base_std|excess_base|vol_ratio|ewm_resid|mom_3_14)$", "")
+    fix = (F.when(F.col("value").isNotNull(), "resolved").when(stem.isin(*inputs), "more history")
+           .when(stem.isin(*collected), "input").otherwise("never collected"))
+    return long.select(key, fix.alias("state")).groupBy(key, "state").agg(F.count("*").alias("n"))
