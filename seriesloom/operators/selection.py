@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from seriesloom.lineage import pin
 from seriesloom.operators import stats as A
 
 REDUNDANT, MIN_RELEVANCE, MIN_DENSITY, MIN_TARGET_ROWS = 0.95, 0.02, 0.05, 200
@@ -23,9 +24,12 @@ def must_keep(signals: Sequence[str] = ("sbp", "dbp")) -> set[str]:
     return own | {"days_since_last", "is_weekend"} | baseline_columns(signals)
 
 
-def relevance(train: DataFrame, features: Sequence[str], targets: Sequence[str], ranks: bool = True) -> DataFrame:
+def relevance(train: DataFrame, features: Sequence[str], targets: Sequence[str], ranks: bool = True,
+              matrix: DataFrame | None = None) -> DataFrame:
     """Largest absolute Pearson or Spearman correlation with any target known on enough rows."""
-    both = A.pearson(train, features, targets).select("feature", "n", F.abs("r").alias("v"))
+    matrix = A.correlation_matrix(train, [*features, *targets]) if matrix is None else matrix
+    both = matrix.where(F.col("a").isin(*features) & F.col("b").isin(*targets)).select(
+        F.col("a").alias("feature"), "n", F.abs("r").alias("v"))
     if ranks:
         both = both.unionByName(A.spearman(train, features, targets).select("feature", "n", F.abs("rho").alias("v")))
     g = both.where(F.col("n") >= MIN_TARGET_ROWS).groupBy("feature").agg(F.max("v").alias("relevance"))
@@ -95,10 +99,11 @@ def decide(features, profile: dict, rel: dict, corr: dict, keep: set[str], least
 def select_features(frame: DataFrame, features: Sequence[str], targets: Sequence[str], keep: set[str] | None = None,
                     ranks: bool = True, least: int = 20):
     """(selected names, audit frame, cluster per feature), fitted on train rows only."""
-    train = frame.where(F.col("split") == "train").select(*features, *targets)
+    train = pin(frame.where(F.col("split") == "train").select(*features, *targets))     # three scans follow
     profile = {x["feature"]: (x["density"] or 0.0, x["varies"]) for x in A.profile(train, features).collect()}
-    rel = {x["feature"]: x["relevance"] for x in relevance(train, features, targets, ranks).collect()}
-    corr = {(x["a"], x["b"]): x["r"] for x in A.correlation_matrix(train, features).collect()}
+    matrix = pin(A.correlation_matrix(train, [*features, *targets]))
+    rel = {x["feature"]: x["relevance"] for x in relevance(train, features, targets, ranks, matrix).collect()}
+    corr = {(x["a"], x["b"]): x["r"] for x in matrix.collect()}
     keep = set(features) & (must_keep() if keep is None else keep)
     selected, reasons, cluster = decide(list(features), profile, rel, corr, keep, least)
     audit = frame.sparkSession.createDataFrame(

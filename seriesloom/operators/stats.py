@@ -92,13 +92,11 @@ def pearson(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> D
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Density, null share, distinct count (approximate: only fewer than two matters) per column."""
+    """Density, null share and whether the column holds more than one value."""
     one = df.agg(*[F.avg(finite(c).isNotNull().cast("double")).alias(f"d_{c}") for c in columns],
-                 *[F.approx_count_distinct(finite(c)).alias(f"u_{c}") for c in columns],
                  *[F.min(finite(c)).alias(f"lo_{c}") for c in columns], *[F.max(finite(c)).alias(f"hi_{c}") for c in columns])
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"d_{c}").alias("density"), (1 - F.col(f"d_{c}")).alias("missing"),
-                 F.col(f"u_{c}").alias("n_distinct"),
                  F.coalesce(F.col(f"lo_{c}") != F.col(f"hi_{c}"), F.lit(False)).alias("varies")) for c in columns])))
 
 

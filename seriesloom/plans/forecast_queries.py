@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.functions.lanes import attach_row, lay_out
 from seriesloom.functions.quantile import quantiles
+from seriesloom.lineage import pin
 from seriesloom.operators import detectors as D
 from seriesloom.operators import features as W
 from seriesloom.operators import forecast as B
@@ -32,6 +33,12 @@ def frame(spark, sf) -> DataFrame:
     return W.build_features(event_panel(spark, sf), CFG)
 
 
+def learning_frame(spark, sf) -> DataFrame:
+    """The columns learners read, written once: every fit scans this instead of rebuilding the features."""
+    cols = [*ROW, "ts", "split", "patient_split", "days_since_last", "sbp", *dict.fromkeys([*SMALL, *LAGS]), "y_sbp_h0", "y_sbp_h1"]
+    return pin(frame(spark, sf).select(*cols))
+
+
 def fit_rows(f: DataFrame) -> DataFrame:
     return f.where("split = 'train' AND patient_split = 'fit'")
 
@@ -252,13 +259,13 @@ def shipped_model(spark, sf) -> DataFrame:
 def model_sweep(spark, sf) -> DataFrame:
     """Ridge, its delta and window forms, elastic net, boosting and forest, on val, test and unseen entities."""
     kinds = ["ridge", "ridge_delta", "ridge_window", "elastic_net", "huber", "gbt", "forest"]
-    long = L.sweep(frame(spark, sf), SMALL, ["sbp"], [0], kinds, ROW, LAGS)
+    long = L.sweep(learning_frame(spark, sf), SMALL, ["sbp"], [0], kinds, ROW, LAGS)
     return M.evaluate(long, ["signal", "h", "model", "arm"], last="last")
 
 
 @query("residual_intercepts")
 def residual_intercepts(spark, sf) -> DataFrame:
-    f = frame(spark, sf)
+    f = learning_frame(spark, sf)
     p = L.residual_intercepts(fit_rows(f), f.where("split = 'test'"), "ridge", SMALL, "y_sbp_h0")
     return M.evaluate(p.select("patient_split", F.col("y_sbp_h0").alias("y"), "p"), ["patient_split"])
 
@@ -266,17 +273,16 @@ def residual_intercepts(spark, sf) -> DataFrame:
 @query("parameter_search")
 def parameter_search(spark, sf) -> DataFrame:
     """Expanding folds inside every series; a setting must beat the default to be kept."""
-    lanes = event_panel(spark, sf)
-    f = W.build_features(lanes, CFG).where("split = 'train'")
+    f = learning_frame(spark, sf).where("split = 'train'")
     again = lay_out(f.drop("step"), ["series_id"], ["ts", "event_id"], bound=event_bound(spark, sf))
     ranked = again.done(P.percent_rank(again, again.df))
     grid = [{"regParam": 0.1}, {"regParam": 1.0}, {"regParam": 10.0}]
-    return L.search(P.folds(ranked, 2), "ridge", SMALL, "y_sbp_h0", grid, 2)
+    return L.search(pin(P.folds(ranked, 2)), "ridge", SMALL, "y_sbp_h0", grid, 2)
 
 
 @query("tuning_comparison")
 def tuning_comparison(spark, sf) -> DataFrame:
-    f = frame(spark, sf)
+    f = learning_frame(spark, sf)
     def scored(**params):
         p = L.fit_predict(fit_rows(f), f.where("split = 'val'"), "ridge", SMALL, "y_sbp_h0", **params)
         e = p.select("event_id", F.lit("sbp").alias("signal"), F.lit("ridge").alias("model"), F.abs(F.col("y_sbp_h0") - F.col("p")).alias("e"))
@@ -287,7 +293,7 @@ def tuning_comparison(spark, sf) -> DataFrame:
 @query("champion_challenger")
 def champion_challenger(spark, sf) -> DataFrame:
     """Two models on identical rows, with the paired difference."""
-    f = frame(spark, sf)
+    f = learning_frame(spark, sf)
     test = f.where("split = 'test' AND y_sbp_h0 IS NOT NULL").select("event_id", "y_sbp_h0", *SMALL)
     both = L.fit_predict(fit_rows(f), test, "ridge", SMALL, "y_sbp_h0", name="champion")
     both = L.fit_predict(fit_rows(f), both, "gbt", SMALL, "y_sbp_h0", name="challenger")
@@ -298,7 +304,7 @@ def champion_challenger(spark, sf) -> DataFrame:
 
 @query("block_importance")
 def block_importance(spark, sf) -> DataFrame:
-    f = frame(spark, sf)
+    f = learning_frame(spark, sf)
     train = L.doubles(fit_rows(f), SMALL).withColumn("_label", F.col("y_sbp_h0"))
     model = L.make_model("ridge", SMALL).fit(train.select(*SMALL, "_label"))
     blocks = {"sbp level": ["sbp_mean7", "sbp_mean14", "sbp_base_mean", "sbp_ewm30"], "sbp lags": LAGS[:3], "dbp": ["dbp_lag1", "dbp_mean7"]}
@@ -307,7 +313,7 @@ def block_importance(spark, sf) -> DataFrame:
 
 @query("prediction_explanations")
 def prediction_explanations(spark, sf) -> DataFrame:
-    f = frame(spark, sf)
+    f = learning_frame(spark, sf)
     train = L.doubles(fit_rows(f), SMALL).withColumn("_label", F.col("y_sbp_h0"))
     model = L.make_model("ridge", SMALL).fit(train.select(*SMALL, "_label"))
     med = quantiles(W.unpivot(train, SMALL), ["feature"], "value", {"m": 0.5}, 13 * event_rows(spark, sf))
@@ -320,7 +326,7 @@ def prediction_explanations(spark, sf) -> DataFrame:
 def shuffled_target_probe(spark, sf) -> DataFrame:
     """A model fitted on dealt-out targets must not beat persistence."""
     from seriesloom.operators.leakage import shuffled_target
-    f = frame(spark, sf)
+    f = learning_frame(spark, sf)
     train = shuffled_target(f.where("split = 'train' AND y_sbp_h0 IS NOT NULL"), "y_sbp_h0", ["series_id", "event_id"])
     test = f.where("split = 'test' AND sbp_lag1 IS NOT NULL AND y_sbp_h0 IS NOT NULL")
     p = L.fit_predict(train, test, "ridge", SMALL, "y_shuffled")
@@ -339,7 +345,7 @@ def feature_selection(spark, sf) -> DataFrame:
 
 @query("selection_relevance")
 def selection_relevance(spark, sf) -> DataFrame:
-    f = frame(spark, sf).where("split = 'train'")
+    f = pin(frame(spark, sf).where("split = 'train'").select("sbp_lag1", "sbp_mean7", "dbp_lag1", "pp_lag1", "age", "sbp_std7", "y_sbp_h0", "y_sbp_h1"))
     return X.relevance(f, ["sbp_lag1", "sbp_mean7", "dbp_lag1", "pp_lag1", "age", "sbp_std7"], ["y_sbp_h0", "y_sbp_h1"])
 
 
@@ -409,7 +415,7 @@ def cold_start_curve(spark, sf) -> DataFrame:
 @query("learned_thresholds")
 def learned_thresholds(spark, sf) -> DataFrame:
     """Mean-native learners shifted by the 0.90 quantile of calibration residuals, on one board with the references."""
-    f = cut_frame(spark, sf)
+    f = pin(cut_frame(spark, sf))
     cols = [c for c in O.HISTORY]
     train, n = f.where("offset_split = 'train'"), event_rows(spark, sf)
     scored = f
@@ -448,7 +454,7 @@ MATRIX = ["sbp_lag1", "sbp_mean7", "sbp_std7", "sbp_slope7", "dbp_lag1", "dbp_me
 @query("learned_detectors")
 def learned_detectors(spark, sf) -> DataFrame:
     """Subspace, density and covariance distances over dense varying columns, ranked against the events."""
-    f = detector_frame(spark, sf)
+    f = pin(detector_frame(spark, sf).select("split", "event_next", "event_id", *MATRIX))
     pipe, dense = L.score_matrix(f, MATRIX)
     rows = pipe.transform(L.doubles(f, dense)).select("split", "event_next", "event_id", "_x")
     train = rows.where("split = 'train'")
@@ -464,7 +470,8 @@ def tier_classifier(spark, sf) -> DataFrame:
     """Multi-class head on the tier of the next row, confusion counts on the test tail."""
     from seriesloom.operators.rules import classifier_frame
     lanes, al = event_alerts(spark, sf)
-    f = classifier_frame(frame(spark, sf), lanes.done(al), 1)
+    alerts = lanes.done(al).select("series_id", "step", "tier", "rule_id", "gate_reason")
+    f = pin(classifier_frame(learning_frame(spark, sf), alerts, 1))
     model = L.tier_head(f, SMALL)
     scored = model.transform(L.doubles(f.where("split = 'test' AND trainable"), SMALL))
     names = F.array(*[F.lit(x) for x in model.stages[0].labels] + [F.lit("unseen")])
@@ -476,7 +483,7 @@ def rare_event_head(spark, sf) -> DataFrame:
     """Boosted head for a symptom two rows ahead: calibrated, cut at the alert budget, scored on test rows."""
     lanes = event_panel(spark, sf)
     df = lanes.df.withColumn("y_sym", F.lead("dizziness", 2).over(lanes.window))
-    f = W.build_features(lanes, CFG, df)
+    f = pin(W.build_features(lanes, CFG, df).select("series_id", "step", "split", "y_sym", *SMALL))
     got = L.rare_event_head(f, SMALL, "y_sym", bound=event_rows(spark, sf))
     if got is None:                 # too few positives at this size: the head is not trained
         return f.where("false").select(F.lit("dizziness").alias("label"), F.lit(0.0).alias("brier"))
