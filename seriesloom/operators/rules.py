@@ -40,7 +40,7 @@ def gate(df: DataFrame) -> Column:
                     (n < 2, "SINGLE_READING_NON_EMERGENCY"), default="NONE")
 
 
-def _verdict(df: DataFrame, keep: Sequence[str], cases: Sequence[tuple[Column, dict | None]]) -> DataFrame:
+def decide(df: DataFrame, keep: Sequence[str], cases: Sequence[tuple[Column, dict | None]]) -> DataFrame:
     """Evaluate an ordered cascade: one CASE yields the number of the first match, literals yield the rest.
 
     A case without outcome ends the cascade silently. ``_gate`` is the gate of the row.
@@ -76,22 +76,28 @@ def evaluate_base(lanes: Lanes, df: DataFrame, threshold: str | None = None) ->
     df = df.withColumn("_gate", gate(df)).withColumn("_emergency", fires)
     previous = F.coalesce(F.lag("_emergency").over(lanes.window), F.lit(False))
     df = df.withColumn("_previous", previous)
+    cases = base_cases(F.col("_emergency"), F.col("_previous"), threshold, "age" in keep, "idwg" in keep)
+    return decide(df, keep, cases)
+
+
+def base_cases(emergency: Column, previous: Column, threshold: str | None = None, age: bool = True,
+               idwg: bool = False) -> list[tuple[Column, dict | None]]:
+    """The base cascade in order; ``emergency`` already respects the gate in ``_gate``."""
     hit = lambda rule, tier, **more: dict(rule=rule, tier=tier, **more)
-    pp = F.col("sbp") - F.col("dbp")
-    cases = [(F.col("_emergency"), hit("RULE_ABSOLUTE_EMERGENCY", "BP_LEVEL_2", short=True)), (g != "NONE", None)]
+    sbp, dbp = F.col("sbp"), F.col("dbp")
+    cases = [(emergency, hit("RULE_ABSOLUTE_EMERGENCY", "BP_LEVEL_2", short=True)), (F.col("_gate") != "NONE", None)]
     if threshold:
-        cases.append((F.col("sbp") >= F.col(threshold), hit("RULE_PERSONALIZED_HIGH", "BP_LEVEL_1_HIGH")))
-    cases.append(((F.col("sbp") >= 140) | (F.col("dbp") >= 90), hit("RULE_STANDARD_L1_HIGH", "BP_LEVEL_1_HIGH")))
-    if "age" in keep:
-        cases.append(((F.col("age") >= 65) & (F.col("sbp") < 100), hit("RULE_AGE_65_LOW", "BP_LEVEL_1_LOW")))
-    cases.append(((F.col("sbp") < 90) | (F.col("dbp") < 60), hit("RULE_STANDARD_L1_LOW", "BP_LEVEL_1_LOW")))
-    if "idwg" in keep:
+        cases.append((sbp >= F.col(threshold), hit("RULE_PERSONALIZED_HIGH", "BP_LEVEL_1_HIGH")))
+    cases.append(((sbp >= 140) | (dbp >= 90), hit("RULE_STANDARD_L1_HIGH", "BP_LEVEL_1_HIGH")))
+    if age:
+        cases.append(((F.col("age") >= 65) & (sbp < 100), hit("RULE_AGE_65_LOW", "BP_LEVEL_1_LOW")))
+    cases.append(((sbp < 90) | (dbp < 60), hit("RULE_STANDARD_L1_LOW", "BP_LEVEL_1_LOW")))
+    if idwg:
         cases.append((finite("idwg") >= 4.0, hit("RULE_HF_DECOMPENSATION", "BP_LEVEL_1_LOW")))
-    cases += [(F.col("_previous") & (F.col("sbp") < 140), hit("RULE_EMERGENCY_RANGE_CONFIRMED_NORMAL", "TIER_3_INFO")),
-              (pp >= 60, hit("RULE_PULSE_PRESSURE_WIDE", "TIER_3_INFO")),
-              (pp <= 25, hit("RULE_PULSE_PRESSURE_NARROW", "TIER_3_INFO")),
-              (F.col("step") < 12, hit("RULE_FIRST_MONTH_ADHERENCE_NUDGE", "TIER_3_INFO"))]
-    return _verdict(df, keep, cases)
+    return cases + [(previous & (sbp < 140), hit("RULE_EMERGENCY_RANGE_CONFIRMED_NORMAL", "TIER_3_INFO")),
+                    (sbp - dbp >= 60, hit("RULE_PULSE_PRESSURE_WIDE", "TIER_3_INFO")),
+                    (sbp - dbp <= 25, hit("RULE_PULSE_PRESSURE_NARROW", "TIER_3_INFO")),
+                    (F.col("step") < 12, hit("RULE_FIRST_MONTH_ADHERENCE_NUDGE", "TIER_3_INFO"))]
 
 
 def _inputs(df: DataFrame) -> list[Column]:
@@ -129,7 +135,7 @@ def evaluate_extended(df: DataFrame) -> DataFrame:
               (g != "NONE", None)]
     for axis in ("CONTRAINDICATION", "TIER_2", "L1", "TIER_3"):
         cases += [(c, dict(rule=r, tier=t)) for r, t, c in axes[axis]]
-    return _verdict(ready, [f"_row.{c}" for c in keep], cases)
+    return decide(ready, [f"_row.{c}" for c in keep], cases)
 
 
 def with_threshold(df: DataFrame, thresholds: DataFrame, key="series_id", name="ml_threshold") -> DataFrame:
