@@ -145,15 +145,14 @@ def scorecard(df: DataFrame, detectors: Sequence[str], sessions_per_week: float,
     g = flagged.groupBy("detector", "budget_pct").agg(
         F.count_if(hit).alias("tp"), F.count_if(flag & ~y).alias("fp"), F.count_if(~flag & y).alias("fn"),
         F.percentile(gap, F.lit(0.5)).alias("_gap"),
-        *[F.percentile(lead, F.lit(q)).alias(f"_l{int(q * 100)}") for q in (.1, .5, .9)])
+        F.percentile(lead, F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("_lead"))
     g = g.join(F.broadcast(ranking(long, ["detector"], "score", "event_next", bound)), "detector")
     precision = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
     return g.select(
         "detector", "budget_pct", "base_rate", precision.alias("precision"),
         F.try_divide(precision, F.col("base_rate")).alias("lift"),
         F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")).alias("recall"), "auc_roc", "auc_pr",
-        "auc_pr_lift", (F.col("_l10") * F.col("_gap")).alias("lead_days_p10"),
-        (F.col("_l50") * F.col("_gap")).alias("lead_days_median"), (F.col("_l90") * F.col("_gap")).alias("lead_days_p90"),
+        "auc_pr_lift", *[(F.col("_lead")[i] * F.col("_gap")).alias(f"lead_days_{n}") for i, n in enumerate(("p10", "median", "p90"))],
         (F.col("budget_pct") / 100.0 * sessions_per_week).alias("alerts_per_week"))
 
 

@@ -82,9 +82,8 @@ def resampled_mean(rows: DataFrame, by: Sequence[str], value: str, row_keys: Seq
                                        F.count("*").alias("_n"), F.avg("_v").alias("_mean")))
     g = sums.groupBy(*by).agg(
         F.max("_n").alias("n"), F.max("_mean").alias("mean"),
-        F.percentile(F.try_divide("_sv", "_sw"), F.lit(0.025)).alias("lo"),
-        F.percentile(F.try_divide("_sv", "_sw"), F.lit(0.975)).alias("hi"))
-    return g.where(F.col("n") >= least)
+        F.percentile(F.try_divide("_sv", "_sw"), F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    return g.where(F.col("n") >= least).select(*by, "n", "mean", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
 def paired(rows: DataFrame, by: Sequence[str], err_a: str, err_b: str, row_keys: Sequence[str], draws: int = 200,

@@ -46,9 +46,9 @@ def priors(warm: DataFrame, qs: Sequence[float], bound: int | None = None) -> tu
 def bands(warm: DataFrame, qs: Sequence[float]) -> DataFrame:
     """Per (series, warm): how many values, and the personal quantiles. Groups hold at most ``warm`` rows."""
     first = F.min_by(F.struct("patient_split", "age", "is_male", "is_dm", "cohort_key"), F.col("step")).alias("_s")
-    own = [F.percentile("v", F.lit(q)).alias(f"personal_{q_name(q)}") for q in qs]
-    return warm.groupBy(KEY, "warm").agg(F.count("*").alias("n"), first, *own).select(
-        KEY, "warm", "n", "_s.*", *[f"personal_{q_name(q)}" for q in qs])
+    own = F.percentile("v", F.array(*[F.lit(q) for q in qs])).alias("_q")
+    return warm.groupBy(KEY, "warm").agg(F.count("*").alias("n"), first, own).select(
+        KEY, "warm", "n", "_s.*", *[F.col("_q")[i].alias(f"personal_{q_name(q)}") for i, q in enumerate(qs)])
 
 
 def blend(n, personal, cohort, k) -> Column:
@@ -168,11 +168,10 @@ def cut_frame(panel: DataFrame, cohort: DataFrame, every: DataFrame, config: Con
     t10 = F.when(F.col("_back") <= 10, F.col("v"))
     t20 = F.when(F.col("_back") <= 20, F.col("v"))
     future = F.when(~past, F.col("v"))
-    quart = lambda p: F.percentile(h, F.lit(p))
     first = F.min_by(F.struct("patient_split", "is_dm", "is_male", "age", "cohort_key"), F.col("step")).alias("_s")
     aggs = [first, F.max("step").alias("_last"), F.count(h).alias("_past"), F.count(future).alias("_future"),
-            F.avg(h).alias("hist_mean"), F.stddev_samp(h).alias("hist_sd"), quart(.25).alias("hist_q25"),
-            quart(.5).alias("hist_q50"), quart(.75).alias("hist_q75"), quart(.9).alias("hist_q90"),
+            F.avg(h).alias("hist_mean"), F.stddev_samp(h).alias("hist_sd"),
+            F.percentile(h, F.array(*[F.lit(p) for p in (.25, .5, .75, .9)])).alias("_q"),
             F.min(h).alias("hist_min"), F.max(h).alias("hist_max"), F.avg(t10).alias("recent_mean10"),
             F.stddev_samp(t10).alias("recent_sd10"),
             F.when(F.count(t20) >= 5, F.regr_slope(t20, -F.col("_back").cast("double"))).alias("recent_slope20"),
@@ -185,7 +184,8 @@ def cut_frame(panel: DataFrame, cohort: DataFrame, every: DataFrame, config: Con
         aggs.append(F.avg(F.when(past & (F.col("_med") <= 30), F.col("took_all_meds"))).alias("_adherence"))
     g = each.groupBy(KEY, "cut").agg(*aggs).where(
         (F.col("_last") + 1 >= cut + 10) & (F.col("_past") >= 5) & (F.col("_future") >= 8))
-    g = g.select(KEY, "cut", "_s.*", *[c for c in g.columns if c not in (KEY, "cut", "_s", "_last", "_future")])
+    g = g.select(KEY, "cut", "_s.*", *[c for c in g.columns if c not in (KEY, "cut", "_s", "_q", "_last", "_future")],
+                 *[F.col("_q")[i].alias(n) for i, n in enumerate(("hist_q25", "hist_q50", "hist_q75", "hist_q90"))])
     # Priors have one row per cohort, at most eight.
     g = (attach_row(g.join(F.broadcast(cohort.drop("warm")), "cohort_key", "left"), every.drop("warm"))
          .withColumn("cohort_prior", F.coalesce(f"cohort_{q}", f"global_{q}")))

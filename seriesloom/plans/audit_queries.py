@@ -423,3 +423,29 @@ def report_verification(spark, sf) -> DataFrame:
     return C.verify_reports(reports, {
         "no critical contract failure": ("contract", F.count_if(F.col("status") == "FAIL") == 0),
         "three splits": ("splits", F.count("*") == 3), "report that does not exist": ("absent", F.lit(True))})
+
+
+@query("row_overlap", sql(SQL_EVENT_PANEL, """
+SELECT CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE split <> 'train') AS BIGINT) AS n_scored,
+  CAST(0 AS BIGINT) AS n_shared FROM ep"""))
+def row_overlap(spark, sf) -> DataFrame:
+    """No scored row is a training row."""
+    lanes = event_panel(spark, sf)
+    rows = lanes.done(lanes.df).select("series_id", "step", "split")
+    train, scored = (rows.where(c).select("series_id", "step") for c in ("split = 'train'", "split <> 'train'"))
+    shared = train.intersect(scored).agg(F.count("*").alias("n_shared"))
+    return attach_row(attach_row(train.agg(F.count("*").alias("n_train")), scored.agg(F.count("*").alias("n_scored"))), shared)
+
+
+@query("overlay_merge", sql(SQL_EVENT_PANEL, f"""
+SELECT split, count(*) AS n, count(s) AS n_marked, {sr('avg(CASE WHEN s IS NOT NULL THEN sbp END)')} AS mean_marked
+FROM (SELECT a.split, a.sbp, b.dizziness AS s FROM ep a LEFT JOIN (SELECT * FROM ep WHERE k % 2 = 0) b
+  ON a.series_id = b.series_id AND a.step = b.step) GROUP BY 1"""))
+def overlay_merge(spark, sf) -> DataFrame:
+    """A clinical layer that covers some rows, merged on (series, step): uncovered rows keep nulls."""
+    lanes = event_panel(spark, sf)
+    rows = lanes.done(lanes.df)
+    layer = rows.where(F.col("k") % 2 == 0).select("series_id", "step", F.col("dizziness").alias("s"))
+    j = rows.select("series_id", "step", "split", "sbp").join(layer, ["series_id", "step"], "left")
+    return j.groupBy("split").agg(F.count("*").alias("n"), F.count("s").alias("n_marked"),
+                                  r(F.avg(F.when(F.col("s").isNotNull(), F.col("sbp")))).alias("mean_marked"))

@@ -24,11 +24,15 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse(lines: DataFrame, raw="raw") -> DataFrame:
     """Add parsed columns and ``error`` (null for a good line); blank and ``#`` lines are dropped."""
     text = F.trim(F.col(raw))
+    d = lines.withColumn("_t", text).where((F.col("_t") != "") & ~F.col("_t").startswith("#"))
+    # One-element explodes: a line is split once, however many fields are read from the parts.
     parts = F.filter(F.transform(F.split("_t", r"[,\t;]+"), lambda p: F.trim(p)), lambda p: p != "")
-    d = lines.withColumn("_t", text).where((F.col("_t") != "") & ~F.col("_t").startswith("#")).withColumn("_p", parts)
-    d = d.withColumn("_pos", F.filter("_p", lambda p: ~p.contains("="))).withColumn("_kv", F.filter("_p", lambda p: p.contains("=")))
-    d = d.withColumn("_keys", F.transform("_kv", lambda p: F.lower(F.trim(F.substring_index(p, "=", 1)))))
-    d = d.withColumn("_vals", F.transform("_kv", lambda p: F.trim(F.regexp_replace(p, "^[^=]*=", ""))))
+    d = d.withColumn("_p", F.explode(F.array(parts)))
+    kv = F.filter("_p", lambda p: p.contains("="))
+    split_up = F.struct(F.filter("_p", lambda p: ~p.contains("=")).alias("_pos"),
+                        F.transform(kv, lambda p: F.lower(F.trim(F.substring_index(p, "=", 1)))).alias("_keys"),
+                        F.transform(kv, lambda p: F.trim(F.regexp_replace(p, "^[^=]*=", ""))).alias("_vals"))
+    d = d.withColumn("_x", F.explode(F.array(split_up))).select("*", "_x.*").drop("_x")
 
     def last(name: str) -> Column:
         at = F.size("_keys") - F.array_position(F.reverse("_keys"), name)
