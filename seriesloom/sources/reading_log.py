@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Keyed fields that hold a number, and what they become.
 NUMBERS = {"weight": "weight", "w": "weight"}
@@ -12,13 +12,20 @@ YES, NO = ("y", "yes", "1"), ("n", "no", "0")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their number, so that an error can name the line.
+    """Lines of text files with their number in the file, so that an error can name the line.
 
-    Files are read one per row; logs are typed by hand and small, their number is not bounded.
+    Files are read in blocks like any text source. A line's number is its place inside its block plus the
+    lines of the blocks before it, so no task ever holds more than one block.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return files.select("file", F.posexplode(F.split("text", r"\r?\n"))).select(
-        "file", (F.col("pos") + 1).alias("line"), F.col("col").alias("raw"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("raw"),
+        F.monotonically_increasing_id().alias("_id"))
+    ahead = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "_block").agg(F.count("*").alias("_n")).select(
+        "file", "_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("file", "_block").orderBy("_id")
+    return lines.join(starts, ["file", "_block"]).select(
+        "file", (F.col("_start") + F.row_number().over(inside)).alias("line"), "raw")
 
 
 def parse(lines: DataFrame, raw="raw") -> DataFrame:
