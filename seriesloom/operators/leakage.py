@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from seriesloom.functions.expr import finite, share
+from seriesloom.functions.expr import finite
 from seriesloom.functions.lanes import Lanes, attach_row, lay_out
 from seriesloom.operators.contract import rows
 from seriesloom.operators.features import LATENT
+from seriesloom.operators.stats import correlation_matrix
 
 
 def target_mismatches(frame: DataFrame, signal: str, horizons: Sequence[int], tolerance: float = 1e-3) -> DataFrame:
@@ -38,12 +39,14 @@ def structural_audit(frame: DataFrame, features: Sequence[str], signal="sbp", ho
         F.count_if("mixed").alias("mixed"))
     inf = lambda c: F.abs(F.col(c).cast("double")) == float("inf")
     one = frame.agg(
-        F.greatest(*[F.coalesce(F.abs(F.corr(finite(f), F.col(signal))), F.lit(0.0)) for f in features]).alias("copy"),
         F.count_if(F.col(f"{signal}_mean3").isNotNull() & F.col(f"{signal}_lag1").isNull()).alias("early"),
-        F.greatest(*[F.max(F.coalesce(inf(f), F.lit(False)).cast("int")) for f in features]).alias("inf"),
+        F.max(F.array_max(F.array(F.lit(0), *[F.coalesce(inf(f), F.lit(False)).cast("int") for f in features]))).alias("inf"),
         *[F.avg(F.col(f"y_{signal}_h{h}").isNotNull().cast("double")).alias(f"cov{h}") for h in horizons],
-        F.least(*[F.avg(F.col(f).isNotNull().cast("double")) for f in features]).alias("density"))
-    one = attach_row(attach_row(one, lagged), order)
+        *[F.count(f).alias(f"_n{i}") for i, f in enumerate(features)], F.count("*").alias("_rows"))
+    one = one.withColumn("density", F.array_min(F.array(*[F.col(f"_n{i}") for i in range(len(features))])) / F.col("_rows"))
+    twins = correlation_matrix(frame, [*features, signal]).where(F.col("b") == signal).agg(
+        F.coalesce(F.max(F.abs("r")), F.lit(0.0)).alias("copy"))
+    one = attach_row(attach_row(attach_row(one, twins), lagged), order)
     c = F.col
     latent = sorted(set(LATENT) & set(features))
     return rows(one, [

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.functions.lanes import attach_row, lay_out
 from seriesloom.functions.quantile import quantiles
+from seriesloom.lineage import pin
 from seriesloom.operators import contract as C
 from seriesloom.operators import features as W
 from seriesloom.operators import leakage as K
@@ -377,7 +378,8 @@ def cadence_audit(spark, sf) -> DataFrame:
 def leakage_structure(spark, sf) -> DataFrame:
     f = W.build_features(panel(spark, sf), CONFIG)
     names = [n for n in W.feature_names(f) if not n.startswith("weight")]
-    return K.structural_audit(f, names)
+    keep = ["series_id", "step", "split", "patient_split", "sbp", "y_sbp_h0", "y_sbp_h1", "y_sbp_h2"]
+    return K.structural_audit(pin(f.select(*dict.fromkeys([*keep, *names]))), names)
 
 
 PROBED = ["sbp_lag1", "sbp_mean7", "sbp_std14", "sbp_slope7", "sbp_ewm10", "sbp_base_mean", "sbp_z", "pp_z", "gap_mean24"]
