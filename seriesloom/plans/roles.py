@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesloom.config import Config
@@ -19,15 +17,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-@lru_cache(maxsize=256)
-def _longest(app: str, sf: str, name: str, key: str) -> int:
-    spark = SparkSession.getActiveSession()
-    return table(spark, sf, name).groupBy(key).count().agg(F.max("count")).first()[0]
+_KNOWN: dict[tuple, int] = {}
 
 
 def longest(spark: SparkSession, sf: str, name: str, key: str) -> int:
     """Rows of the longest series of a base table: one narrow job, kept for the session."""
-    return _longest(spark.sparkContext.applicationId, sf, name, key)
+    at = (spark.sparkContext.applicationId, sf, name, key)
+    if at not in _KNOWN:
+        _KNOWN[at] = table(spark, sf, name).groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return _KNOWN[at]
 
 
 def event_bound(spark, sf) -> int:

@@ -95,7 +95,7 @@ def log_lines(spark, sf) -> DataFrame:
 
 @query("reading_log", sql(SQL_READINGS, """
 SELECT seq, CAST(ts AS DATE)::VARCHAR AS date, CAST(round(sbp + 100) AS INTEGER) AS sbp, CAST(dbp AS INTEGER) AS dbp,
-  CASE WHEN seq % 4 = 0 THEN 72.0 END AS pulse, CASE WHEN seq % 5 = 0 THEN CASE WHEN dbp % 2 = 0 THEN 1 ELSE 0 END END AS took_all_meds,
+  CASE WHEN seq % 4 = 0 THEN CAST(72 AS DOUBLE) END AS pulse, CASE WHEN seq % 5 = 0 THEN CASE WHEN dbp % 2 = 0 THEN 1 ELSE 0 END END AS took_all_meds,
   CASE WHEN seq % 7 = 0 THEN 2 END AS n_symptoms FROM rd WHERE seq % 11 <> 0 AND seq % 13 <> 0 AND seq % 17 <> 0 AND seq % 19 <> 0"""))
 def reading_log_query(spark, sf) -> DataFrame:
     p = reading_log.good(reading_log.parse(log_lines(spark, sf)))
