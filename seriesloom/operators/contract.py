@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesloom.config import GAP_FIRST, GAP_HIGH, GAP_LOW, MAX_OUT_OF_RANGE, MIN_PULSE_PRESSURE, RANGES, STALE_DAYS
+from seriesloom.config import GAP_HIGH, GAP_LOW, MAX_OUT_OF_RANGE, MIN_PULSE_PRESSURE, RANGES, STALE_DAYS
 from seriesloom.functions.expr import share
 from seriesloom.functions.lanes import Lanes, attach_row
 from seriesloom.functions.quantile import quantiles

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesloom.config import Config
 from seriesloom.functions.expr import clip, finite, ratio
 from seriesloom.functions.lanes import Lanes, attach_row
 from seriesloom.functions.quantile import quantiles

@@ -10,13 +10,12 @@ from seriesloom.lineage import pin
 from seriesloom.operators import contract as C
 from seriesloom.operators import features as W
 from seriesloom.operators import leakage as K
-from seriesloom.operators import panel as P
 from seriesloom.operators import stats as A
 from seriesloom.plans.detector_queries import over_step
 from seriesloom.plans.feature_queries import overlay, sql_lag, sql_roll
 from seriesloom.plans.registry import query
-from seriesloom.plans.roles import (CONFIG, EVENT_CONFIG, SQL_EVENT_PANEL, SQL_PANEL, SQL_SESSIONS, event_bound, event_panel,
-                                    event_rows, longest, panel, r, sessions, sql, sr, table)
+from seriesloom.plans.roles import (CONFIG, EVENT_CONFIG, SQL_EVENT_PANEL, SQL_PANEL, SQL_SESSIONS, event_bound,
+                                    event_panel, event_rows, panel, r, sessions, sql, sr, table)
 
 LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 

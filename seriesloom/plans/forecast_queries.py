@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from seriesloom.functions.lanes import attach_row, lay_out
 from seriesloom.functions.quantile import quantiles
 from seriesloom.lineage import pin
-from seriesloom.operators import detectors as D
 from seriesloom.operators import features as W
 from seriesloom.operators import forecast as B
 from seriesloom.operators import learners as L
@@ -16,7 +15,7 @@ from seriesloom.operators import panel as P
 from seriesloom.operators import selection as X
 from seriesloom.operators import stats as A
 from seriesloom.operators import thresholds as O
-from seriesloom.plans.detector_queries import SQL_BASE, SQL_DS, baseline_forecasts, detector_frame, over_step
+from seriesloom.plans.detector_queries import SQL_BASE, baseline_forecasts, detector_frame, over_step
 from seriesloom.plans.feature_queries import sql_expand, sql_lag, sql_roll
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, event_bound, event_panel, event_rows, r, sql, sr)

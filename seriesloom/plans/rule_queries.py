@@ -10,10 +10,10 @@ from seriesloom.operators import panel as P
 from seriesloom.operators import rules as R
 from seriesloom.operators.frames import provenance
 from seriesloom.operators.rulebook import CASCADE, RULE_TABLE, TIERS, lines
-from seriesloom.plans.feature_queries import SQL_EWM, frame, sql_expand, sql_lag, sql_roll
+from seriesloom.plans.feature_queries import frame, sql_expand, sql_lag, sql_roll
 from seriesloom.plans.registry import query
-from seriesloom.plans.roles import (CONFIG, EVENT_CONFIG, SQL_EVENT_PANEL, SQL_PANEL, event_bound, event_panel,
-                                    event_rows, panel, r, sql, sr, table)
+from seriesloom.plans.roles import (CONFIG, EVENT_CONFIG, SQL_EVENT_PANEL, SQL_PANEL, event_panel, event_rows, panel,
+                                    r, sql, sr, table)
 from seriesloom.plans.threshold_queries import SQL_PRIOR
 from seriesloom.operators import thresholds as O
 

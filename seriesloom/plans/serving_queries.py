@@ -6,22 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from seriesloom.functions.lanes import attach_row
-from seriesloom.functions.quantile import quantiles
 from seriesloom.lineage import checkpoint_dir
 from seriesloom.operators import detectors as D
-from seriesloom.operators import features as W
-from seriesloom.operators import forecast as B
 from seriesloom.operators import gates as G
-from seriesloom.operators import metrics as M
 from seriesloom.operators import rules as R
 from seriesloom.operators import serving as V
 from seriesloom.operators import thresholds as O
 from seriesloom.operators.learners import fit_predict
-from seriesloom.plans.detector_queries import SQL_DS, baseline_forecasts, detector_frame, fairness_battery
+from seriesloom.plans.detector_queries import detector_frame, fairness_battery
 from seriesloom.plans.forecast_queries import SMALL, fit_rows, forecast_pairs, learning_frame, missingness_sweep, prediction_explanations
 from seriesloom.plans.registry import query
-from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, SQL_READINGS, event_bound, event_panel, event_rows, r,
+from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, SQL_READINGS, event_panel, event_rows, r,
                                     readings, sql, sr, table, us)
 from seriesloom.plans.rule_queries import advisories, base_sql, event_alerts, extended_rows, smoothed_forecast
 from seriesloom.sources import reading_log

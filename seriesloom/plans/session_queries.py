@@ -10,8 +10,8 @@ from seriesloom.functions.quantile import quantiles
 from seriesloom.operators import sessions as S
 from seriesloom.operators.frames import digest
 from seriesloom.plans.registry import query
-from seriesloom.plans.roles import (ADMIT, SQL_READINGS, SQL_RECORDS, SQL_RUNS, SQL_SESSIONS, admitted, event_bound,
-                                    r, readings, records, runs, sessions, sql, sr, static, table, us)
+from seriesloom.plans.roles import (ADMIT, SQL_READINGS, SQL_RECORDS, SQL_RUNS, SQL_SESSIONS, admitted, r, readings,
+                                    records, runs, sessions, sql, sr, static, table, us)
 
 DAY = "CAST(day AS VARCHAR) AS day"
 

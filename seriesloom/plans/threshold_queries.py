@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seriesloom.functions.expr import bucket
 from seriesloom.operators import thresholds as O
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import EVENT_CONFIG as CFG, SQL_EVENT_PANEL, event_bound, event_panel, event_rows, r, sql, sr

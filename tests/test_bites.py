@@ -18,7 +18,6 @@ from seriesloom.operators import serving as V
 from seriesloom.operators import stats as A
 from seriesloom.operators.frames import digest, provenance
 from seriesloom.operators.rulebook import RULE_TABLE, lines
-from seriesloom.plans.feature_queries import overlay
 from seriesloom.plans.roles import CONFIG, panel
 
 CFG = Config()
