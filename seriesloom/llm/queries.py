@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesloom.llm import exact, language
+from seriesloom.llm import exact, language, minhash
 from seriesloom.llm.common import table
 from seriesloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+@query("op2_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 @query("op6_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
