@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.lineage import pin
 from seriesloom.llm import bloom
 from seriesloom.llm.bloom import mixed
 from seriesloom.llm.common import ROW, attach, components, numbered
-from seriesloom.llm.words import hashed_words, shingles
+from seriesloom.llm.words import hashed_words, shingles, slices
 
 BANDS, PER_BAND = 24, 5           # a pair at similarity 0.8 shares no band with probability 0.00007
 K = BANDS * PER_BAND
@@ -98,24 +99,26 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
 
     By default every shingle of a text weighs 1; with ``counted`` it weighs its number of occurrences.
     """
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands, sigs = [None] * len(batch), [None] * len(batch)
-            for texts, offsets, hashes in hashed_words(batch["text"].tolist()):
-                offsets, found = shingles(offsets, hashes)
-                prints = dart_minhash(*weighted_shingles(offsets, found)) if counted else dart_minhash(offsets, found)
-                keys = np.zeros((len(prints), BANDS), np.uint64)
-                for j in range(PER_BAND):
-                    keys = mixed(keys + prints[:, j::PER_BAND].astype(np.uint64), j)
-                keys = mixed(keys + np.arange(BANDS, dtype=np.uint64), 9).view(np.int64)
-                small = prints.astype(np.uint8)
-                for t, i in enumerate(texts):
-                    if offsets[t + 1] > offsets[t]:
-                        bands[i], sigs[i] = keys[t], small[t].tobytes()
-            yield pd.DataFrame({ROW: batch[ROW], "doc_id": batch["doc_id"], "node": batch["node"], "bands": bands, "sig": sigs})
+            bands, sigs = [None] * batch.num_rows, [None] * batch.num_rows
+            for i, texts in slices(batch.column("text")):
+                for numbers, offsets, hashes in hashed_words(texts):
+                    offsets, found = shingles(offsets, hashes)
+                    prints = dart_minhash(*weighted_shingles(offsets, found)) if counted else dart_minhash(offsets, found)
+                    keys = np.zeros((len(prints), BANDS), np.uint64)
+                    for j in range(PER_BAND):
+                        keys = mixed(keys + prints[:, j::PER_BAND].astype(np.uint64), j)
+                    keys = mixed(keys + np.arange(BANDS, dtype=np.uint64), 9).view(np.int64)
+                    small = prints.astype(np.uint8)
+                    for t in np.flatnonzero(np.diff(offsets)):
+                        bands[i + numbers[t]], sigs[i + numbers[t]] = keys[t], small[t].tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(ROW), batch.column("doc_id"), batch.column("node"), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                [ROW, "doc_id", "node", "bands", "sig"])
 
     node = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return numbered(docs.select("doc_id", "text")).withColumn("node", node).mapInPandas(
+    return numbered(docs.select("doc_id", "text")).withColumn("node", node).mapInArrow(
         sign, f"{ROW} long, doc_id long, node binary, bands array<long>, sig binary")
 
 
@@ -126,16 +129,17 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """
     filter_ = bloom.build(rows, bloom.words_for(rows.count()))
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = batch[ROW].to_numpy()
-            for texts, offsets, hashes in hashed_words(batch["text"].tolist()):
-                offsets, found = shingles(offsets, hashes)
-                found = (found >> np.uint64(32)).astype(np.uint32)
-                yield pd.DataFrame({ROW: numbers[texts], "found": [np.unique(found[offsets[t]:offsets[t + 1]]).tobytes() for t in range(len(texts))]})
+            for i, texts in slices(batch.column("text")):
+                for numbers, offsets, hashes in hashed_words(texts):
+                    offsets, found = shingles(offsets, hashes)
+                    found = (found >> np.uint64(32)).astype(np.uint32)
+                    sets = [np.unique(found[offsets[t]:offsets[t + 1]]).tobytes() for t in range(len(numbers))]
+                    yield pa.RecordBatch.from_arrays([batch.column(ROW).take(pa.array(i + numbers)), pa.array(sets, pa.binary())], [ROW, "found"])
 
     wanted = numbered(docs.select("text")).where(bloom.passes(docs.sparkSession, filter_, F.col(ROW)))
-    return wanted.mapInPandas(gather, f"{ROW} long, found binary")
+    return wanted.select(ROW, "text").mapInArrow(gather, f"{ROW} long, found binary")
 
 
 @F.pandas_udf("boolean")
@@ -188,8 +192,8 @@ def near_duplicates(docs: DataFrame, counted: bool = False) -> DataFrame:
     equal texts only. Equal texts share a class; a class of null doc_ids only has a null class_id. ``docs`` is a table
     scan with doc_id (long, may repeat) and text; other columns are not read. An empty table gives an empty result.
 
-    Links are searched in two rounds, none of which lists the pairs of a bucket: first every member against its
-    bucket's first one; then, in the few buckets that still hold more than one component, all pairs of members of
+    Links are searched in two rounds, none of which lists the pairs of a bucket: first every text against the first
+    member of one of its buckets; then, in the buckets that still hold more than one component, all pairs of members of
     different components, by signature within tasks, of which only the plausible ones leave for the exact check.
     """
     signed = pin(signatures(docs, counted))
@@ -200,22 +204,24 @@ def near_duplicates(docs: DataFrame, counted: bool = False) -> DataFrame:
     firsts = signed.where("bands IS NOT NULL").join(texts.select(F.col("rep").alias(ROW)), ROW, "left_semi")
     firsts = pin(firsts.select(ROW, "bands", "sig"))
     buckets = pin(firsts.select(F.explode("bands").alias("band"), ROW))
-    leads = pin(buckets.groupBy("band").agg(F.min(ROW).alias("b"), F.count("*").alias("n")).where("n > 1"))
-    stars = pin(buckets.join(leads, "band").where(F.col(ROW) != F.col("b")).select(F.col(ROW).alias("a"), "b").distinct())
+    leads = pin(buckets.groupBy("band").agg(F.min(ROW).alias("b"), F.max(ROW).alias("last"), F.count("*").alias("n")).where("n > 1"))
+    member = buckets.join(leads.select("band", "b", "n"), "band")
+    stars = pin(member.groupBy(F.col(ROW).alias("a")).agg(F.min("b").alias("b")).where("a <> b"))
     edges = verified(docs, stars)
     labels = components(edges)
 
-    several = buckets.join(leads.where("n > 2").select("band", "n"), "band")
-    member = several.join(labels.withColumnRenamed("node", ROW), ROW, "left").withColumn("label", F.coalesce("label", ROW))
+    member = member.join(labels.withColumnRenamed("node", ROW), ROW, "left").withColumn("label", F.coalesce("label", ROW))
     member = pin(member.select("band", "n", ROW, "label"))
-    mixed_up = member.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    member = member.join(mixed_up, "band").join(firsts.select(ROW, "sig"), ROW)
+    impure = pin(member.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band"))
+    two = leads.where("n = 2").join(impure, "band").select(F.col("last").alias("a"), "b")
+    member = member.where("n > 2").join(impure, "band").join(firsts.select(ROW, "sig"), ROW)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64(ROW), chunks).cast("int")
     spread = member.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     spread = spread.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                            (F.col("own") > F.col("other")).cast("int").alias("side"), ROW, "label", "sig")
-    more = pin(spread.groupBy("band", "i", "j").applyInPandas(_cross_pairs, "a long, b long").distinct())
+    more = two.union(spread.groupBy("band", "i", "j").applyInPandas(_cross_pairs, "a long, b long"))
+    more = pin(more.distinct().join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         labels = components(edges.union(verified(docs, more)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesloom.llm import exact, language, minhash
+from seriesloom.llm import exact, language, minhash, mixing, packing
 from seriesloom.llm.common import table
 from seriesloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -19,6 +19,21 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op4_mixing")
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_packing")
+def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op10_exact_dedup", """
     WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                       sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256,

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 from seriesloom.llm.bloom import mixed
 
@@ -19,6 +20,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def slices(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, list]]:
+    """A text column as Python lists of few rows: (first row, texts)."""
+    for i in range(0, len(column), rows):
+        yield i, column.slice(i, rows).to_pylist()
+
+
 @cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _P, np.uint64)
