@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesloom.lineage import checkpoint_dir
-from seriesloom.llm import exact, language
+from seriesloom.llm import exact, language, minhash, mixing, packing
+from seriesloom.llm.queries import tokenizer_path
 
 #: Learned models and hash samples are not expressible in SQL; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
@@ -27,7 +28,22 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicate(docs)
 
 
-STAGES = [("language", language_stage), ("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near-duplicates."""
+    return minhash.deduplicate(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks for: not at all, once or twice."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("language", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

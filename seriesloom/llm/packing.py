@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 LENGTH = 2048
 END = 1                           # id that closes a document
-SENTENCE, INSIDE = 4, 32          # padding tokens that a cut after a sentence, or inside one, is worth avoiding
-STRETCH = 256                     # a stretch without sentence ends may be cut at such steps
+SENTENCE, INSIDE = 4, 12          # padding tokens that a cut after a sentence, or inside one, is worth avoiding
+STRETCH = 32                      # a stretch without sentence ends may be cut at such steps
 CHUNK = 1 << 18                   # tokens planned together; the last open sequence goes on in the next chunk
 CACHED = 1 << 19                  # words whose ids a worker remembers
 SLICE = 1 << 20                   # code points of a text split at a time
