@@ -12,6 +12,7 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ END = 1                           # id that closes a document
 SENTENCE, INSIDE = 4, 12          # padding tokens that a cut after a sentence, or inside one, is worth avoiding
 STRETCH = 32                      # a stretch without sentence ends may be cut at such steps
 CHUNK = 1 << 18                   # tokens planned together; the last open sequence goes on in the next chunk
-CACHED = 1 << 19                  # words whose ids a worker remembers
+CACHED = 1 << 20                  # words whose ids a worker remembers
 SLICE = 1 << 20                   # code points of a text split at a time
 
 
@@ -42,6 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = _sentence_ends(self.tokenizer)
+        self.tails = {t: array("I", self.tokenizer.encode(t, add_special_tokens=False).ids) for t in ("", ",", ".")}
         self.forget()
 
     def forget(self) -> None:
@@ -85,20 +87,38 @@ class Encoder:
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHED:
             self.forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = len(self.known)
-                self.ids.extend(found.ids)
-                self.start.append(len(self.ids))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        start = np.array(self.start)
-        flat = np.array(self.ids, np.uint32)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(words[i] for i in missing))
+            for i in range(0, len(new), 4096):
+                self._learn(new[i:i + 4096])
+            at[missing] = [self.known[words[i]] for i in missing]
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.uint32)
         first, count = start[at], start[at + 1] - start[at]
         offsets = np.append(0, np.cumsum(count))
         return flat[np.repeat(first - offsets[:-1], count) + np.arange(offsets[-1])], offsets
 
+    def _learn(self, words: list[str]) -> None:
+        """A final comma or full stop after a letter is a token of its own and the first letter's case does not matter."""
+        stems = {}
+        for word in words:
+            tail = word[-1:] if word[-1:] in ",." and word[-2:-1].isalpha() else ""
+            stem = word[:len(word) - len(tail)]
+            stems[word] = (stem[:1].lower() + stem[1:] if "A" <= stem[:1] <= "Z" else stem, tail)
+        new = [stem for stem in dict.fromkeys(stem for stem, _ in stems.values()) if stem not in self.known]
+        for stem, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self._add(stem, found.ids)
+        for word, (stem, tail) in stems.items():
+            if word not in self.known:
+                at = self.known[stem]
+                self._add(word, self.ids[self.start[at]:self.start[at + 1]] + self.tails[tail])
+
+    def _add(self, word: str, ids) -> None:
+        self.known[word] = len(self.known)
+        self.ids.extend(ids)
+        self.start.append(len(self.ids))
+
 
 @cache
 def _encoder(path: str) -> Encoder:
