@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType
 
 from seriesloom.lineage import pin
 from seriesloom.llm import bloom
@@ -28,7 +29,8 @@ K = BANDS * PER_BAND
 SIMILAR = (4, 5)                  # Jaccard similarity 4/5 or more is a link
 PLAUSIBLE = 0.6                   # share of equal coordinates, 5.5 standard errors below 0.8, that is worth an exact check
 FIRST_RANK = -6                   # the first cells reach to rank 2^-6, each later one doubles it
-CHUNK = 2048                      # members of a bucket that one task compares with as many others
+CHUNK = 2048                      # members of a bucket that one task compares with as many others,
+CHUNK_BYTES = 1 << 23             # and bytes of their shingle sets
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -142,17 +144,18 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return wanted.select(ROW, "text").mapInArrow(gather, f"{ROW} long, found binary")
 
 
-@F.pandas_udf("boolean")
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) * SIMILAR[1] < max(len(a), len(b)) * SIMILAR[0]:
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common * SIMILAR[1] >= (len(both) - common) * SIMILAR[0]
+
+
+@F.pandas_udf(BooleanType())
 def _linked(left: pd.Series, right: pd.Series) -> pd.Series:
-    def alike(a: bytes, b: bytes) -> bool:
-        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        if min(len(a), len(b)) * SIMILAR[1] < max(len(a), len(b)) * SIMILAR[0]:
-            return False
-        both = np.concatenate((a, b))
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        return common * SIMILAR[1] >= (len(both) - common) * SIMILAR[0]
-    return pd.Series([alike(a, b) for a, b in zip(left, right)], dtype=bool)
+    return pd.Series([_alike(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(left, right)], dtype=bool)
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -164,23 +167,45 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pin(both.where(_linked("left", "right")).select("a", "b"))
 
 
-def _cross_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of different components between two chunks of a bucket, compared by whole signature in blocks."""
-    left, right = group[group["side"] == 0], group[group["side"] == 1]
-    a, b, pairs = left, right, []
-    if not len(right):                            # the chunk against itself
-        b = left
-    sig = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), K)
-    b_row, b_label = b[ROW].to_numpy(), b["label"].to_numpy()
-    for label, part in a.groupby("label"):
-        other = np.flatnonzero(b_label != label if len(right) else b_label > label)
-        if not len(other):
+def _cross_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components among two chunks of a bucket; enough of them to join what belongs together.
+
+    Signatures tell which pairs are plausible. Such a pair is checked exactly unless an earlier link has joined its
+    components, and only in the first band that both texts share.
+    """
+    band = group["band"].iloc[0]
+    label = group["label"].to_numpy()
+    names, comp = np.unique(label, return_inverse=True)
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), K)
+    keys = np.stack(group["bands"].to_numpy())
+    found = [np.frombuffer(x, np.uint32) for x in group["found"]]
+    rows, side = group[ROW].to_numpy(), group["side"].to_numpy()
+    parent = list(range(len(names)))
+    out = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    right = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0):
+        others = right if len(right) else np.arange(x + 1, len(group))
+        others = others[comp[others] != comp[x]]
+        if not len(others):
             continue
-        theirs, theirs_row = sig[other], b_row[other]
-        for row, own in zip(part[ROW], part["sig"]):
-            same = (theirs == np.frombuffer(own, np.uint8)).sum(axis=1)
-            pairs += [(row, x) for x in theirs_row[same >= PLAUSIBLE * K]]
-    return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["b", "a"], dtype=np.int64)[["a", "b"]]
+        same = (sig[others] == sig[x]).sum(axis=1)
+        for at in np.argsort(-same, kind="stable"):
+            if same[at] < PLAUSIBLE * K:
+                break
+            y = others[at]
+            if root(comp[x]) == root(comp[y]) or keys[x][np.argmax(keys[x] == keys[y])] != band:
+                continue
+            if _alike(found[x], found[y]):
+                parent[root(comp[x])] = root(comp[y])
+                out.append((rows[x], rows[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
 def near_duplicates(docs: DataFrame, counted: bool = False) -> DataFrame:
@@ -192,9 +217,9 @@ def near_duplicates(docs: DataFrame, counted: bool = False) -> DataFrame:
     equal texts only. Equal texts share a class; a class of null doc_ids only has a null class_id. ``docs`` is a table
     scan with doc_id (long, may repeat) and text; other columns are not read. An empty table gives an empty result.
 
-    Links are searched in two rounds, none of which lists the pairs of a bucket: first every text against the first
-    member of one of its buckets; then, in the buckets that still hold more than one component, all pairs of members of
-    different components, by signature within tasks, of which only the plausible ones leave for the exact check.
+    Links are searched in two rounds, none of which lists the pairs of a bucket. First every text is checked against the
+    one member of its buckets that has most company there, often the original of a group of copies. Then tasks compare the
+    members of different components in buckets that still hold several, and give out only links that join components.
     """
     signed = pin(signatures(docs, counted))
     total = signed.count()
@@ -204,26 +229,35 @@ def near_duplicates(docs: DataFrame, counted: bool = False) -> DataFrame:
     firsts = signed.where("bands IS NOT NULL").join(texts.select(F.col("rep").alias(ROW)), ROW, "left_semi")
     firsts = pin(firsts.select(ROW, "bands", "sig"))
     buckets = pin(firsts.select(F.explode("bands").alias("band"), ROW))
-    leads = pin(buckets.groupBy("band").agg(F.min(ROW).alias("b"), F.max(ROW).alias("last"), F.count("*").alias("n")).where("n > 1"))
-    member = buckets.join(leads.select("band", "b", "n"), "band")
-    stars = pin(member.groupBy(F.col(ROW).alias("a")).agg(F.min("b").alias("b")).where("a <> b"))
+    sizes = pin(buckets.groupBy("band").agg(F.max(ROW).alias("last"), F.min(ROW).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    member = pin(buckets.join(sizes.select("band", "n"), "band"))
+    company = pin(member.groupBy(ROW).agg(F.sum("n").alias("company")))
+    hubs = pin(member.join(company, ROW).groupBy("band").agg(F.max(F.struct("company", ROW)).alias("hub")))
+    stars = member.join(hubs, "band").groupBy(F.col(ROW).alias("a")).agg(F.max("hub").alias("hub"))
+    stars = pin(stars.select("a", F.col(f"hub.{ROW}").alias("b")).where("a <> b"))
     edges = verified(docs, stars)
     labels = components(edges)
 
     member = member.join(labels.withColumnRenamed("node", ROW), ROW, "left").withColumn("label", F.coalesce("label", ROW))
     member = pin(member.select("band", "n", ROW, "label"))
     impure = pin(member.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band"))
-    two = leads.where("n = 2").join(impure, "band").select(F.col("last").alias("a"), "b")
-    member = member.where("n > 2").join(impure, "band").join(firsts.select(ROW, "sig"), ROW)
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64(ROW), chunks).cast("int")
-    spread = member.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    two = sizes.where("n = 2").join(impure, "band").select(F.col("last").alias("a"), F.col("first").alias("b")).distinct()
+    two = pin(two.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+
+    member = pin(member.where("n > 2").join(impure, "band"))
+    sets = pin(shingle_sets(docs, pin(member.select(ROW).distinct())))
+    loads = pin(member.join(sets.select(ROW, F.length("found").alias("bytes")), ROW).groupBy("band")
+                .agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks")))
+    spread = member.join(loads, "band").withColumn("own", F.pmod(F.xxhash64(ROW), "chunks").cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                           (F.col("own") > F.col("other")).cast("int").alias("side"), ROW, "label", "sig")
-    more = two.union(spread.groupBy("band", "i", "j").applyInPandas(_cross_pairs, "a long, b long"))
-    more = pin(more.distinct().join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = components(edges.union(verified(docs, more)))
+                           (F.col("own") > F.col("other")).cast("int").alias("side"), ROW, "label")
+    spread = spread.join(sets, ROW).join(firsts, ROW)
+    links = pin(spread.groupBy("band", "i", "j").applyInPandas(_cross_links, "a long, b long"))
+    more = edges.unionByName(links)
+    if not two.isEmpty():
+        more = more.unionByName(verified(docs, two))
+    labels = components(more)
 
     classes = pin(texts.join(labels, texts["rep"] == labels["node"], "left")
                   .select(texts["node"], "n", "rep", "first_id", F.coalesce("label", "rep").alias("label")))
