@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesloom.llm import exact, language, minhash, mixing, packing
+from seriesloom.llm import exact, language, minhash, mixing, packing, secrets, urls
 from seriesloom.llm.common import table
 from seriesloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+@query("op1_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op2_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
@@ -29,6 +34,32 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The rules that the query judges by.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: A host is listed when one of its labels has one of these parts, split at hyphens.
+UNWANTED = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+@query("op7_url_filter", """
+    WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+         u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+         m AS (SELECT *, CASE WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                              WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                              WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                              WHEN '.' || host LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM u)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+                WHEN regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+    FROM m""")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    hosts = pages.select(urls.host_of(F.col("url")).alias("host")).distinct()
+    listed = hosts.where(F.col("host").rlike(rf"(^|[.-])({'|'.join(UNWANTED)})([.-]|$)"))
+    return urls.judge(pages, rules, listed)
+
+
 @query("op8_packing")
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
