@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesloom.llm import exact, language, minhash, mixing, packing, secrets, urls
+from seriesloom.llm import exact, language, minhash, mixing, packing, secrets, substrings, urls
 from seriesloom.llm.common import table
 from seriesloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -19,6 +19,11 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+@query("op5_repeated_substrings")
+def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op6_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
