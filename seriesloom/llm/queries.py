@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesloom.llm import exact, language, minhash, mixing, packing, secrets, substrings, urls
+from seriesloom.llm import audio, exact, language, licenses, minhash, mixing, packing, secrets, substrings, urls
 from seriesloom.llm.common import table
 from seriesloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -29,6 +29,12 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op3_audio_fingerprints")
+def audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding is played as a tune; those whose id is divisible by 100 are looked for among all."""
+    return audio.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.melody)
+
+
 @query("op4_mixing")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -70,6 +76,11 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op9_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", """
     WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                       sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256,
