@@ -7,10 +7,11 @@ keys there are: beyond that it only lets more keys through, and all users treat
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,8 +19,8 @@ from seriesloom.llm.common import ROW, fresh, numbered
 
 MAX_WORDS = 1 << 22
 BITS_PER_KEY = 16
-SEGMENT = 512                      # words in one row of a filter under construction
-LOTS = 32                          # task results of a segment are merged by lot, then over the lots
+SEGMENT, SEGMENTS = 512, 256       # a filter under construction is sent in rows of 512 words or more, at most 256 rows
+LOT = 256                          # a segment's results of so many neighbouring tasks are merged first, then those of all lots
 
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -48,28 +49,37 @@ def words_for(n: int, bits_per_key: float = BITS_PER_KEY) -> int:
     return min(MAX_WORDS, 1 << max(4, math.ceil(math.log2(max(1, n * bits_per_key / 64)))))
 
 
-def build(keys: DataFrame, words: int, repeated: bool = False, salt: int = 0) -> np.ndarray:
+def _longs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).drop_null().to_numpy().view(np.uint64)
+
+
+def build(keys: DataFrame, words: int, repeated: bool = False, salt: int = 0,
+          extract: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _longs) -> np.ndarray:
     """The filter over the one long column of ``keys``; with ``repeated``, over keys that may occur twice.
 
+    ``extract`` may read other columns: it gives arrays of 64-bit keys for a batch.
+
     Each task fills a filter of its own and sends the segments in which it set a bit. Two filters join by OR;
     a bit that both have set may stand for a repeated key, so it enters the second filter. A repeated key thus
     always passes; null keys are skipped. The driver receives the finished filter, at most 32 MB.
     """
-    name = keys.columns[0]
+    segment = max(SEGMENT, words // SEGMENTS)
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
         for batch in batches:
-            found, counts = np.unique(batch[name].dropna().to_numpy().astype(np.int64).view(np.uint64), return_counts=True)
-            at, mask = places(found, words, salt)
-            if repeated:
-                again = (counts > 1) | ((once[at] & mask) == mask)
-                np.bitwise_or.at(twice, at[again], mask[again])
-            np.bitwise_or.at(once, at, mask)
-        lot = TaskContext.get().partitionId() % LOTS
-        parts = [(i, once[i:i + SEGMENT].tobytes(), twice[i:i + SEGMENT].tobytes())
-                 for i in range(0, words, SEGMENT) if once[i:i + SEGMENT].any()]
-        yield pd.DataFrame({"segment": [p[0] for p in parts], "lot": lot, "once": [p[1] for p in parts], "twice": [p[2] for p in parts]})
+            for some in extract(batch):
+                found, counts = np.unique(some, return_counts=True)
+                at, mask = places(found, words, salt)
+                if repeated:
+                    again = (counts > 1) | ((once[at] & mask) == mask)
+                    np.bitwise_or.at(twice, at[again], mask[again])
+                np.bitwise_or.at(once, at, mask)
+        lot = TaskContext.get().partitionId() // LOT
+        at = [i for i in range(0, words, segment) if once[i:i + segment].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array([lot] * len(at), pa.int32()),
+             *[pa.array([bits[i:i + segment].tobytes() for i in at], pa.binary()) for bits in (once, twice)]], ["segment", "lot", "once", "twice"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         once, twice = None, None
@@ -79,7 +89,7 @@ def build(keys: DataFrame, words: int, repeated: bool = False, salt: int = 0) ->
         return pd.DataFrame({"segment": [group["segment"].iloc[0]], "lot": [0], "once": [once.tobytes()], "twice": [twice.tobytes()]})
 
     shape = "segment int, lot int, once binary, twice binary"
-    parts = keys.mapInPandas(fill, shape).groupBy("segment", "lot").applyInPandas(merge, shape).groupBy("segment").applyInPandas(merge, shape)
+    parts = keys.mapInArrow(fill, shape).groupBy("segment", "lot").applyInPandas(merge, shape).groupBy("segment").applyInPandas(merge, shape)
     out = np.zeros(words, np.uint64)
     for r in parts.select("segment", F.col("twice" if repeated else "once").alias("bits")).toLocalIterator():
         part = np.frombuffer(r["bits"], np.uint64)
