@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriesloom.lineage import checkpoint_dir
 from seriesloom.llm import exact, language, minhash, mixing, packing
+from seriesloom.llm.common import few_rows_a_batch
 from seriesloom.llm.queries import tokenizer_path
 
 #: Learned models and hash samples are not expressible in SQL; the tests hold every stage against a brute-force version.
@@ -20,6 +21,7 @@ ORACLE_SQL = None
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; texts without letters go."""
+    few_rows_a_batch(spark)
     return language.in_known_language(docs)
 
 
@@ -30,6 +32,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near-duplicates."""
+    few_rows_a_batch(spark)
     return minhash.deduplicate(docs)
 
 
@@ -40,7 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), cached=1 << 17)     # the workers of earlier stages need memory too
 
 
 STAGES = [("language", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

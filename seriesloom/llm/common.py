@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Whole texts travel to Python: smaller Arrow batches keep the memory of a worker down."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``docs`` has it."""
     taken = {c.lower() for c in docs.columns}

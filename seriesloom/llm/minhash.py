@@ -127,12 +127,14 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
 def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(_row, found): the sorted unique shingles (uint32) of the rows numbered in ``rows``, from a second scan of the texts.
 
-    A Bloom filter of the wanted numbers goes to the scan, so other texts are neither shingled nor shuffled.
+    A Bloom filter of the wanted numbers goes to the scan, so other texts are neither shingled nor shuffled; it is
+    tested in the worker that shingles, to keep a task at one Python process.
     """
-    filter_ = bloom.build(rows, bloom.words_for(rows.count()))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(rows, bloom.words_for(rows.count())))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(bloom.holds(wanted.value, batch.column(ROW).to_numpy().view(np.uint64))))
             for i, texts in slices(batch.column("text")):
                 for numbers, offsets, hashes in hashed_words(texts):
                     offsets, found = shingles(offsets, hashes)
@@ -140,8 +142,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
                     sets = [np.unique(found[offsets[t]:offsets[t + 1]]).tobytes() for t in range(len(numbers))]
                     yield pa.RecordBatch.from_arrays([batch.column(ROW).take(pa.array(i + numbers)), pa.array(sets, pa.binary())], [ROW, "found"])
 
-    wanted = numbered(docs.select("text")).where(bloom.passes(docs.sparkSession, filter_, F.col(ROW)))
-    return wanted.select(ROW, "text").mapInArrow(gather, f"{ROW} long, found binary")
+    return numbered(docs.select("text")).select(ROW, "text").mapInArrow(gather, f"{ROW} long, found binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:

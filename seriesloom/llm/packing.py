@@ -24,7 +24,7 @@ END = 1                           # id that closes a document
 SENTENCE, INSIDE = 4, 12          # padding tokens that a cut after a sentence, or inside one, is worth avoiding
 STRETCH = 32                      # a stretch without sentence ends may be cut at such steps
 CHUNK = 1 << 18                   # tokens planned together; the last open sequence goes on in the next chunk
-CACHED = 1 << 20                  # words whose ids a worker remembers
+CACHED = 1 << 20                  # words whose ids a worker remembers by default
 SLICE = 1 << 20                   # code points of a text split at a time
 
 
@@ -39,9 +39,9 @@ def _sentence_ends(tokenizer) -> np.ndarray:
 class Encoder:
     """Token ids of whole texts, word by word with a cache: this tokenizer's tokens never span a space or a line feed."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.ends = _sentence_ends(self.tokenizer)
         self.tails = {t: array("I", self.tokenizer.encode(t, add_special_tokens=False).ids) for t in ("", ",", ".")}
         self.forget()
@@ -85,7 +85,7 @@ class Encoder:
         return [np.concatenate([*p, end]) for p in parts]
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHED:
+        if len(self.known) > self.cached:
             self.forget()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
@@ -121,8 +121,8 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, cached: int) -> Encoder:
+    return Encoder(path, cached)
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -184,15 +184,16 @@ def best_cuts(at: list[int], penalty: list[int], last: bool) -> list[int]:
     return cuts
 
 
-def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, cached: int = CACHED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``docs`` needs doc_id and text; other columns are not read. A document is its ids and END, so null and empty texts
     are one token; every row is packed, also repeated ones. Every id lies in exactly one piece; sequences are gapless
-    and hold 2048 tokens, or less with padding, or a power of two. An empty table gives an empty result.
+    and hold 2048 tokens, or less with padding, or a power of two. An empty table gives an empty result. Every Python
+    worker remembers the ids of about ``cached`` words (200 bytes each); fewer cost time, not results.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, cached)
         sequence = TaskContext.get().partitionId() << 33
         held: list[tuple[object, int, int, np.ndarray]] = []       # doc_id, ids before, ids of the document, ids
         size = 0

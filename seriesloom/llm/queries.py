@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesloom.llm import audio, exact, language, licenses, minhash, mixing, packing, secrets, substrings, urls
-from seriesloom.llm.common import table
+from seriesloom.llm.common import few_rows_a_batch, table
 from seriesloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -16,11 +16,13 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_a_batch(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 @query("op5_repeated_substrings")
 def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_a_batch(spark)
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
