@@ -24,13 +24,13 @@ def target_mismatches(frame: DataFrame, signal: str, horizons: Sequence[int], to
             .agg(F.count("*").alias("n"), F.count_if(off).alias("mismatches")))
 
 
-def structural_audit(frame: DataFrame, features: Sequence[str], signal="sbp", horizons=(0, 1, 2), key="series_id",
-                     first_rows: int = 80) -> DataFrame:
+def structural_audit(frame: DataFrame, features: Sequence[str], signal="sbp", horizons=(0, 1, 2), key="series_id") -> DataFrame:
     """Copies of the current value, exact lags, split order, holdout, infinities, coverage, density, latent columns."""
     features = [f for f in features if f in frame.columns]
-    now = frame.where(F.col("step") < first_rows).select(key, "step", F.col(f"{signal}_lag1").alias("l"))
-    before = frame.where(F.col("step") < first_rows).select(key, (F.col("step") + 1).alias("step"), F.col(signal).alias("v"))
-    lagged = now.join(before, [key, "step"]).agg(F.count_if(~(F.abs(F.col("l") - F.col("v")) <= 1e-3) | F.col("l").isNull()).alias("lag_off"))
+    now = frame.select(key, "step", F.col(f"{signal}_lag1").alias("l"))
+    before = frame.select(key, (F.col("step") + 1).alias("step"), F.col(signal).alias("v"))
+    same = F.col("l").eqNullSafe(F.col("v")) | F.coalesce(F.abs(F.col("l") - F.col("v")) <= 1e-3, F.lit(False))
+    lagged = now.join(before, [key, "step"]).agg(F.count_if(~same).alias("lag_off"))
     order = frame.groupBy(key).agg(
         *[F.max(F.when(F.col("split") == s, F.col("step"))).alias(f"hi_{s}") for s in ("train", "val", "test")],
         *[F.min(F.when(F.col("split") == s, F.col("step"))).alias(f"lo_{s}") for s in ("train", "val", "test")],

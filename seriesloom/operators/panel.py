@@ -24,6 +24,7 @@ def largest(cohort: DataFrame, k: int, key="series_id") -> DataFrame:
 
 
 def admit(sessions: DataFrame, config: Config, key="series_id", ts="ts") -> DataFrame:
+    """Rows of the cohort; ``max_entities``, off by default, keeps only that many of the largest series."""
     cohort = eligible(sessions, key, ts, config.min_sessions, config.min_span_days)
     if config.max_entities:
         cohort = largest(cohort, config.max_entities, key)
@@ -146,9 +147,9 @@ def thin(lanes: Lanes, fracs: Sequence[float], seed: int, order: Sequence[str])
     return again.done(again.df)
 
 
-def cap_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int) -> DataFrame:
-    """A seeded sample of n rows: the n smallest hashes."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+def usual_gap(gap="days_since_last_raw") -> Column:
+    """The median gap of a series in days, 2 where that is zero or unknown (an aggregate)."""
+    return F.coalesce(F.nullif(F.percentile(gap, F.lit(0.5)), F.lit(0.0)), F.lit(2.0))
 
 
 def placeholders(panel: DataFrame, key="series_id", ts="ts", as_of=None, carry: Sequence[str] = ()) -> DataFrame:
@@ -157,7 +158,7 @@ def placeholders(panel: DataFrame, key="series_id", ts="ts", as_of=None, carry:
     It stands at ``as_of`` (at least one day after the last row), or one median gap after the last row.
     Gaps are whole days, so ``percentile`` holds at most one entry per distinct day count.
     """
-    usual = F.coalesce(F.nullif(F.percentile("days_since_last_raw", F.lit(0.5)), F.lit(0.0)), F.lit(2.0))
+    usual = usual_gap()
     last = panel.groupBy(key).agg(F.max(ts).alias("_last"), F.max("step").alias("_step"),
                                   usual.alias("median_gap"), *[F.max_by(c, "step").alias(c) for c in carry])
     day = F.to_date("_last")

@@ -7,14 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.config import Config, RANGES, STALE_DAYS
-from seriesloom.functions.expr import first_of
+from seriesloom.functions.expr import first_of, half_even
 from seriesloom.functions.lanes import lay_out
 from seriesloom.operators.rulebook import (CONDITIONS, MECHANISMS, MEDICATIONS, RED_FLAGS, SERVING_NAMES, SYMPTOMS)
 
 # Bounds of a submitted reading and profile, and the three quadrature nodes with weights.
 READING_BOUNDS = {"sbp": RANGES["sbp"], "dbp": RANGES["dbp"], "pulse": (20, 250), "weight": RANGES["weight"], "n_meas": (1, 10)}
 PROFILE_BOUNDS = {"age": (18, 110), "provider_target": (80, 200), "missed_3d": (0, 3), "adherence_7d": (0.0, 1.0), "step_offset": (0, 100_000)}
-MAX_READINGS = 400
 Z80 = 1.2815515655446004
 NODES = ((0.0, 2.0 / 3.0), (math.sqrt(3.0), 1.0 / 6.0), (-math.sqrt(3.0), 1.0 / 6.0))
 
@@ -22,14 +21,12 @@ NODES = ((0.0, 2.0 / 3.0), (math.sqrt(3.0), 1.0 / 6.0), (-math.sqrt(3.0), 1.0 /
 def reading_errors(df: DataFrame, key="patient_id", date="date") -> DataFrame:
     """Every submitted reading with the codes of what is wrong with it; an empty list is a valid row.
 
-    Counting per (key, date) and per key goes through aggregates, so one busy key is no bottleneck.
+    Histories of any length are valid. Counting per (key, date) goes through an aggregate, so one busy key is no bottleneck.
     """
     per_day = df.groupBy(key, date).agg(F.count("*").alias("_same_day"))
-    per_key = df.groupBy(key).agg(F.count("*").alias("_n_readings"))
-    d = df.join(per_day, [key, date], "left").join(per_key, key, "left")
+    d = df.join(per_day, [key, date], "left")
     have = set(df.columns)
     out = [F.when(F.col(date).isNull(), "unparseable_date"), F.when(F.col("_same_day") > 1, "duplicate_date"),
-           F.when(F.col("_n_readings") > MAX_READINGS, "too_many_readings"),
            F.when(F.col("sbp") - F.col("dbp") < 10, "pulse_pressure")]
     out += [F.when(~F.col(c).between(lo, hi), f"{c}_out_of_range") for c, (lo, hi) in {**READING_BOUNDS, **PROFILE_BOUNDS}.items()
             if c in have]
@@ -39,7 +36,7 @@ def reading_errors(df: DataFrame, key="patient_id", date="date") -> DataFrame:
             out.append(F.when(F.size(unknown) > 0, f"unknown_{c}"))
     if {"is_pregnant", "is_male"} <= have:
         out.append(F.when((F.col("is_pregnant") == 1) & (F.col("is_male") == 1), "pregnant_and_male"))
-    checked = d.withColumn("errors", F.array_compact(F.array(*out))).drop("_same_day", "_n_readings")
+    checked = d.withColumn("errors", F.array_compact(F.array(*out))).drop("_same_day")
     if {"hf_type", "conditions"} <= have:
         implied = F.when((F.col("hf_type") != "NONE") & ~F.array_contains("conditions", "has_hf"),
                          F.array_append("conditions", F.lit("has_hf"))).otherwise(F.col("conditions"))
@@ -103,13 +100,21 @@ def banner(emergency="is_emergency", flagged="flagged", breach="forecast_fired",
                     (F.col(tier) == "no_model", say("info", "rule engine only")), default=say("good", "nothing due"))
 
 
+def days_after(ts, days) -> Column:
+    """``ts`` moved by whole days, at least one."""
+    return F.timestamp_add("DAY", F.greatest(F.floor(half_even(days, 1)), F.lit(1)).cast("int"), F.col(ts))
+
+
 def chain_nodes(last: DataFrame, horizons: int, key="series_id") -> DataFrame:
-    """Forecast rows per (series, node, horizon): the value moved by the node times the deviation of the band."""
+    """Forecast rows per (series, node, horizon): the value moved by the node times the deviation of the band.
+
+    Horizon h stands ``h + 1`` usual gaps (``median_gap`` days) after the last row.
+    """
     sigma = F.greatest((F.col("hi80") - F.col("lo80")) / (2 * Z80), F.lit(0.0))
     nodes = F.explode(F.array(*[F.struct(F.lit(i).alias("node"), F.lit(z).alias("z"), F.lit(w).alias("weight")) for i, (z, w) in enumerate(NODES)]))
     d = last.withColumn("_s", F.coalesce(sigma, F.lit(0.0))).select("*", nodes.alias("_n")).select(
         "*", "_n.*", F.explode(F.sequence(F.lit(0), F.lit(horizons - 1))).alias("h"))
-    return d.select(key, "node", "weight", "h", F.timestamp_add("DAY", F.col("h") + 1, F.col("ts")).cast(last.schema["ts"].dataType).alias("ts"),
+    return d.select(key, "node", "weight", "h", days_after("ts", F.col("median_gap") * (F.col("h") + 1)).cast(last.schema["ts"].dataType).alias("ts"), "median_gap",
                     (F.col("event_id") + F.col("h") + 1).alias("event_id"), (F.col("sbp_hat") + F.col("z") * F.col("_s")).alias("sbp"),
                     F.col("dbp_hat").alias("dbp"))
 
@@ -118,16 +123,15 @@ def chained_risk(history: DataFrame, ahead: DataFrame, config: Config, risk: Col
                  key="series_id") -> DataFrame:
     """Risk after each appended forecast row, integrated over the nodes, next to the risk at the point forecast.
 
-    Only the newest rows of a history feed the bounded features, so each node copies those and no more.
+    Each node copies the whole history: expanding and smoothed features look back to the first row. The nodes are
+    literals, so the copies are made in place. A series without forecast rows yields none.
     """
     from seriesloom.operators.features import REACH, build_features
-    lanes = lay_out(history, [key], ["ts", "event_id"], bound=bound)
-    sized = lanes.whole(lanes.df, _n=F.count("*"))
-    recent = lanes.done(sized).where(F.col("step") >= F.col("_n") - REACH).select(key, "ts", "event_id", "sbp", "dbp")
-    nodes = ahead.select(key, "node", "weight").distinct()
-    copies = recent.join(nodes, key).withColumn("h", F.lit(-1))
-    marks = ahead.groupBy(key, "node", "weight").agg(F.max("ts").alias("_t"), F.max("event_id").alias("_e"))
-    final = marks.select(key, "node", "weight", F.timestamp_add("DAY", F.lit(1), F.col("_t")).cast(history.schema["ts"].dataType).alias("ts"),
+    nodes = F.array(*[F.struct(F.lit(i).alias("node"), F.lit(w).alias("weight")) for i, (_, w) in enumerate(NODES)])
+    copies = history.select(key, "ts", "event_id", "sbp", "dbp", F.inline(nodes)).withColumn("h", F.lit(-1))
+    marks = ahead.groupBy(key, "node", "weight").agg(F.max("ts").alias("_t"), F.max("event_id").alias("_e"), F.max("median_gap").alias("_g"))
+    ahead = ahead.drop("median_gap")
+    final = marks.select(key, "node", "weight", days_after("_t", F.col("_g")).cast(history.schema["ts"].dataType).alias("ts"),
                          (F.col("_e") + 1).alias("event_id"), F.lit(99).alias("h"))
     rows = copies.unionByName(ahead, allowMissingColumns=True).unionByName(final, allowMissingColumns=True)
     again = lay_out(rows, [key, "node"], ["ts", "event_id"], reach=REACH, bound=bound)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesloom.config import STALE_DAYS
 from seriesloom.functions.expr import finite, first_of, half_even
@@ -167,9 +167,10 @@ def psi_status(psi_col="psi", warn=0.10, alarm=0.20) -> Column:
     return first_of((F.col(psi_col) >= alarm, "ALARM"), (F.col(psi_col) >= warn, "WARN"), default="ok")
 
 
-def drift_report(scores: DataFrame, top: int = 20) -> DataFrame:
-    """The columns that moved most; the length of the report is its feature."""
-    return scores.withColumn("status", psi_status()).orderBy(F.col("psi").desc(), "feature").limit(top)
+def drift_report(scores: DataFrame) -> DataFrame:
+    """Every column with its status and its rank, 1 for the one that moved most; there is one row per column."""
+    order = Window.orderBy(F.col("psi").desc(), "feature")
+    return scores.withColumn("status", psi_status()).withColumn("rank", F.row_number().over(order))
 
 
 def rate_drift(observed, target, tolerance: float, two_sided: bool) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from seriesloom.operators import detectors as D
 from seriesloom.operators import features as W
 from seriesloom.operators import metrics as M
-from seriesloom.plans.feature_queries import sql_expand, sql_lag, sql_roll
+from seriesloom.plans.feature_queries import SQL_EWM, sql_expand, sql_lag, sql_roll
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (EVENT_CONFIG, SQL_EVENT_PANEL, event_bound, event_panel, event_rows, r, sql, sr, table)
 
@@ -240,6 +240,11 @@ fc AS (SELECT series_id, event_id, step, split, segment, is_male, l1, u.h AS h,
     + """]) AS u FROM b0))""")
 
 
+SQL_ALL_BASE = SQL_EWM.format(base=SQL_BASE.strip(), value="sbp", source="ep") + """,
+fa AS (SELECT * FROM fc UNION ALL SELECT fc.* REPLACE ('ewma' AS model, e.y3 AS p)
+  FROM fc JOIN e ON fc.series_id = e.series_id AND fc.step = e.step WHERE model = 'persistence')"""
+
+
 def baseline_forecasts(spark, sf) -> DataFrame:
     from seriesloom.operators.forecast import baselines_long
     lanes = event_panel(spark, sf)
@@ -247,21 +252,21 @@ def baseline_forecasts(spark, sf) -> DataFrame:
                           ["series_id", "event_id", "step", "split", "segment", "is_male", "sbp_lag1"])
 
 
-@query("baseline_forecasts", sql(SQL_BASE, f"""
-SELECT series_id, event_id, CAST(h AS INTEGER) AS h, model, {sr('y')} AS y, {sr('p')} AS p FROM fc"""))
+@query("baseline_forecasts", sql(SQL_ALL_BASE, f"""
+SELECT series_id, event_id, CAST(h AS INTEGER) AS h, model, {sr('y')} AS y, {sr('p')} AS p FROM fa"""))
 def baseline_forecast_rows(spark, sf) -> DataFrame:
-    f = baseline_forecasts(spark, sf).where("model <> 'ewma'")
+    f = baseline_forecasts(spark, sf)
     return f.select("series_id", "event_id", "h", "model", r("y").alias("y"), r("p").alias("p"))
 
 
-@query("forecast_metrics", sql(SQL_BASE + """,
-k AS (SELECT *, y - l1 AS dt, p - l1 AS dp FROM fc WHERE y IS NOT NULL AND p IS NOT NULL)""", f"""
+@query("forecast_metrics", sql(SQL_ALL_BASE + """,
+k AS (SELECT *, y - l1 AS dt, p - l1 AS dp FROM fa WHERE y IS NOT NULL AND p IS NOT NULL)""", f"""
 SELECT model, CAST(h AS INTEGER) AS h, split, count(*) AS n, {sr('avg(abs(p - y))')} AS mae, {sr('sqrt(avg((p - y) * (p - y)))')} AS rmse,
   {sr('1 - avg((p - y) * (p - y)) / nullif(var_pop(y), 0)')} AS r2, {sr('avg(p - y)')} AS bias, {sr('stddev_pop(y)')} AS target_sd,
   {sr('CASE WHEN max(abs(dp)) > 1e-9 THEN avg(CASE WHEN abs(dt) > 1e-9 THEN CASE WHEN sign(dt) = sign(dp) THEN 1 ELSE 0 END END) END')} AS direction
 FROM k GROUP BY 1, 2, 3 HAVING count(*) >= 10"""))
 def forecast_metrics(spark, sf) -> DataFrame:
-    f = baseline_forecasts(spark, sf).where("model <> 'ewma'")
+    f = baseline_forecasts(spark, sf)
     m = M.evaluate(f, ["model", "h", "split"], last="sbp_lag1")
     return m.select("model", "h", "split", "n", *[r(c).alias(c) for c in ("mae", "rmse", "r2", "bias", "target_sd", "direction")])
 

@@ -15,7 +15,7 @@ from seriesloom.operators import panel as P
 from seriesloom.operators import selection as X
 from seriesloom.operators import stats as A
 from seriesloom.operators import thresholds as O
-from seriesloom.plans.detector_queries import SQL_BASE, baseline_forecasts, detector_frame, over_step
+from seriesloom.plans.detector_queries import SQL_ALL_BASE, SQL_BASE, baseline_forecasts, detector_frame, over_step
 from seriesloom.plans.feature_queries import sql_expand, sql_lag, sql_roll
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, event_bound, event_panel, event_rows, r, sql, sr)
@@ -44,12 +44,12 @@ def fit_rows(f: DataFrame) -> DataFrame:
 
 # ---- closed forms -------------------------------------------------------------------------------------
 
-@query("backtest", sql(SQL_BASE, f"""
+@query("backtest", sql(SQL_ALL_BASE, f"""
 SELECT model, CAST(h + 1 AS INTEGER) AS steps_ahead, count(*) AS n, {sr('avg(abs(y - p))')} AS mae,
   {sr('avg(CASE WHEN abs(y - p) <= 10 THEN 1 ELSE 0 END)')} AS within_10
-FROM fc WHERE step >= 7 AND y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2"""))
+FROM fa WHERE step >= 7 AND y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2"""))
 def backtest(spark, sf) -> DataFrame:
-    b = B.backtest(baseline_forecasts(spark, sf).where("model <> 'ewma'"), ["model"], 7)
+    b = B.backtest(baseline_forecasts(spark, sf), ["model"], 7)
     return b.select("model", "steps_ahead", "n", r("mae").alias("mae"), r("within_10").alias("within_10"))
 
 
@@ -229,11 +229,11 @@ def ensemble_weighted(spark, sf) -> DataFrame:
 
 # ---- decisions ------------------------------------------------------------------------------------------
 
-@query("model_win_rates", sql(SQL_BASE + """,
-e AS (SELECT series_id, model, avg(abs(y - p)) AS e FROM fc WHERE split = 'test' AND h = 0 AND y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2)""", f"""
-SELECT a.model, {sr('avg(CASE WHEN a.e < b.e THEN 1 ELSE 0 END)')} AS win_rate FROM e a JOIN e b ON a.series_id = b.series_id AND b.model = 'personal_mean' GROUP BY 1"""))
+@query("model_win_rates", sql(SQL_ALL_BASE + """,
+er AS (SELECT series_id, model, avg(abs(y - p)) AS e FROM fa WHERE split = 'test' AND h = 0 AND y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2)""", f"""
+SELECT a.model, {sr('avg(CASE WHEN a.e < b.e THEN 1 ELSE 0 END)')} AS win_rate FROM er a JOIN er b ON a.series_id = b.series_id AND b.model = 'personal_mean' GROUP BY 1"""))
 def model_win_rates(spark, sf) -> DataFrame:
-    f = baseline_forecasts(spark, sf).where("split = 'test' AND h = 0 AND model <> 'ewma' AND y IS NOT NULL AND p IS NOT NULL")
+    f = baseline_forecasts(spark, sf).where("split = 'test' AND h = 0 AND y IS NOT NULL AND p IS NOT NULL")
     w = B.win_rates(f.withColumn("e", F.abs(F.col("y") - F.col("p"))), "series_id", "personal_mean")
     return w.select("model", r("win_rate").alias("win_rate"))
 
@@ -472,6 +472,9 @@ def tier_classifier(spark, sf) -> DataFrame:
     alerts = lanes.done(al).select("series_id", "step", "tier", "rule_id", "gate_reason")
     f = pin(classifier_frame(learning_frame(spark, sf), alerts, 1))
     model = L.tier_head(f, SMALL)
+    if model is None:               # too little to learn from: the rows are counted without a prediction
+        rest = f.where("split = 'test' AND trainable")
+        return rest.groupBy("tier_label", F.lit(None).cast("string").alias("predicted")).agg(F.count("*").alias("n"))
     scored = model.transform(L.doubles(f.where("split = 'test' AND trainable"), SMALL))
     names = F.array(*[F.lit(x) for x in model.stages[0].labels] + [F.lit("unseen")])
     return scored.groupBy("tier_label", F.element_at(names, F.col("_pred").cast("int") + 1).alias("predicted")).agg(F.count("*").alias("n"))
@@ -484,11 +487,16 @@ def rare_event_head(spark, sf) -> DataFrame:
     df = lanes.df.withColumn("y_sym", F.lead("dizziness", 2).over(lanes.window))
     f = pin(W.build_features(lanes, CFG, df).select("series_id", "step", "split", "y_sym", *SMALL))
     got = L.rare_event_head(f, SMALL, "y_sym", bound=event_rows(spark, sf))
-    if got is None:                 # too few positives at this size: the head is not trained
-        return f.where("false").select(F.lit("dizziness").alias("label"), F.lit(0.0).alias("brier"))
-    scored, cut = got
-    test = attach_row(scored.where("pool = 'test'").select("y_sym", "prob"), cut).withColumn("label", F.lit("dizziness"))
-    return M.rare_event(test, ["label"], "y_sym", "prob", "cut", event_rows(spark, sf))
+    if got is None:                 # too few positives to train on: the same columns, scored without probabilities
+        test = f.where("split = 'test' AND y_sym IS NOT NULL").select(
+            "y_sym", *[F.lit(None).cast("double").alias(c) for c in ("prob", "cut")])
+    else:
+        scored, cut = got
+        test = attach_row(scored.where("pool = 'test'").select("y_sym", "prob"), cut)
+    test = test.withColumn("label", F.lit("dizziness"))
+    out = M.rare_event(test, ["label"], "y_sym", "prob", "cut", event_rows(spark, sf))
+    labels = test.groupBy("label").agg(F.count("*").alias("n_rows"))
+    return labels.join(out, "label", "left").withColumn("status", F.lit("too few positives" if got is None else "trained"))
 
 
 @query("chained_scoring")
@@ -498,8 +506,9 @@ def chained_scoring(spark, sf) -> DataFrame:
     lanes = event_panel(spark, sf)
     rows = lanes.done(lanes.df).select("series_id", "ts", "event_id", "sbp", "dbp")
     level = lanes.done(lanes.df.select("*", F.avg("sbp").over(lanes.rows(-6, 0)).alias("_l"), F.stddev_samp("sbp").over(lanes.rows(-6, 0)).alias("_s")))
-    last = level.groupBy("series_id").agg(F.max_by(F.struct("ts", "event_id", "_l", "_s", "dbp"), "step").alias("l")).select("series_id", "l.*")
-    ahead = chain_nodes(last.select("series_id", "ts", "event_id", F.col("_l").alias("sbp_hat"), F.col("dbp").alias("dbp_hat"),
+    last = level.groupBy("series_id").agg(
+        F.max_by(F.struct("ts", "event_id", "_l", "_s", "dbp"), "step").alias("l"), P.usual_gap().alias("median_gap")).select("series_id", "median_gap", "l.*")
+    ahead = chain_nodes(last.select("series_id", "ts", "event_id", "median_gap", F.col("_l").alias("sbp_hat"), F.col("dbp").alias("dbp_hat"),
                                     (F.col("_l") - 1.2815515655446004 * F.col("_s")).alias("lo80"),
                                     (F.col("_l") + 1.2815515655446004 * F.col("_s")).alias("hi80")), 3)
     risk = lambda: 1 / (1 + F.exp(-(F.log(F.lit(0.03 / 0.97)) + 0.055 * F.greatest(F.col("sbp_lag1") - 140, F.lit(0.0)))))

@@ -125,13 +125,6 @@ def thinned_panel(spark, sf) -> DataFrame:
         F.count("*").alias("n_kept"), F.min("old_step").alias("first_step"), F.max("old_step").alias("last_old_step"))
 
 
-@query("capped_sample")
-def capped_sample(spark, sf) -> DataFrame:
-    """The seeded row sample is a feature of its own: n rows with the smallest hashes."""
-    lanes = panel(spark, sf)
-    return P.cap_rows(lanes.done(lanes.df).select("series_id", "step", "sbp"), 500, ["series_id", "step"], 42)
-
-
 @query("placeholder_rows", sql(SQL_PANEL, f"""
 SELECT series_id, max(step) + 1 AS step, {sr('coalesce(nullif(quantile_cont(days_since_last_raw, 0.5), 0), 2)')} AS median_gap,
   CAST(max(ts) + CAST(floor(coalesce(nullif(quantile_cont(days_since_last_raw, 0.5), 0), 2)) AS INTEGER) AS VARCHAR) AS day,

@@ -218,3 +218,30 @@ def test_drift_bites(spark):
     assert ks["x"].drift and not ks["y"].drift
     psi = {r.feature: r.psi for r in A.psi(base, moved, ["x", "y"]).collect()}
     assert psi["x"] > 0.2 > psi["y"]
+
+
+def test_long_histories_are_valid(spark):
+    rows = spark.range(401).select(
+        F.lit(1).alias("patient_id"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        *[F.lit(v).alias(c) for c, v in (("sbp", 130), ("dbp", 80), ("pulse", 70))])
+    assert V.valid(V.reading_errors(rows)).count() == 401
+
+
+def test_chained_risk_reads_the_whole_history(spark):
+    n = 80
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    history = spark.createDataFrame([(1, day(i), i, 100.0 + i, 70.0) for i in range(n)], "series_id int, ts timestamp, event_id long, sbp double, dbp double")
+    last = spark.createDataFrame([(1, day(n - 1), n - 1, 500.0, 70.0, 500.0, 500.0, 2.0)],
+                                 "series_id int, ts timestamp, event_id long, sbp_hat double, dbp_hat double, lo80 double, hi80 double, median_gap double")
+    ahead = V.chain_nodes(last, 3)
+    assert {r.ts for r in ahead.collect()} == {day(n - 1 + k) for k in (2, 4, 6)}
+    got = {r.upto_h: r.risk_integrated for r in V.chained_risk(history, ahead, CFG, F.col("sbp_base_mean")).collect()}
+    for h in range(3):
+        before = [100.0 + i for i in range(n)] + [500.0] * (h + 1)
+        assert got[h] == pytest.approx(sum(before) / len(before))
+
+
+def test_drift_report_keeps_every_column(spark):
+    scores = spark.range(25).select(F.concat(F.lit("c"), F.col("id")).alias("feature"), F.lit(0.3).alias("psi"))
+    got = A.drift_report(scores).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 26)) and {r.status for r in got} == {"ALARM"}
