@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesloom.llm.common import ROW, fresh, numbered
+from seriesloom.llm.memory import tidy
 
 MAX_WORDS = 1 << 22
 BITS_PER_KEY = 16
@@ -89,7 +90,7 @@ def build(keys: DataFrame, words: int, repeated: bool = False, salt: int = 0,
         return pd.DataFrame({"segment": [group["segment"].iloc[0]], "lot": [0], "once": [once.tobytes()], "twice": [twice.tobytes()]})
 
     shape = "segment int, lot int, once binary, twice binary"
-    parts = keys.mapInArrow(fill, shape).groupBy("segment", "lot").applyInPandas(merge, shape).groupBy("segment").applyInPandas(merge, shape)
+    parts = keys.mapInArrow(tidy(fill), shape).groupBy("segment", "lot").applyInPandas(merge, shape).groupBy("segment").applyInPandas(merge, shape)
     out = np.zeros(words, np.uint64)
     for r in parts.select("segment", F.col("twice" if repeated else "once").alias("bits")).toLocalIterator():
         part = np.frombuffer(r["bits"], np.uint64)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesloom.llm.common import fresh
+from seriesloom.llm.memory import give_back, tidy
 
 BUCKETS = 1 << 15                 # hashed n-grams, all orders together
 MAX_CELLS = 1 << 22               # buckets are halved until buckets x languages fit
@@ -145,7 +146,7 @@ def train(labelled: DataFrame) -> Model:
 
     counts = np.zeros((len(langs), buckets))
     if langs:
-        cells = labelled.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        cells = labelled.mapInPandas(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         counts.reshape(-1)[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy(dtype=float)
     share = (counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * buckets)
     prior = np.log(np.array([docs[x] for x in langs], float) / max(1, sum(docs.values())))
@@ -157,9 +158,11 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang": langs, "score": scores})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            langs, scores = shared.value.predict(texts.tolist())
+            yield pd.DataFrame({"lang": langs, "score": scores})
+        give_back()
 
     return predict(text)
 

@@ -22,6 +22,7 @@ from seriesloom.lineage import pin
 from seriesloom.llm import bloom
 from seriesloom.llm.bloom import mixed
 from seriesloom.llm.common import ROW, attach, components, numbered
+from seriesloom.llm.memory import tidy
 from seriesloom.llm.words import hashed_words, shingles, slices
 
 BANDS, PER_BAND = 24, 5           # a pair at similarity 0.8 shares no band with probability 0.00007
@@ -121,7 +122,7 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
 
     node = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     return numbered(docs.select("doc_id", "text")).withColumn("node", node).mapInArrow(
-        sign, f"{ROW} long, doc_id long, node binary, bands array<long>, sig binary")
+        tidy(sign), f"{ROW} long, doc_id long, node binary, bands array<long>, sig binary")
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
                     sets = [np.unique(found[offsets[t]:offsets[t + 1]]).tobytes() for t in range(len(numbers))]
                     yield pa.RecordBatch.from_arrays([batch.column(ROW).take(pa.array(i + numbers)), pa.array(sets, pa.binary())], [ROW, "found"])
 
-    return numbered(docs.select("text")).select(ROW, "text").mapInArrow(gather, f"{ROW} long, found binary")
+    return numbered(docs.select("text")).select(ROW, "text").mapInArrow(tidy(gather), f"{ROW} long, found binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from seriesloom.llm.memory import tidy
+
 LENGTH = 2048
 END = 1                           # id that closes a document
 SENTENCE, INSIDE = 4, 12          # padding tokens that a cut after a sentence, or inside one, is worth avoiding
@@ -239,4 +241,4 @@ def pack(docs: DataFrame, tokenizer_path: str, cached: int = CACHED) -> DataFram
             yield plan(True)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
