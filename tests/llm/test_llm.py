@@ -106,6 +106,42 @@ def test_interleave_merge_equals_one_transform():
     assert (merged == bwt.transform(texts)).all() and common.max() == 6
 
 
+@pytest.mark.parametrize("width, depth", [(1, 3), (2, 2), (3, 2), (5, 1)])
+def test_repeats_from_merged_block_transforms(width, depth):
+    rng = np.random.default_rng(width)
+    for _ in range(50):
+        texts = [bytes(rng.integers(97, 99, rng.integers(0, 30)).astype(np.uint8)) for _ in range(rng.integers(1, 6))]
+        raw, seen, want = b"".join(texts) + bytes(width - 1), set(), []
+        codes = np.array([zlib.crc32(raw[i:i + width]) for i in range(len(raw) - width + 1)], np.int64)
+        for text in texts:
+            for i in range(len(text)):
+                window = text[i:i + width * depth]
+                whole = len(window) == width * depth
+                want.append(whole and window in seen)
+                seen.update([window] if whole else [])
+        assert bwt.repeated(codes, np.array([len(t) for t in texts]), width, depth).tolist() == want
+
+
+def test_repeats_between_many_tasks_and_lots(spark, tmp_path, monkeypatch):
+    """One passage in every third text, overlapping repeats, ids out of order: many lots merged with what came before."""
+    monkeypatch.setattr(substrings, "MERGED", 8)
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**6, n))
+    passage, rows = words(60), []
+    for i in rng.permutation(90).tolist():
+        rows.append((i, words(20) + (passage[i % 7:] if i % 3 == 0 else "") + words(10) + ("ab" * 150 if i % 20 == 0 else "")))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(str(tmp_path / "d"))
+    seen, want = set(), {}
+    for i, text in sorted(rows):
+        data, gone = text.encode(), np.zeros(len(text.encode()), bool)
+        for at in range(len(data) - 99):
+            gone[at:at + 100] |= data[at:at + 100] in seen
+            seen.add(data[at:at + 100])
+        want[i] = (int(gone.sum()), hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == want
+
+
 def test_secrets(docs):
     rows = {r["doc_id"]: r for r in secrets.scan(docs).collect() if r["doc_id"] != 9}
     assert rows[6]["spans"] == "assign:0:19,access:20:40,hex:41:65"
