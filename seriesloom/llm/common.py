@@ -15,9 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def few_rows_a_batch(spark: SparkSession) -> None:
+def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts travel to Python: smaller Arrow batches keep the memory of a worker down."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def fresh(docs: DataFrame, name: str) -> str:

@@ -34,6 +34,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_audio_fingerprints")
 def audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding is played as a tune; those whose id is divisible by 100 are looked for among all."""
+    few_rows_a_batch(spark, 256)
     return audio.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.melody)
 
 

@@ -256,3 +256,36 @@ def test_stages_keep_columns(spark, sf, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0 and docs.count() > 0
+
+
+def noisy(rng, prints, share):
+    """``prints`` with every bit turned with a probability of ``share``."""
+    turned = (rng.random((len(prints), 32)) < share).astype(np.uint64) << np.arange(32, dtype=np.uint64)
+    return (prints ^ turned.sum(axis=1)).astype(np.int64)
+
+
+def test_audio_alignment_equals_all_shifts(spark):
+    """Noisy copies, parts and short recordings: the pairs of brute force over all shifts, self-matches left out, at the operator's own threshold."""
+    rng = np.random.default_rng(11)
+    base = [rng.integers(0, 2**32, n).astype(np.uint64) for n in (117, 117, 60, 21, 14, 5)]
+    rows = [(100 * i, b.astype(np.int64).tolist()) for i, b in enumerate(base, 1)]
+    for i, b in enumerate(base, 1):
+        for k, share in enumerate((0.0, 0.1, 0.2, 0.24, 0.3), 1):
+            rows += [(100 * i + k, noisy(rng, b, share).tolist()), (100 * i + 10 + k, noisy(rng, b[len(b) // 3:], share).tolist())]
+    prints = spark.createDataFrame(rows + [(7, [])], "id long, prints array<long>").repartition(5)
+    got = {(r["query_id"], r["match_id"]): r for r in audio.align(prints, prints.where("id % 100 = 0")).collect()}
+    want = {}
+    for q, a in rows:
+        for m, b in rows:
+            if q % 100 == 0:
+                for s in range(1 - len(a), len(b)):
+                    x, y = np.array(a[max(0, -s):], np.uint32), np.array(b[max(0, s):], np.uint32)
+                    n = min(len(x), len(y))
+                    wrong = int(np.bitwise_count(x[:n] ^ y[:n]).sum())
+                    if n >= min(audio.LEAST_OVERLAP, len(a), len(b)) and wrong <= audio.MOST_ERRORS * 32 * n:
+                        equal = x[:n] == y[:n]
+                        want.setdefault((q, m), []).append((2 * wrong - 32 * n, s, n, int((equal[:-8] & equal[8:]).sum()), wrong / (32 * n)))
+    assert len(want) > 45 and set(got) == set(want)
+    for pair, shifts in want.items():
+        _, s, n, equal, error = min(shifts)
+        assert tuple(got[pair])[2:5] == (s, equal, n) and abs(got[pair]["bit_error"] - error) < 1e-9
