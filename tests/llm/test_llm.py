@@ -289,3 +289,30 @@ def test_audio_alignment_equals_all_shifts(spark):
     for pair, shifts in want.items():
         _, s, n, equal, error = min(shifts)
         assert tuple(got[pair])[2:5] == (s, equal, n) and abs(got[pair]["bit_error"] - error) < 1e-9
+
+
+def test_licenses_equal_unfiltered_alignment():
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST), np.random.default_rng(4)
+    fill = "the of work license released any terms software version 2 3 0 copy prose river stone".split()
+    for name, template in scanner.templates.items():
+        for lost in (0, len(template) // 5, len(template) // 5 + 1):
+            words = [w for i, w in enumerate(template) if i not in set(rng.choice(len(template), lost, replace=False).tolist())]
+            text = [*rng.choice(fill, 15).tolist(), *words, *rng.choice(fill, 15).tolist()]
+            want = {}
+            for other in scanner.templates:
+                reach = len(scanner.templates[other]) * 3 // 2 + 4
+                found = [scanner.aligned(other, text[s:s + reach]) for s in range(max(1, len(text) - reach + 1))]
+                if any(found):
+                    want[other] = max(map(len, found)) / len(scanner.templates[other])
+            assert {f[0]: f[1] for f in scanner.find(" ".join(text))} == want
+            assert lost or want[name] == 1.0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under the MIT License.", ["MIT"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Licensed under CC BY 3.0.", ["CC-BY-3.0"]),
+    ("Licensed under CC BY-NC 9.0.", []), ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]), ("Licensed under the Foo License, Version 2.0.", []),
+    ("Licensed under the BSD 3-Clause License.", ["BSD-3-Clause"]), ("Licensed under the ISC License.", ["ISC"]),
+    ("Licensed under the Mozilla Public License, Version 2.0.", ["MPL-2.0"]), (licenses.TEMPLATES["BSD-3-Clause-text"], ["BSD-3-Clause-text"])])
+def test_sibling_licenses(text, want):
+    assert [f[0] for f in licenses.Scanner(licenses.TEMPLATES, licenses.LEAST).find("Some words before. " + text + " Some words after.")] == want
