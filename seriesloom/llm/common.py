@@ -9,6 +9,8 @@ from seriesloom.lineage import pin
 ROW = "_row"
 #: A key with at least this share of all rows is hot. There are at most 1 / HOT_SHARE such keys, so they may be broadcast.
 HOT_SHARE = 0.001
+#: Rows of a file are numbered in so many bits, files in those above.
+FILE_BITS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,21 @@ def fresh(docs: DataFrame, name: str) -> str:
 def numbered(docs: DataFrame, name: str = ROW) -> DataFrame:
     """``docs`` with a unique long in the new column ``name``.
 
-    The number depends on file and position alone, so ``docs`` has to be a table scan (or a checkpoint): then
-    a second reading and a retried task see the same numbers.
+    In a scan of Parquet files it is the file's place by path and the row's place in the file, so a second reading and a
+    retried task see the same numbers however the files are split. A checkpoint, whose partitions are fixed, is numbered
+    by partition and position. Files of other formats have no row index and raise an AnalysisException: pin them first.
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    if not docs.inputFiles():
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    meta, path = docs.metadataColumn("_metadata"), fresh(docs, "_path")
+    index = meta["row_index"]
+    paths = sorted(r[0] for r in docs.select(meta["file_path"].alias(path)).distinct().toLocalIterator())
+    if len(paths) < 2:
+        return docs.withColumn(name, index)
+    place = fresh(docs, "_place")
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), f"`{place}` long, `{path}` string")
+    both = docs.withColumns({path: meta["file_path"], name: index}).join(F.broadcast(files), path)
+    return both.withColumn(name, F.shiftleft(place, FILE_BITS) + F.col(name)).select(*docs.columns, name)
 
 
 def attach(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:

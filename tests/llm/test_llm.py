@@ -316,3 +316,22 @@ def test_licenses_equal_unfiltered_alignment():
     ("Licensed under the Mozilla Public License, Version 2.0.", ["MPL-2.0"]), (licenses.TEMPLATES["BSD-3-Clause-text"], ["BSD-3-Clause-text"])])
 def test_sibling_licenses(text, want):
     assert [f[0] for f in licenses.Scanner(licenses.TEMPLATES, licenses.LEAST).find("Some words before. " + text + " Some words after.")] == want
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_numbers_do_not_depend_on_splits(spark, tmp_path, files):
+    from seriesloom.llm.common import numbered
+    path = str(tmp_path / "d")
+    frame = spark.range(4000).selectExpr("id doc_id", "repeat(sha2(string(id), 256), 4) text", "1 _path", "2 _place")
+    frame.repartition(files).write.option("parquet.block.size", 20000).option("parquet.page.size", 4000).parquet(path)
+    seen, parts, before = [], [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "30k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = numbered(spark.read.parquet(path).select("doc_id", "text", "_path", "_place"), "row")
+            parts.append(rows.rdd.getNumPartitions())
+            seen.append({r["doc_id"]: r["row"] for r in rows.select("doc_id", "row").collect()})
+            assert rows.columns == ["doc_id", "text", "_path", "_place", "row"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts[0] < parts[1] and seen[0] == seen[1] and len(set(seen[0].values())) == 4000
