@@ -19,7 +19,8 @@ HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: Weak parts: a key-like string of 32 or more with both cases and a digit, and a URL or host with a port.
 KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}"
-ENDPOINT = r"(?:https?|s3|ftp|jdbc:[a-z]+)://[^\x20\x09-\x0D\"'<>]+"
+ENDPOINT = (r"(?:(?:https?|s3|ftp|jdbc:[a-z]+)|(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30})://[^\x20\x09-\x0D\"'<>]+"
+            r"|(?<![A-Za-z0-9_.-])(?:(?:[A-Za-z0-9-]{1,63}\.){0,10}[A-Za-z][A-Za-z0-9-]{0,62}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}):[0-9]{2,5}(?![0-9A-Za-z:])")
 KINDS = ("assign", "access", "hex", "key", "endpoint")        # order of spans with an equal start
 SCOPE = 256
 
@@ -88,7 +89,7 @@ def scan(docs: DataFrame) -> DataFrame:
     weak = F.concat(spans(text, KEY, "key", 32), spans(text, ENDPOINT, "endpoint", 8))
     found = numbered(docs.select("doc_id", "text")).select(ROW, "doc_id", assign.alias("a"), access.alias("i"), hexes.alias("h"), weak.alias("weak"))
     found = found.withColumn("base", F.concat("a", "i", "h"))
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
+    free = F.filter("weak", lambda w: (w["kind"] != KINDS.index("key")) | ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
     found = pin(found.select(ROW, "doc_id", *[F.size(c).cast("long").alias(n) for c, n in (("a", "n_assign"), ("i", "n_access"), ("h", "n_hex"))],
                              "base", free.alias("weak")))
     some = found.join(linked(found), ROW, "left")

@@ -335,3 +335,14 @@ def test_numbers_do_not_depend_on_splits(spark, tmp_path, files):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert parts[0] < parts[1] and seen[0] == seen[1] and len(set(seen[0].values())) == 4000
+
+
+def test_linked_endpoints(spark, tmp_path):
+    access, secret = "AKIA" + "Q" * 16, "token=hunter22"
+    texts = [(1, f"https://store.test/x?id={access}&{secret}"), (2, f"{access} {secret} postgres://u@h/d"), (3, f"{access} {secret} at db.test:5432."),
+             (4, f"{access} {secret} at 10.0.0.7:6379"), (5, f"{access} {secret} at T10:30:00"), (6, "db.test:5432 alone")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    text = dict(texts)
+    found = {i: [text[i][int(a):int(b)] for k, a, b in (s.split(":") for s in rows[i].split(",") if s) if k == "endpoint"] for i in rows}
+    assert found == {1: [text[1]], 2: ["postgres://u@h/d"], 3: ["db.test:5432"], 4: ["10.0.0.7:6379"], 5: [], 6: []}
