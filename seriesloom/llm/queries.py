@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesloom.llm import audio, exact, language, licenses, minhash, mixing, packing, secrets, substrings, urls
+from seriesloom.llm import audio, exact, language, licenses, minhash, mixing, packing, pieces, secrets, substrings, urls
 from seriesloom.llm.common import few_rows_a_batch, table
 from seriesloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -95,3 +95,16 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def model_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_sentencepiece")
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_a_batch(spark)
+    return pieces.encode(table(spark, sf_dir, "documents"), model_path()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
