@@ -20,7 +20,7 @@ from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, SQL_RE
                                     readings, sql, sr, table, us)
 from seriesloom.plans.rule_queries import advisories, base_sql, event_alerts, extended_rows, smoothed_forecast
 from seriesloom.sources import reading_log
-from seriesloom.streaming.rules import stream_alerts
+from seriesloom.streaming.rules import STORE, stream_alerts
 from seriesloom.streaming.sessions import stream_sessions
 
 
@@ -181,6 +181,7 @@ def floor_gates(spark, sf) -> DataFrame:
 def run_stream(spark, out: DataFrame, mode: str = "append") -> DataFrame:
     """Drive a stream over everything there is, into a folder of its own, and read the result."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     q = (out.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -209,13 +210,18 @@ def streamed_sessions(spark, sf) -> DataFrame:
 
 
 @query("streamed_alerts", sql(SQL_READINGS + """,
-sx AS (SELECT patient_id AS series_id, seq, ts, 100 + sbp * CAST(0.5 AS DOUBLE) AS sbp, 50 + dbp * CAST(0.5 AS DOUBLE) AS dbp, 2 AS n_meas, 70.0 AS age,
-  row_number() OVER w - 1 AS step, least(greatest(coalesce(floor((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 86400000000.0), 2), 1), 30) AS days_since_last
-  FROM rd WINDOW w AS (PARTITION BY patient_id ORDER BY ts, seq)),""" + base_sql("sx", "step"), """
-SELECT tier, rule_id, count(*) AS n FROM al WHERE v IS NOT NULL GROUP BY 1, 2"""))
+q0 AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY patient_id ORDER BY ts, seq)) AS gap FROM rd
+  WHERE epoch_us(ts) <= 1000 * (SELECT epoch_ms(max(ts)) FROM rd) - 43200000000),
+q1 AS (SELECT *, coalesce(gap > 3 * 86400000000, true) AS new,
+  sum(CASE WHEN gap > 3 * 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY patient_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS part FROM q0),
+sx AS (SELECT patient_id || '/' || part AS series_id, seq, ts, 100 + sbp * CAST(0.5 AS DOUBLE) AS sbp, 50 + dbp * CAST(0.5 AS DOUBLE) AS dbp, 2 AS n_meas,
+  70.0 AS age, row_number() OVER (PARTITION BY patient_id, part ORDER BY ts, seq) - 1 AS step,
+  least(greatest(CASE WHEN new THEN 2 ELSE floor(gap / 86400000000.0) END, 1), 30) AS days_since_last FROM q1),""" + base_sql("sx", "step"), """
+SELECT tier, rule_id, count(*) AS n, CAST(sum(step) AS BIGINT) AS steps FROM al WHERE v IS NOT NULL GROUP BY 1, 2"""))
 def streamed_alerts(spark, sf) -> DataFrame:
+    """Verdicts on all rows that the watermark has passed; a user who is silent for over three days starts anew."""
     e = event_stream(spark, sf).select(
         F.col("patient_id").alias("series_id"), "ts", "seq", (100 + F.col("sbp") * 0.5).alias("sbp"), (50 + F.col("dbp") * 0.5).alias("dbp"),
         F.lit(2).cast("long").alias("n_meas"), F.lit(70.0).alias("age"))
-    out = run_stream(spark, stream_alerts(e))
-    return out.where("fired").groupBy("tier", "rule_id").agg(F.count("*").alias("n"))
+    out = run_stream(spark, stream_alerts(e, idle_days=3))
+    return out.where("fired").groupBy("tier", "rule_id").agg(F.count("*").alias("n"), F.sum("step").alias("steps"))
