@@ -41,9 +41,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
         known = known.withColumn(_ALL, F.lit(0))
     counted = known.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     lanes = lay_out(counted, keys, [value], lane_rows=group_rows)
-    ranked = lanes.done(lanes.running(lanes.df, _hi=("sum", F.col("_n"))))
-    total = known.groupBy(*keys).agg(F.count("*").alias("_total"))
-    joined = ranked.join(total, keys).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    summed = lanes.whole(lanes.running(lanes.df, _hi=("sum", F.col("_n"))), _total=F.sum("_n"))
+    joined = lanes.done(summed).withColumn("_lo", F.col("_hi") - F.col("_n"))
     picks = []
     for n, p in probs.items():
         rank = F.floor(F.lit(float(p)) * (F.col("_total") - 1))

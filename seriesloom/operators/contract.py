@@ -10,6 +10,7 @@ from seriesloom.config import GAP_HIGH, GAP_LOW, MAX_OUT_OF_RANGE, MIN_PULSE_PRE
 from seriesloom.functions.expr import share
 from seriesloom.functions.lanes import Lanes, attach_row
 from seriesloom.functions.quantile import quantiles
+from seriesloom.functions.skew import attach
 from seriesloom.operators.panel import model_gap, raw_gap
 
 CHECK = "check string, ok boolean, value double, critical boolean"
@@ -139,15 +140,15 @@ def cadence_audit(lanes: Lanes, df: DataFrame, features: Sequence[str] = (), ts=
                       ("stale gaps are rare", c("stale") < 0.005, c("stale"), False)])
 
 
-def corruptions(panel: DataFrame, key="series_id", ts="ts") -> dict[str, tuple[DataFrame, str]]:
+def corruptions(panel: DataFrame, key="series_id", ts="ts", bound: int | None = None) -> dict[str, tuple[DataFrame, str]]:
     """Damaged copies of a panel, each with the check that has to catch it."""
     last = panel.groupBy(key).agg(F.max("step").alias("_last"))
-    marked = panel.join(last, key)
+    marked = attach(panel, last, key, "inner", bound)
     at = F.col("step")
     moved = F.when(at == F.floor(F.col("_last") / 2), F.date_sub(ts, 400)).otherwise(F.col(ts))
     late = F.when(at >= F.floor(F.col("_last") / 2), F.date_add(ts, 365)).otherwise(F.col(ts))
     first = panel.groupBy(key).agg(F.min(ts).alias("_first"))
-    daily = panel.join(first, key).withColumn(ts, F.date_add("_first", at.cast("int"))).drop("_first")
+    daily = attach(panel, first, key, "inner", bound).withColumn(ts, F.date_add("_first", at.cast("int"))).drop("_first")
     dup = marked.where(at == F.col("_last")).withColumn("step", at + 1)
     return {
         "duplicate last row": (panel.unionByName(dup.drop("_last")), "structure: unique (series, session)"),
@@ -162,7 +163,7 @@ def self_test(panel: DataFrame, min_sessions: int, key="series_id", ts="ts", bou
     """Feed every damaged copy through the same checks; each must FAIL."""
     from seriesloom.functions.lanes import lay_out
     out = None
-    for name, (damaged, expected) in corruptions(panel, key, ts).items():
+    for name, (damaged, expected) in corruptions(panel, key, ts, bound).items():
         lanes = lay_out(damaged.drop("days_since_last_raw", "days_since_last").withColumnRenamed("step", "_step"),
                         [key], ["_step"], reach=1, bound=bound)
         d = lanes.df.withColumn("days_since_last_raw", raw_gap(lanes, ts))

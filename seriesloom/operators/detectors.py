@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seriesloom.functions.expr import clip, finite, ratio
 from seriesloom.functions.lanes import Lanes, attach_row
 from seriesloom.functions.quantile import quantiles
+from seriesloom.functions.skew import attach
 from seriesloom.operators.features import unpivot
 from seriesloom.operators.metrics import ranking
 
@@ -80,10 +81,10 @@ def page_hinkley(lanes: Lanes, df: DataFrame, x: str, deltas: dict[str, float])
                               for i, n in enumerate(deltas)])
 
 
-def forecast_scores(df: DataFrame, forecast: str, key="series_id", value="sbp") -> DataFrame:
+def forecast_scores(df: DataFrame, forecast: str, key="series_id", value="sbp", bound: int | None = None) -> DataFrame:
     """Forecast against the series' own train mean and deviation, and against its event threshold."""
     own = df.where(F.col("split") == "train").groupBy(key).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
-    out = df.join(own, key, "left")
+    out = attach(df, own, key, bound=bound)
     return (out.withColumn("d_forecast_level", ratio(F.col(forecast) - F.col("_mu"), F.col("_sd")))
             .withColumn("d_forecast_breach", F.col(forecast) - F.col("event_threshold")).drop("_mu", "_sd"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.config import MIN_PULSE_PRESSURE, RANGES
 from seriesloom.functions.quantile import quantiles
+from seriesloom.functions.skew import attach
 from seriesloom.operators.features import ewm_name
 
 BASELINES = ("persistence", "seasonal_naive_7", "drift", "personal_mean", "ewma")
@@ -156,11 +157,11 @@ def holt_grid(states: DataFrame, key: str, h: int, configs=HOLT_GRID, last_train
     return j.groupBy("config").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
 
 
-def theta_forecasts(states: DataFrame, key: str, ahead: int, index: int = 0) -> DataFrame:
+def theta_forecasts(states: DataFrame, key: str, ahead: int, index: int = 0, bound: int | None = None) -> DataFrame:
     """Smoothed level plus half the mean drift of everything seen before the row."""
     first = states.groupBy(key).agg(F.min_by("_v", "step").alias("_first"))
     prev = states.select(key, (F.col("step") + 1).alias("step"), F.col("_v").alias("_last"))
-    j = states.join(first, key).join(prev, [key, "step"], "left")
+    j = attach(states, first, key, "inner", bound).join(prev, [key, "step"], "left")
     drift = (F.col("_last") - F.col("_first")) / F.greatest(F.col("step") - 1, F.lit(1))
     p = F.when(F.col("step") >= 3, F.col("level")[index] + 0.5 * ahead * drift).otherwise(F.col("_last"))
     return j.select(key, "step", F.col("_v").alias("value"), p.alias("theta"))
@@ -205,9 +206,10 @@ def solve_series(gram: DataFrame, key: str, n_x: int, least: int, ridge: float =
     return gram.where(F.col("n") >= least).select(key, "n", "gram").mapInPandas(solve, f"`{key}` {kind}, coef array<double>")
 
 
-def apply_series(rows: DataFrame, coef: DataFrame, key: str, xs: Sequence[str], fallback: Column, name: str) -> DataFrame:
+def apply_series(rows: DataFrame, coef: DataFrame, key: str, xs: Sequence[str], fallback: Column, name: str,
+                 bound: int | None = None) -> DataFrame:
     """Prediction of the series' own model, the fallback where a series has none."""
-    j = rows.join(coef, key, "left")
+    j = attach(rows, coef, key, bound=bound)
     fill = F.col("coef")[len(xs) + 1]
     p = F.col("coef")[0]
     for i, x in enumerate(xs):

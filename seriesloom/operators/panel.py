@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seriesloom.config import Config, GAP_FIRST, GAP_HIGH, GAP_LOW
 from seriesloom.functions.expr import age_band, clip, day_gap, entity_split, half_even
 from seriesloom.functions.lanes import Lanes, lay_out
+from seriesloom.functions.skew import attach
 
 
 def eligible(sessions: DataFrame, key="series_id", ts="ts", min_sessions=60, min_span_days=120) -> DataFrame:
@@ -23,12 +24,12 @@ def largest(cohort: DataFrame, k: int, key="series_id") -> DataFrame:
     return cohort.orderBy(F.col("n_sessions").desc(), F.col(key).cast("string")).limit(k)
 
 
-def admit(sessions: DataFrame, config: Config, key="series_id", ts="ts") -> DataFrame:
+def admit(sessions: DataFrame, config: Config, key="series_id", ts="ts", bound: int | None = None) -> DataFrame:
     """Rows of the cohort; ``max_entities``, off by default, keeps only that many of the largest series."""
     cohort = eligible(sessions, key, ts, config.min_sessions, config.min_span_days)
     if config.max_entities:
         cohort = largest(cohort, config.max_entities, key)
-    return sessions.join(cohort.select(key), key, "left_semi")
+    return attach(sessions, cohort.select(key), key, "left_semi", bound)
 
 
 def raw_gap(lanes: Lanes, ts="ts", fractional=False) -> Column:
@@ -88,9 +89,9 @@ def add_splits(lanes: Lanes, df: DataFrame, config: Config) -> DataFrame:
 def build_panel(sessions: DataFrame, static: DataFrame | None, config: Config, key="series_id", ts="ts",
                 tie: Sequence[str] = (), reach: int = 30, bound: int | None = None) -> Lanes:
     """The panel as lanes; ``lanes.df`` has steps, cadence, clinical columns and splits."""
-    rows = admit(sessions, config, key, ts)
+    rows = admit(sessions, config, key, ts, bound)
     if static is not None:
-        rows = rows.join(static, key, "left")
+        rows = attach(rows, static, key, bound=bound)
     lanes = lay_out(rows, [key], [ts, *tie], reach=reach, bound=bound)
     df = attach_cadence(lanes, lanes.df, ts)
     if static is not None:

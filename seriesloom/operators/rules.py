@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from seriesloom.config import STALE_DAYS
 from seriesloom.functions.expr import any_of, clip, finite, first_of, half_even
 from seriesloom.functions.lanes import Lanes, attach_row
+from seriesloom.functions.skew import attach
 from seriesloom.operators.rulebook import (BASE_INPUTS, CASCADE, CONDITIONS, DISPOSITIONS, DISPOSITION_TIERS,
                                            EMERGENCY_TIERS, MECHANISMS, MEDICATIONS, NUMBERS, OTHER_FLAGS, RED_FLAGS,
                                            RULE_TABLE, SYMPTOMS, TEXTS, TIER_TABLE, TIERS, lines)
@@ -138,9 +139,9 @@ def evaluate_extended(df: DataFrame) -> DataFrame:
     return decide(ready, [f"_row.{c}" for c in keep], cases)
 
 
-def with_threshold(df: DataFrame, thresholds: DataFrame, key="series_id", name="ml_threshold") -> DataFrame:
-    """Attach one personal threshold per series; Spark broadcasts it only below its size limit."""
-    return df.join(thresholds.select(key, F.col("threshold").alias(name)), key, "left")
+def with_threshold(df: DataFrame, thresholds: DataFrame, key="series_id", name="ml_threshold", bound: int | None = None) -> DataFrame:
+    """One personal threshold per series on every row."""
+    return attach(df, thresholds.select(key, F.col("threshold").alias(name)), key, bound=bound)
 
 
 def coverage(reg: DataFrame, alerts_a: DataFrame, alerts_b: DataFrame) -> DataFrame:
@@ -192,9 +193,9 @@ def predicted_alerts(last_rows: DataFrame, forecast: DataFrame, key="series_id")
             .withColumn("fired", F.col("tier").isNotNull()))
 
 
-def drift_advisories(forecast: DataFrame, thresholds: DataFrame, key="series_id") -> DataFrame:
+def drift_advisories(forecast: DataFrame, thresholds: DataFrame, key="series_id", bound: int | None = None) -> DataFrame:
     """The earliest horizon whose forecast reaches the personal threshold."""
-    hit = forecast.join(thresholds.select(key, "threshold"), key).where(F.col("sbp_hat") >= F.col("threshold"))
+    hit = attach(forecast, thresholds.select(key, "threshold"), key, "inner", bound).where(F.col("sbp_hat") >= F.col("threshold"))
     first = hit.groupBy(key).agg(F.min_by(F.struct("h", "days_ahead", "sbp_hat", "threshold"), "h").alias("a")).select(key, "a.*")
     margin = F.col("sbp_hat") - F.col("threshold")
     return first.select(key, F.lit("PREDICT_BP_DRIFT_TOWARD_L1").alias("advisory"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seriesloom.config import Config, RANGES, STALE_DAYS
 from seriesloom.functions.expr import first_of, half_even
 from seriesloom.functions.lanes import lay_out
+from seriesloom.functions.skew import attach
 from seriesloom.operators.rulebook import (CONDITIONS, MECHANISMS, MEDICATIONS, RED_FLAGS, SERVING_NAMES, SYMPTOMS)
 
 # Bounds of a submitted reading and profile, and the three quadrature nodes with weights.
@@ -18,13 +19,13 @@ Z80 = 1.2815515655446004
 NODES = ((0.0, 2.0 / 3.0), (math.sqrt(3.0), 1.0 / 6.0), (-math.sqrt(3.0), 1.0 / 6.0))
 
 
-def reading_errors(df: DataFrame, key="patient_id", date="date") -> DataFrame:
+def reading_errors(df: DataFrame, key="patient_id", date="date", bound: int | None = None) -> DataFrame:
     """Every submitted reading with the codes of what is wrong with it; an empty list is a valid row.
 
-    Histories of any length are valid. Counting per (key, date) goes through an aggregate, so one busy key is no bottleneck.
+    Histories of any length are valid. ``bound`` is an upper bound of the rows of a key and date.
     """
     per_day = df.groupBy(key, date).agg(F.count("*").alias("_same_day"))
-    d = df.join(per_day, [key, date], "left")
+    d = attach(df, per_day, [key, date], bound=bound)
     have = set(df.columns)
     out = [F.when(F.col(date).isNull(), "unparseable_date"), F.when(F.col("_same_day") > 1, "duplicate_date"),
            F.when(F.col("sbp") - F.col("dbp") < 10, "pulse_pressure")]

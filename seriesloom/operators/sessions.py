@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions.expr import half_even, seconds_between
 from seriesloom.functions.lanes import attach_row, lay_out
+from seriesloom.functions.skew import attach
 
 
 def admissible(sbp="sbp", dbp="dbp", sbp_range=(60, 260), dbp_range=(30, 160), min_diff=10) -> Column:
@@ -75,9 +76,9 @@ def attach_records(sessions: DataFrame, records: DataFrame, key="patient_id") ->
                       .alias("session_source"))
 
 
-def attach_static(sessions: DataFrame, static: DataFrame, key="patient_id") -> DataFrame:
-    """Left join of one static row per key. Spark broadcasts the static side only below its size threshold."""
-    return sessions.join(first_per_key(static, [key], ["gender", "age", "DM"]), key, "left")
+def attach_static(sessions: DataFrame, static: DataFrame, key="patient_id", bound: int | None = None) -> DataFrame:
+    """Left join of one static row per key; ``bound`` limits the sessions of a key."""
+    return attach(sessions, first_per_key(static, [key], ["gender", "age", "DM"]), key, bound=bound)
 
 
 def with_age(static: DataFrame, reference_year: int, birthday="birthday", first="first_dialysis") -> DataFrame:
@@ -87,14 +88,14 @@ def with_age(static: DataFrame, reference_year: int, birthday="birthday", first=
         F.try_to_timestamp(F.col(first), F.lit("yyyy-MM")).alias("first_dialysis_ts"))
 
 
-def key_sets(sessions: DataFrame, records: DataFrame, key="patient_id") -> DataFrame:
+def key_sets(sessions: DataFrame, records: DataFrame, key="patient_id", bound: int | None = None) -> DataFrame:
     """Distinct (key, day) pairs of both sides with presence flags and the other side's span."""
     s = sessions.select(key, "day").distinct().withColumn("in_sessions", F.lit(True))
     r = records.select(key, "day").distinct().withColumn("in_records", F.lit(True))
     pairs = s.join(r, [key, "day"], "full_outer").na.fill(False, ["in_sessions", "in_records"])
     span_s = sessions.groupBy(key).agg(F.min("day").alias("s_lo"), F.max("day").alias("s_hi"))
     span_r = records.groupBy(key).agg(F.min("day").alias("r_lo"), F.max("day").alias("r_hi"))
-    placed = pairs.join(span_s, key, "left").join(span_r, key, "left")
+    placed = attach(attach(pairs, span_s, key, bound=bound), span_r, key, bound=bound)
     inside_r = F.coalesce(F.col("day").between(F.col("r_lo"), F.col("r_hi")), F.lit(False))
     inside_s = F.coalesce(F.col("day").between(F.col("s_lo"), F.col("s_hi")), F.lit(False))
     return placed.select(key, "day", "in_sessions", "in_records",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.functions.lanes import attach_row, lay_out
 from seriesloom.functions.quantile import quantiles
+from seriesloom.functions.skew import attach
 from seriesloom.lineage import pin
 from seriesloom.operators import contract as C
 from seriesloom.operators import features as W
@@ -271,7 +272,7 @@ def event_base_rates(spark, sf) -> DataFrame:
     w = lanes.window
     ahead = [F.lead("sbp", i).over(w) for i in (1, 2, 3)]
     d = lanes.whole(lanes.df.select("*", ahead[2].alias("_a3"), F.greatest(*ahead).alias("_mx")), _n=F.count("*"))
-    rows = lanes.done(d).where("_n >= 30").join(q, "series_id")
+    rows = attach(lanes.done(d).where("_n >= 30"), q, "series_id", "inner", lanes.longest)
     hit = F.when(F.col("_a3").isNotNull(), (F.col("_mx") >= F.col("threshold")).cast("double"))
     return rows.groupBy("series_id").agg(r(F.min("threshold")).alias("threshold"), r(F.avg(hit)).alias("base_rate"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from seriesloom.functions.skew import attach
 from seriesloom.operators import detectors as D
 from seriesloom.operators import features as W
 from seriesloom.operators import metrics as M
@@ -33,7 +34,7 @@ def detector_frame(spark, sf) -> DataFrame:
     """Features, event labels and closed-form plus sequential scores of every event row."""
     lanes = event_panel(spark, sf)
     thr = D.event_thresholds(lanes.done(lanes.df), bound=event_bound(spark, sf))
-    df = lanes.df.join(thr, "series_id", "left")
+    df = attach(lanes.df, thr, "series_id", bound=lanes.longest)
     df = D.label_events(lanes, df, window=EVENT_CONFIG.warn_window).withColumn("_x", F.lag("sbp").over(lanes.window))
     df = D.cusum(lanes, df, "_x", {"d_cusum": 0.5})
     df = D.page_hinkley(lanes, df, "_x", {"d_page_hinkley": 0.05}).drop("_x")
@@ -92,7 +93,7 @@ ow AS (SELECT series_id, avg(sbp) AS mu, stddev_samp(sbp) AS sd FROM ep WHERE sp
 SELECT ds.series_id, event_id, {sr('(m7 - mu) / nullif(sd, 0)')} AS d_forecast_level, {sr('m7 - thr')} AS d_forecast_breach
 FROM ds LEFT JOIN ow ON ds.series_id = ow.series_id"""))
 def forecast_scores(spark, sf) -> DataFrame:
-    f = D.forecast_scores(detector_frame(spark, sf), "sbp_mean7")
+    f = D.forecast_scores(detector_frame(spark, sf), "sbp_mean7", bound=event_bound(spark, sf))
     return f.select("series_id", "event_id", r("d_forecast_level").alias("d_forecast_level"),
                     r("d_forecast_breach").alias("d_forecast_breach"))
 
@@ -179,7 +180,7 @@ def tuned_detectors(spark, sf) -> DataFrame:
     """Smoothing, CUSUM and Page-Hinkley grids scored on validation rows in one job."""
     lanes = event_panel(spark, sf)
     thr = D.event_thresholds(lanes.done(lanes.df), bound=event_bound(spark, sf))
-    df = D.label_events(lanes, lanes.df.join(thr, "series_id", "left"))
+    df = D.label_events(lanes, attach(lanes.df, thr, "series_id", bound=lanes.longest))
     df = df.withColumn("_x", F.lag("sbp").over(lanes.window))
     df = D.cusum(lanes, df, "_x", {"cusum_50": 0.5, "cusum_25": 0.25, "cusum_100": 1.0})
     df = D.page_hinkley(lanes, df, "_x", {"ph_05": 0.05, "ph_01": 0.01, "ph_20": 0.2})

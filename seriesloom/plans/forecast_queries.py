@@ -153,7 +153,7 @@ o AS (SELECT e.series_id, e.step, CASE WHEN e.step = 0 THEN NULL WHEN e.step <=
   FROM ep e LEFT JOIN s ON s.series_id = e.series_id AND s.step = e.step - 1
   LEFT JOIN ep l ON l.series_id = e.series_id AND l.step = e.step - 1)""").strip(), f"SELECT series_id, step, {sr('p')} AS theta FROM o"))
 def theta(spark, sf) -> DataFrame:
-    return B.theta_forecasts(states(spark, sf, [B.SES]), "series_id", 1).select("series_id", "step", r("theta").alias("theta"))
+    return B.theta_forecasts(states(spark, sf, [B.SES]), "series_id", 1, bound=event_bound(spark, sf)).select("series_id", "step", r("theta").alias("theta"))
 
 
 @query("damped_trend_grid")
@@ -168,7 +168,7 @@ def series_regression(spark, sf) -> DataFrame:
     f = frame(spark, sf)
     lags = LAGS[:3]
     coef = B.solve_series(B.series_gram(f.where("split = 'train'"), "series_id", lags, "y_sbp_h0"), "series_id", 3, 20)
-    p = B.apply_series(f.where("split = 'test'"), coef, "series_id", lags, F.col("sbp_lag1"), "p")
+    p = B.apply_series(f.where("split = 'test'"), coef, "series_id", lags, F.col("sbp_lag1"), "p", event_bound(spark, sf))
     return p.select("series_id", "step", "p", F.col("y_sbp_h0").alias("y"))
 
 
@@ -182,7 +182,7 @@ SELECT x.series_id, step, {sr('coalesce(a + b * l, l)', 4)} AS p FROM x LEFT JOI
 def series_autoregression(spark, sf) -> DataFrame:
     f = frame(spark, sf)
     coef = B.solve_series(B.series_gram(f.where("split = 'train'"), "series_id", ["sbp_lag1"], "y_sbp_h0"), "series_id", 1, 30)
-    p = B.apply_series(f.where("split = 'test'"), coef, "series_id", ["sbp_lag1"], F.col("sbp_lag1"), "p")
+    p = B.apply_series(f.where("split = 'test'"), coef, "series_id", ["sbp_lag1"], F.col("sbp_lag1"), "p", event_bound(spark, sf))
     return p.select("series_id", "step", r("p", 4).alias("p"))
 
 
@@ -192,7 +192,7 @@ def series_ridge(spark, sf) -> DataFrame:
     f = frame(spark, sf).withColumn("_change", F.col("y_sbp_h0") - F.col("sbp_lag1"))
     cols = ["sbp_lag1", "sbp_mean7", "sbp_base_mean"]
     coef = B.solve_series(B.series_gram(f.where("split = 'train'"), "series_id", cols, "_change"), "series_id", 3, 30, ridge=1.0)
-    p = B.apply_series(f.where("split = 'test'"), coef, "series_id", cols, F.lit(0.0), "change")
+    p = B.apply_series(f.where("split = 'test'"), coef, "series_id", cols, F.lit(0.0), "change", event_bound(spark, sf))
     return p.select("series_id", "step", (F.col("sbp_lag1") + F.col("change")).alias("p"), F.col("y_sbp_h0").alias("y"))
 
 
@@ -265,7 +265,7 @@ def model_sweep(spark, sf) -> DataFrame:
 @query("residual_intercepts")
 def residual_intercepts(spark, sf) -> DataFrame:
     f = learning_frame(spark, sf)
-    p = L.residual_intercepts(fit_rows(f), f.where("split = 'test'"), "ridge", SMALL, "y_sbp_h0")
+    p = L.residual_intercepts(fit_rows(f), f.where("split = 'test'"), "ridge", SMALL, "y_sbp_h0", bound=event_bound(spark, sf))
     return M.evaluate(p.select("patient_split", F.col("y_sbp_h0").alias("y"), "p"), ["patient_split"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesloom.config import Config
 from seriesloom.functions.lanes import Lanes, lay_out
+from seriesloom.functions.skew import attach
 from seriesloom.operators import panel as P, sessions as S
 
 CONFIG = Config(min_sessions=20, min_span_days=10)
@@ -204,7 +205,8 @@ def event_panel(spark: SparkSession, sf: str, reach: int = 31) -> Lanes:
         flag(k % 13 == 1).alias("dizziness"), flag(k % 37 == 5).alias("severe_headache"),
         flag(k % 29 == 3).alias("edema"), flag(k % 17 == 2).alias("palpitations"), flag(k % 19 == 4).alias("sob"),
         flag(k % 41 == 7).alias("syncope"), flag(k % 43 == 9).alias("face_swelling"),
-        flag(k % 23 == 6).alias("dry_cough")).join(who, "series_id", "left")
+        flag(k % 23 == 6).alias("dry_cough"))
+    rows = attach(rows, who, "series_id", bound=event_bound(spark, sf))
     lanes = lay_out(rows, ["series_id"], ["ts", "event_id"], reach=reach, bound=event_bound(spark, sf))
     lanes.df = P.add_splits(lanes, P.attach_cadence(lanes, lanes.df), EVENT_CONFIG)
     return lanes

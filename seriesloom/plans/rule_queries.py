@@ -12,7 +12,7 @@ from seriesloom.operators.frames import provenance
 from seriesloom.operators.rulebook import CASCADE, RULE_TABLE, TIERS, lines
 from seriesloom.plans.feature_queries import frame, sql_expand, sql_lag, sql_roll
 from seriesloom.plans.registry import query
-from seriesloom.plans.roles import (CONFIG, EVENT_CONFIG, SQL_EVENT_PANEL, SQL_PANEL, event_panel, event_rows, panel,
+from seriesloom.plans.roles import (CONFIG, EVENT_CONFIG, SQL_EVENT_PANEL, SQL_PANEL, event_bound, event_panel, event_rows, panel,
                                     r, sql, sr, table)
 from seriesloom.plans.threshold_queries import SQL_PRIOR
 from seriesloom.operators import thresholds as O
@@ -48,7 +48,7 @@ def event_alerts(spark, sf, threshold: bool = False, aged: bool = False):
     if threshold:
         rows = event_panel(spark, sf)
         t = O.thresholds(rows.done(rows.df), EVENT_CONFIG, bound=event_rows(spark, sf))
-        df = R.with_threshold(df, t)
+        df = R.with_threshold(df, t, bound=lanes.longest)
     return lanes, R.evaluate_base(lanes, df, "ml_threshold" if threshold else None)
 
 
@@ -241,7 +241,7 @@ def drift_advisories(spark, sf) -> DataFrame:
     _, ahead = smoothed_forecast(spark, sf)
     lanes = event_panel(spark, sf)
     t = O.thresholds(lanes.done(lanes.df), EVENT_CONFIG, bound=event_rows(spark, sf))
-    a = R.drift_advisories(ahead, t)
+    a = R.drift_advisories(ahead, t, bound=event_bound(spark, sf))
     return a.select("series_id", F.col("horizon_days").cast("double").alias("horizon_days"), r("confidence", 2).alias("confidence"))
 
 
@@ -268,7 +268,7 @@ def advisories(spark, sf) -> DataFrame:
     t = O.thresholds(rows, EVENT_CONFIG, bound=event_rows(spark, sf))
     newest = rows.groupBy("series_id").agg(F.max_by("sbp", "step").alias("sbp"), F.max_by("k", "step").alias("k"))
     flagged = newest.where(F.col("k") >= 60).withColumn("est_lead_days", F.lit(2.0))
-    a = R.drift_advisories(ahead, t).withColumn("horizon_days", F.col("horizon_days").cast("double"))
+    a = R.drift_advisories(ahead, t, bound=event_bound(spark, sf)).withColumn("horizon_days", F.col("horizon_days").cast("double"))
     b = R.fluid_advisories(lanes, weight_like(lanes))
     c = R.trend_advisories(flagged, confidence=F.lit(0.6))
     return a.unionByName(b).unionByName(c)

@@ -16,7 +16,7 @@ from seriesloom.operators.learners import fit_predict
 from seriesloom.plans.detector_queries import detector_frame, fairness_battery
 from seriesloom.plans.forecast_queries import SMALL, fit_rows, forecast_pairs, learning_frame, missingness_sweep, prediction_explanations
 from seriesloom.plans.registry import query
-from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, SQL_READINGS, event_panel, event_rows, r,
+from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, SQL_READINGS, event_bound, event_panel, event_rows, r,
                                     readings, sql, sr, table, us)
 from seriesloom.plans.rule_queries import advisories, base_sql, event_alerts, extended_rows, smoothed_forecast
 from seriesloom.sources import reading_log
@@ -50,7 +50,7 @@ SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN same > 1 T
   CASE WHEN k % 31 = 0 THEN 'unknown_symptoms' END, CASE WHEN k % 43 = 0 THEN 'unknown_medications' END,
   CASE WHEN is_male = 1 AND is_pregnant = 1 THEN 'pregnant_and_male' END], lambda x: x IS NOT NULL)) AS code FROM rq) GROUP BY 1"""))
 def request_errors(spark, sf) -> DataFrame:
-    return (V.reading_errors(requests(spark, sf)).select(F.explode("errors").alias("code")).groupBy("code")
+    return (V.reading_errors(requests(spark, sf), bound=event_bound(spark, sf)).select(F.explode("errors").alias("code")).groupBy("code")
             .agg(F.count("*").alias("n")))
 
 
@@ -58,7 +58,7 @@ def request_errors(spark, sf) -> DataFrame:
 SELECT hf_type, count(*) AS n, CAST(sum(CASE WHEN hf_type <> 'NONE' THEN 1 ELSE 0 END) AS BIGINT) AS with_heart_failure FROM rq
 WHERE same = 1 AND s - b >= 10 AND s BETWEEN 60 AND 260 AND b BETWEEN 30 AND 160 AND k % 31 <> 0 AND k % 43 <> 0 GROUP BY 1"""))
 def valid_requests(spark, sf) -> DataFrame:
-    v = V.valid(V.reading_errors(requests(spark, sf)))
+    v = V.valid(V.reading_errors(requests(spark, sf), bound=event_bound(spark, sf)))
     return v.groupBy("hf_type").agg(F.count("*").alias("n"), F.sum(F.array_contains("conditions", "has_hf").cast("long")).alias("with_heart_failure"))
 
 

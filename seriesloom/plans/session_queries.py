@@ -10,7 +10,7 @@ from seriesloom.functions.quantile import quantiles
 from seriesloom.operators import sessions as S
 from seriesloom.operators.frames import digest
 from seriesloom.plans.registry import query
-from seriesloom.plans.roles import (ADMIT, SQL_READINGS, SQL_RECORDS, SQL_RUNS, SQL_SESSIONS, admitted, r, readings,
+from seriesloom.plans.roles import (ADMIT, SQL_READINGS, SQL_RECORDS, SQL_RUNS, SQL_SESSIONS, admitted, event_bound, r, readings,
                                     records, runs, sessions, sql, sr, static, table, us)
 
 DAY = "CAST(day AS VARCHAR) AS day"
@@ -80,7 +80,7 @@ SELECT gender, age, DM, count(*) AS n_sessions, count(DISTINCT patient_id) AS n_
   CAST(count(fd) AS BIGINT) AS n_first, max(fd) AS last_first
 FROM sess LEFT JOIN stat ON patient_id = pid GROUP BY 1, 2, 3"""))
 def static_join(spark, sf) -> DataFrame:
-    joined = sessions(spark, sf).join(static(spark, sf), "patient_id", "left")
+    joined = S.attach_static(sessions(spark, sf), static(spark, sf), bound=event_bound(spark, sf))
     return joined.groupBy("gender", "age", "DM").agg(
         F.count("*").alias("n_sessions"), F.count_distinct("patient_id").alias("n_patients"),
         F.count("first_dialysis_ts").alias("n_first"),
@@ -100,7 +100,7 @@ SELECT p.patient_id, CAST(p.day AS VARCHAR) AS day, CAST(in_s AS INTEGER) AS in_
   CASE WHEN NOT in_s THEN CAST(coalesce(p.day BETWEEN ss.lo AND ss.hi, false) AS INTEGER) END AS inside_session_span
 FROM p LEFT JOIN ss ON p.patient_id = ss.patient_id LEFT JOIN rs ON p.patient_id = rs.patient_id"""))
 def key_sets(spark, sf) -> DataFrame:
-    p = S.key_sets(S.collapse_days(runs(spark, sf)), records(spark, sf))
+    p = S.key_sets(S.collapse_days(runs(spark, sf)), records(spark, sf), bound=event_bound(spark, sf))
     flags = ["in_sessions", "in_records", "inside_record_span", "inside_session_span"]
     return p.select("patient_id", F.col("day").cast("string").alias("day"),
                     *[F.col(c).cast("int").alias(c) for c in flags])
@@ -170,7 +170,7 @@ UNION ALL SELECT 10, 'undated records', 0, NULL FROM a
 UNION ALL SELECT 11, 'sessions crossing midnight', crossings, NULL FROM a
 UNION ALL SELECT 12, 'sessions under calendar keying', calendar_sessions, NULL FROM a"""))
 def session_decomposition(spark, sf) -> DataFrame:
-    pairs = S.key_sets(S.collapse_days(runs(spark, sf)), records(spark, sf))
+    pairs = S.key_sets(S.collapse_days(runs(spark, sf)), records(spark, sf), bound=event_bound(spark, sf))
     return S.decompose(pairs, ingest_counters(spark, sf))
 
 
