@@ -11,6 +11,7 @@ from seriesloom.lineage import pin
 from seriesloom.operators import contract as C
 from seriesloom.operators import features as W
 from seriesloom.operators import leakage as K
+from seriesloom.operators import selection as X
 from seriesloom.operators import stats as A
 from seriesloom.plans.detector_queries import over_step
 from seriesloom.plans.feature_queries import overlay, sql_lag, sql_roll
@@ -81,16 +82,57 @@ def target_correlations(spark, sf) -> DataFrame:
     return A.pearson(f, ["sbp_lag1", "sbp_mean7"], ["y_sbp_h0", "y_sbp_h1"]).select("feature", "target", "n", r("r").alias("r"))
 
 
-@query("rank_correlations", sql(SQL_EVENT_PANEL + "," + over_step(f"""
-f AS (SELECT {sql_lag('sbp', 1)} AS sbp_lag1, {sql_lag('dbp', 1)} AS dbp_lag1, sbp AS y FROM ep),
-l AS (SELECT 'sbp_lag1' AS feature, sbp_lag1 AS x, y FROM f WHERE sbp_lag1 IS NOT NULL
-  UNION ALL SELECT 'dbp_lag1', dbp_lag1, y FROM f WHERE dbp_lag1 IS NOT NULL),
-k AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / CAST(2 AS DOUBLE) AS rx,
-  rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / CAST(2 AS DOUBLE) AS ry FROM l)"""), f"""
-SELECT feature, count(*) AS n, {sr('corr(rx, ry)')} AS rho FROM k GROUP BY 1"""))
+#: Features whose values are the same bit for bit in SQL, so that ties are ties there too.
+EXACT = [*[f"{s}_lag{k}" for s in ("sbp", "dbp") for k in (1, 2, 3, 5, 7, 14)],
+         *[f"{s}_{n}{w}" for s in ("sbp", "dbp") for w in (3, 7, 14, 30) for n in ("min", "max", "range")], "sbp_d1", "dbp_d1", "pp_lag1", "sbp_dbp_ratio",
+         "age", "is_male", "is_dm", "has_afib", "has_cad", "has_hf", "is_pregnant", "on_ace", "on_bb", "on_loop", "k", "pulse", "missed_3d", "days_since_last"]
+TARGETS = [f"y_{s}_h{h}" for s in ("sbp", "dbp") for h in (0, 1, 2)]
+
+
+def sql_exact(name: str) -> str:
+    """A feature of ``EXACT`` or a target as SQL over the event panel."""
+    signal, _, rest = name.partition("_")
+    if name.startswith("y_"):
+        return f"lead({name[2:5]}, {name[-1]}) OVER (PARTITION BY series_id ORDER BY ts)"
+    if name == "pp_lag1":
+        return sql_lag("(sbp - dbp)", 1)
+    if name == "sbp_dbp_ratio":
+        return f"{sql_lag('sbp', 1)} / nullif({sql_lag('dbp', 1)}, 0)"
+    if rest.startswith("lag"):
+        return sql_lag(signal, int(rest[3:]))
+    if rest == "d1":
+        return f"{sql_lag(signal, 1)} - {sql_lag(signal, 2)}"
+    for n in ("min", "max", "range"):
+        if signal in ("sbp", "dbp") and rest.startswith(n):
+            w = int(rest[len(n):])
+            roll = lambda fn: sql_roll(fn, signal, w, max(2, w // 3))
+            return f"{roll('max')} - {roll('min')}" if n == "range" else roll(n)
+    return name
+
+
+SQL_RANKS = SQL_EVENT_PANEL + "," + over_step(f"""
+w AS (SELECT split, [{', '.join(f"CAST({sql_exact(f)} AS DOUBLE)" for f in EXACT)}] AS xs,
+  [{', '.join(f"CAST({sql_exact(t)} AS DOUBLE)" for t in TARGETS)}] AS ys FROM ep)""") + f""",
+fs AS (SELECT * FROM (SELECT unnest({EXACT}) AS feature, unnest(range({len(EXACT)})) AS f), (SELECT unnest({TARGETS}) AS target, unnest(range({len(TARGETS)})) AS t)),
+l AS (SELECT feature, target, split, xs[f + 1] AS x, ys[t + 1] AS y FROM w, fs WHERE xs[f + 1] IS NOT NULL AND ys[t + 1] IS NOT NULL)"""
+SQL_RHO = """,
+k AS (SELECT *, rank() OVER (PARTITION BY feature, target ORDER BY x) + (count(*) OVER (PARTITION BY feature, target, x) - 1) / CAST(2 AS DOUBLE) AS rx,
+  rank() OVER (PARTITION BY feature, target ORDER BY y) + (count(*) OVER (PARTITION BY feature, target, y) - 1) / CAST(2 AS DOUBLE) AS ry FROM {rows}),
+c AS (SELECT feature, target, count(*) AS n, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS r,
+  CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM k GROUP BY 1, 2)"""
+
+
+@query("rank_correlations", sql(SQL_RANKS + SQL_RHO.format(rows="l"), f"SELECT feature, target, n, {sr('rho')} AS rho FROM c"))
 def rank_correlations(spark, sf) -> DataFrame:
     f = W.build_features(event_panel(spark, sf), EVENT_CONFIG)
-    return A.spearman(f, ["sbp_lag1", "dbp_lag1"], ["y_sbp_h0"]).select("feature", "n", r("rho").alias("rho"))
+    return A.spearman(f, EXACT, TARGETS).select("feature", "target", "n", r("rho").alias("rho"))
+
+
+@query("selection_relevance", sql(SQL_RANKS + ", tr AS (SELECT * FROM l WHERE split = 'train')" + SQL_RHO.format(rows="tr"), f"""
+SELECT feature, {sr('coalesce(max(greatest(coalesce(abs(r), 0), coalesce(abs(rho), 0))) FILTER (n >= 200), 0)')} AS relevance FROM c GROUP BY 1"""))
+def selection_relevance(spark, sf) -> DataFrame:
+    f = W.build_features(event_panel(spark, sf), EVENT_CONFIG).where("split = 'train'").select(*EXACT, *TARGETS)
+    return X.relevance(pin(f), EXACT, TARGETS).select("feature", r("relevance").alias("relevance"))
 
 
 @query("describe", " UNION ALL ".join(f"""

@@ -333,27 +333,21 @@ def shuffled_target_probe(spark, sf) -> DataFrame:
     return p.agg(F.avg(F.abs(y - F.col("p"))).alias("mae_shuffled"), F.avg(F.abs(y - F.col("sbp_lag1"))).alias("mae_persistence"))
 
 
-@query("feature_selection")
-def feature_selection(spark, sf) -> DataFrame:
-    """Audit of kept and dropped features with relevance, cluster and density."""
+def selected(spark, sf):
+    """Selection over every feature and every target, Pearson and Spearman."""
     f = frame(spark, sf)
-    names = [n for n in W.feature_names(f) if n.startswith(("sbp", "dbp", "pp", "gap", "days", "age", "is_"))]
-    _, audit, _ = X.select_features(f, names, ["y_sbp_h0", "y_dbp_h0"], ranks=False)
-    return audit
+    return X.select_features(f, W.feature_names(f), [f"y_{s}_h{h}" for s in CFG.signals for h in CFG.horizons])
 
 
-@query("selection_relevance")
-def selection_relevance(spark, sf) -> DataFrame:
-    f = pin(frame(spark, sf).where("split = 'train'").select("sbp_lag1", "sbp_mean7", "dbp_lag1", "pp_lag1", "age", "sbp_std7", "y_sbp_h0", "y_sbp_h1"))
-    return X.relevance(f, ["sbp_lag1", "sbp_mean7", "dbp_lag1", "pp_lag1", "age", "sbp_std7"], ["y_sbp_h0", "y_sbp_h1"])
+@query("feature_selection")
+def feature_selection(spark, sf) -> DataFrame:
+    """Audit of kept and dropped features with relevance, cluster and density."""
+    return selected(spark, sf)[1]
 
 
 @query("selection_blocks")
 def selection_blocks(spark, sf) -> DataFrame:
-    f = frame(spark, sf)
-    names = [n for n in W.feature_names(f) if n.startswith(("sbp_mean", "sbp_lag", "sbp_ewm", "sbp_std", "sbp_max", "sbp_min", "sbp_range", "sbp_base", "dbp_lag"))]
-    _, audit, _ = X.select_features(f, names, ["y_sbp_h0"], ranks=False, least=5)
-    return X.cluster_blocks(audit)
+    return X.cluster_blocks(selected(spark, sf)[1])
 
 
 @query("missingness_sweep")
