@@ -2,12 +2,14 @@
 
 Short series use a window aggregate over the growing frame. A long series is cut into chunks of rows.
 While a chunk is read, the median moves over at most ``CHUNK_ROWS`` order statistics of all earlier rows,
-so each chunk needs only that slice of its past. Counts per (chunk, value bucket) tell which slice.
+so each chunk needs only that slice of its past. Where it lies is found on two levels: counts per chunk and range of
+values, added up over chunks, give the range; counts per value bucket inside that one range give the bucket.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pandas as pd
@@ -51,28 +53,49 @@ def expanding_median(lanes: Lanes, df: DataFrame, value: str, name: str, least:
     return df.join(got, [*key, "step"], "left")
 
 
-def _long_medians(rows: DataFrame, key, name: str, least: int, size: int) -> DataFrame:
-    ranked = lay_out(rows.where(F.col("_v").isNotNull()).withColumnRenamed("step", "_at"), key, ["_v", "_at"])
-    values = (ranked.done(ranked.df).select(*key, "_chunk", "_v", F.floor(F.col("step") / size).alias("_vb")))
-    cells = values.groupBy(*key, "_chunk", "_vb").agg(F.count("*").alias("_n"))
-    extent = rows.groupBy(*key).agg(F.max("_chunk").alias("_c")).join(
-        cells.groupBy(*key).agg(F.max("_vb").alias("_b")), key)
-    grid = (extent.select(*key, "_b", F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("_chunk"))
-            .select(*key, "_chunk", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_vb")))
-    past = (Window.partitionBy(*key, "_vb").orderBy("_chunk")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    under = (Window.partitionBy(*key, "_chunk").orderBy("_vb")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    whole = Window.partitionBy(*key, "_chunk")
-    placed = (grid.join(cells, [*key, "_chunk", "_vb"], "left")
+def locate(values: DataFrame, extent: DataFrame, key, size: int, fan: int) -> DataFrame:
+    """(key, _chunk, _lo, _hi, _below, _seen): the buckets that hold the order statistics a chunk can reach in its past.
+
+    ``values`` has (key, _chunk, _vb), ``extent`` one row per series with its last chunk ``_c`` and last bucket ``_b``;
+    ``fan`` buckets make a range. Ranges are counted for every chunk; buckets only inside the ranges asked for, where the
+    questions are sorted among the counts. With N rows that is (N / size) * (N / size / fan) + N cells, not the square.
+    """
+    before = Window.unboundedPreceding
+    ranged = values.withColumn("_sb", F.floor(F.col("_vb") / fan))
+    grid = (extent.select(*key, F.floor(F.col("_b") / fan).alias("_s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c"))).alias("_chunk"))
+            .select(*key, "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s"))).alias("_sb")))
+    past = Window.partitionBy(*key, "_sb").orderBy("_chunk").rowsBetween(before, -1)
+    chunk = Window.partitionBy(*key, "_chunk")
+    placed = (grid.join(ranged.groupBy(*key, "_chunk", "_sb").agg(F.count("*").alias("_n")), [*key, "_chunk", "_sb"], "left")
               .withColumn("_p", F.coalesce(F.sum("_n").over(past), F.lit(0)))
-              .withColumn("_under", F.coalesce(F.sum("_p").over(under), F.lit(0)))
-              .withColumn("_seen", F.sum("_p").over(whole)))
+              .withColumn("_under", F.coalesce(F.sum("_p").over(chunk.orderBy("_sb").rowsBetween(before, -1)), F.lit(0)))
+              .withColumn("_seen", F.sum("_p").over(chunk)).where("_seen > 0"))
     lo = F.greatest(F.floor((F.col("_seen") - size) / 2) - 1, F.lit(0))
-    hi = F.ceil((F.col("_seen") + size) / 2) + 1
-    needed = (placed.where((F.col("_p") > 0) & (F.col("_under") <= hi) & (F.col("_under") + F.col("_p") > lo))
-              .withColumn("_below", F.min("_under").over(whole))
-              .select(*key, F.col("_chunk").alias("_to"), "_vb", "_below", "_seen"))
+    hi = F.least(F.ceil((F.col("_seen") + size) / 2) + 1, F.col("_seen") - 1)
+    held = lambda under, p: (F.col(under) <= F.col("_rank")) & (F.col("_rank") < F.col(under) + F.col(p))
+    asked = (placed.withColumn("_rank", F.explode(F.array(lo, hi))).where(held("_under", "_p"))
+             .withColumn("_vb", F.explode(F.sequence(F.col("_sb") * fan, F.col("_sb") * fan + (fan - 1))))
+             .select(*key, "_vb", "_chunk", "_rank", "_under", "_seen"))
+    cells = ranged.groupBy(*key, "_vb", "_chunk").agg(F.count("*").alias("_n"))
+    none = F.lit(None).cast("long")
+    both = (asked.withColumn("_n", F.lit(0).cast("long"))
+            .unionByName(cells.select(*key, "_vb", "_chunk", none.alias("_rank"), none.alias("_under"), none.alias("_seen"), "_n")))
+    # A question stands before the counts of its own chunk: it sees the chunks before.
+    sorted_in = Window.partitionBy(*key, "_vb").orderBy("_chunk", F.col("_rank").isNull()).rowsBetween(before, 0)
+    inside = Window.partitionBy(*key, "_chunk", "_rank").orderBy("_vb").rowsBetween(before, -1)
+    found = (both.withColumn("_p", F.sum("_n").over(sorted_in)).where(F.col("_rank").isNotNull()).distinct()
+             .withColumn("_low", F.col("_under") + F.coalesce(F.sum("_p").over(inside), F.lit(0))).where(held("_low", "_p")))
+    return found.groupBy(*key, "_chunk").agg(F.min("_vb").alias("_lo"), F.max("_vb").alias("_hi"), F.min("_low").alias("_below"),
+                                             F.max("_seen").alias("_seen"))
+
+
+def _long_medians(rows: DataFrame, key, name: str, least: int, size: int) -> DataFrame:
+    ranked = lay_out(rows.where(F.col("_v").isNotNull()).withColumnRenamed("step", "_at"), key, ["_v", "_at"])
+    values = pin(ranked.done(ranked.df).select(*key, "_chunk", "_v", F.floor(F.col("step") / size).alias("_vb")))
+    extent = rows.groupBy(*key).agg(F.max("_chunk").alias("_c")).join(values.groupBy(*key).agg(F.max("_vb").alias("_b")), key)
+    fan = max(2, math.isqrt(ranked.longest // size) + 1)
+    found = pin(locate(values, extent, key, size, fan))
+    needed = found.select(*key, F.col("_chunk").alias("_to"), F.explode(F.sequence("_lo", "_hi")).alias("_vb"), "_below", "_seen")
     # The bucket around the median serves nearly every chunk: copy it, so no task serves them all.
     copies = needed.groupBy(*key, "_vb").agg(F.ceil(F.count("*") / SHARE_CHUNKS).alias("_copies"))
     spread = (values.join(copies, [*key, "_vb"])

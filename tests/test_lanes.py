@@ -116,3 +116,26 @@ def test_quantiles_of_large_groups(readings, by):
     if by:
         small, large = (d.sort_values(by).reset_index(drop=True) for d in (small, large))
     pd.testing.assert_frame_equal(small[large.columns], large, check_exact=False)
+
+
+@pytest.mark.parametrize("order", ["mixed", "rising", "falling", "equal"])
+def test_median_slices_cost_no_grid(spark, order):
+    """One series of 3000 rows in 150 chunks: every order gives the plain median, and few buckets are asked for."""
+    from seriesloom.operators import running_median as R
+    n, size = 3000, 20
+    rng = np.random.default_rng(1)
+    v = {"mixed": rng.normal(size=n).round(2), "rising": np.arange(n) / 7.0, "falling": -np.arange(n) / 7.0, "equal": np.full(n, 3.0)}[order]
+    v[rng.random(n) < 0.05] = np.nan
+    pdf = pd.DataFrame({"series_id": 1, "at": np.arange(n), "v": v})
+    ln = lay_out(spark.createDataFrame(pdf), ["series_id"], ["at"])
+    got = R.expanding_median(ln, ln.df.withColumn("v", F.nanvl("v", F.lit(None))), "v", "m", short_rows=1, chunk_rows=size).toPandas().sort_values("at")
+    want = pd.Series(v).expanding(5).median().shift(1)
+    assert np.allclose(got["m"].astype(float), want, equal_nan=True)
+
+    known = pdf[~np.isnan(v)].assign(_chunk=lambda d: d["at"] // size)
+    known["_vb"] = known.sort_values(["v", "at"]).assign(r=range(len(known)))["r"] // size
+    extent = pd.DataFrame({"series_id": [1], "_c": [(n - 1) // size], "_b": [int(known["_vb"].max())]})
+    found = R.locate(spark.createDataFrame(known[["series_id", "_chunk", "_vb"]]), spark.createDataFrame(extent), ["series_id"], size, 13)
+    asked = found.agg(F.sum(F.col("_hi") - F.col("_lo") + 1)).first()[0]
+    chunks = n // size
+    assert asked < chunks * (np.log(chunks) + 4)            # the grid had 150 * 143 = 21,450 cells
