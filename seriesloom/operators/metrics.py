@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions.expr import half_even
 from seriesloom.functions.lanes import attach_row, lay_out
 from seriesloom.functions.quantile import quantiles
 
-# Cumulative Poisson(1) probabilities, for resampling weights.
-POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-               0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+#: Cumulative Poisson(1) probabilities; what lies beyond is less than one step of a draw's 31 bits.
+POISSON_ONE = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+PRIME = (1 << 31) - 1           # draws are linear hashes modulo this prime
+GROUPS = 4096                   # groups that a task adds up before it hands them on
+SLICE = 4096                    # rows that are weighted at once
 
 
 def ranking(long: DataFrame, by: Sequence[str], score: str, label: str, bound: int | None = None,
@@ -61,27 +68,68 @@ def evaluate(long: DataFrame, by: Sequence[str], y="y", p="p", last: str | None
     return known.groupBy(*by).agg(*aggs).where(F.col("n") >= least)
 
 
-def poisson(keys: Sequence, draw, seed: int) -> Column:
-    """A Poisson(1) weight fixed by (row keys, draw, seed)."""
-    u = (F.xxhash64(*[F.col(k) if isinstance(k, str) else k for k in keys], draw, F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40))
-    return sum(((u >= edge).cast("int") for edge in POISSON_ONE), F.lit(0))
+def draw_hashes(draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multiplier and offset of every draw, from the md5 of ``seed:draw:a`` and ``seed:draw:b``."""
+    take = lambda name: [int(hashlib.md5(f"{seed}:{d}:{name}".encode()).hexdigest()[:8], 16) % PRIME for d in range(draws)]
+    return np.maximum(np.array(take("a"), np.int64), 1), np.array(take("b"), np.int64)
+
+
+def row_hash(keys: Sequence[str]) -> Column:
+    """A row's number below ``PRIME``, from the md5 of its keys."""
+    digest = F.md5(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % PRIME
 
 
 def resampled_mean(rows: DataFrame, by: Sequence[str], value: str, row_keys: Sequence[str], draws: int = 200,
                    seed: int = 42, least: int = 10) -> DataFrame:
     """Mean with a percentile interval from Poisson resampling.
 
-    Every row meets every draw inside its map task; partial sums leave only ``draws`` rows per group and
-    task for the shuffle.
+    A row's weight in a draw is the Poisson(1) quantile of (multiplier * row + offset) modulo a prime: independent between
+    draws, pairwise independent between rows, and the same for every reading of the row. Each task adds up one vector of
+    weighted sums per group, so a row is read once however many draws there are.
     """
-    v = F.col(value).cast("double")
-    known = rows.where(v.isNotNull())
-    sums = (known.select(*by, v.alias("_v"), *row_keys, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw"))
-            .withColumn("_w", poisson(row_keys, F.col("_draw"), seed))
-            .groupBy(*by, "_draw").agg(F.sum(F.col("_w") * F.col("_v")).alias("_sv"), F.sum("_w").alias("_sw"),
-                                       F.count("*").alias("_n"), F.avg("_v").alias("_mean")))
-    g = sums.groupBy(*by).agg(
-        F.max("_n").alias("n"), F.max("_mean").alias("mean"),
+    by = list(by)
+    times, plus = draw_hashes(draws, seed)
+    edges = np.array(POISSON_ONE)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        kinds = None
+
+        def hand_on() -> pa.RecordBatch:
+            out = [pa.array([g[i] for g in held], kind) for i, kind in enumerate(kinds)]
+            out += [pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1] for h in held.values()], pa.float64())]
+            out += [pa.array([h[i].tolist() for h in held.values()], pa.list_(pa.float64())) for i in (2, 3)]
+            return pa.RecordBatch.from_arrays(out, [*by, "_n", "_sum", "_sv", "_sw"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                v, x = part.column("_v").to_numpy(), part.column("_x").to_numpy()
+                weight = np.searchsorted(edges, (x[:, None] * times + plus) % PRIME / PRIME, side="right").astype(float)
+                keys = list(zip(*(part.column(c).to_pylist() for c in by))) if by else [()] * len(v)
+                code: dict[tuple, int] = {}
+                which = np.array([code.setdefault(k, len(code)) for k in keys])
+                for group, i in code.items():
+                    mine = np.flatnonzero(which == i)
+                    h = held.setdefault(group, [0, 0.0, np.zeros(draws), np.zeros(draws)])
+                    h[0] += len(mine)
+                    h[1] += float(v[mine].sum())
+                    h[2] += v[mine] @ weight[mine]
+                    h[3] += weight[mine].sum(axis=0)
+                if len(held) >= GROUPS:
+                    yield hand_on()
+                    held = {}
+        if held:
+            yield hand_on()
+
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), row_hash(row_keys).alias("_x"))
+    fields = ", ".join([*(f"`{c}` {t}" for c, t in known.dtypes if c in by), "_n long, _sum double, _sv array<double>, _sw array<double>"])
+    per_draw = (known.mapInArrow(add_up, fields).select(*by, "_n", "_sum", F.posexplode(F.arrays_zip("_sv", "_sw")).alias("_draw", "_w"))
+                .groupBy(*by, "_draw").agg(F.sum("_w._sv").alias("_sv"), F.sum("_w._sw").alias("_sw"), F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum")))
+    g = per_draw.groupBy(*by).agg(
+        F.max("_n").alias("n"), (F.max("_sum") / F.max("_n")).alias("mean"),
         F.percentile(F.try_divide("_sv", "_sw"), F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
     return g.where(F.col("n") >= least).select(*by, "n", "mean", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 

@@ -274,20 +274,38 @@ def forecast_metrics(spark, sf) -> DataFrame:
     return m.select("model", "h", "split", "n", *[r(c).alias(c) for c in ("mae", "rmse", "r2", "bias", "target_sd", "direction")])
 
 
-@query("resampled_errors")
+def sql_resampled(source: str, by: str, value: str, key: str, prefix: str = "", seed: int = 42, draws: int = 200) -> str:
+    """Poisson resampling as SQL: ``<prefix>rs`` has by, n, mean, lo, hi of ``value`` in ``source``."""
+    h = lambda text: f"CAST(concat('0x', substr(md5({text}), 1, 8)) AS BIGINT) % {M.PRIME}"
+    weight = " + ".join(f"CASE WHEN u >= {e!r} THEN 1 ELSE 0 END" for e in M.POISSON_ONE)
+    return f"""
+{prefix}dr AS (SELECT d, greatest({h(f"concat('{seed}:', d, ':a')")}, 1) AS a, {h(f"concat('{seed}:', d, ':b')")} AS b FROM range({draws}) t(d)),
+{prefix}rw AS (SELECT {by}, CAST({value} AS DOUBLE) AS v, {h(f"CAST({key} AS VARCHAR)")} AS x FROM {source} WHERE {value} IS NOT NULL),
+{prefix}wt AS (SELECT {by}, d, v, {weight} AS w FROM (SELECT {by}, d, v, ((a * x + b) % {M.PRIME}) / CAST({M.PRIME} AS DOUBLE) AS u FROM {prefix}rw, {prefix}dr)),
+{prefix}rs AS (SELECT {by}, max(n) AS n, max(m) AS mean, quantile_cont(q, 0.025) AS lo, quantile_cont(q, 0.975) AS hi FROM (
+  SELECT {by}, d, count(*) AS n, avg(v) AS m, sum(w * v) / sum(w) AS q FROM {prefix}wt GROUP BY {by}, d) GROUP BY {by})"""
+
+
+@query("resampled_errors", sql(SQL_ALL_BASE + """,
+er AS (SELECT model, h, event_id, abs(y - p) AS err FROM fa WHERE split = 'test'),""" + sql_resampled("er", "model, h", "err", "event_id"), f"""
+SELECT model, CAST(h AS INTEGER) AS h, n, {sr('mean')} AS mean, {sr('lo')} AS lo, {sr('hi')} AS hi FROM rs WHERE n >= 10"""))
 def resampled_errors(spark, sf) -> DataFrame:
     """MAE with a resampling interval, per model and horizon."""
     f = baseline_forecasts(spark, sf).where("split = 'test'").withColumn("err", F.abs(F.col("y") - F.col("p")))
-    return M.resampled_mean(f, ["model", "h"], "err", ["event_id"])
+    return M.resampled_mean(f, ["model", "h"], "err", ["event_id"]).select("model", "h", "n", *[r(c).alias(c) for c in ("mean", "lo", "hi")])
 
 
-@query("paired_errors")
+@query("paired_errors", sql(SQL_ALL_BASE + """,
+er AS (SELECT event_id, h, max(abs(y - p)) FILTER (WHERE model = 'personal_mean') - max(abs(y - p)) FILTER (WHERE model = 'persistence') AS d
+  FROM fa WHERE split = 'test' GROUP BY 1, 2),""" + sql_resampled("er", "h", "d", "event_id"), f"""
+SELECT CAST(h AS INTEGER) AS h, n, {sr('mean')} AS delta, {sr('lo')} AS lo, {sr('hi')} AS hi,
+  CASE WHEN hi < 0 THEN 'learned model' ELSE 'BASELINE' END AS verdict FROM rs WHERE n >= 30"""))
 def paired_errors(spark, sf) -> DataFrame:
     """Paired error difference of the personal mean against persistence, with a ship verdict."""
     f = baseline_forecasts(spark, sf).where("split = 'test' AND model IN ('persistence', 'personal_mean')")
     e = f.groupBy("event_id", "h").pivot("model", ["persistence", "personal_mean"]).agg(F.max(F.abs(F.col("y") - F.col("p"))))
     d = M.paired(e, ["h"], "personal_mean", "persistence", ["event_id"])
-    return d.withColumn("verdict", F.when(F.col("hi") < 0, "learned model").otherwise("BASELINE"))
+    return d.select("h", "n", *[r(c).alias(c) for c in ("delta", "lo", "hi")], F.when(F.col("hi") < 0, "learned model").otherwise("BASELINE").alias("verdict"))
 
 
 @query("slice_gate", sql(SQL_BASE + """,

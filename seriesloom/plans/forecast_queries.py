@@ -15,7 +15,7 @@ from seriesloom.operators import panel as P
 from seriesloom.operators import selection as X
 from seriesloom.operators import stats as A
 from seriesloom.operators import thresholds as O
-from seriesloom.plans.detector_queries import SQL_ALL_BASE, SQL_BASE, baseline_forecasts, detector_frame, over_step
+from seriesloom.plans.detector_queries import SQL_ALL_BASE, SQL_BASE, baseline_forecasts, detector_frame, over_step, sql_resampled
 from seriesloom.plans.feature_queries import sql_expand, sql_lag, sql_roll
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, event_bound, event_panel, event_rows, r, sql, sr)
@@ -238,18 +238,34 @@ def model_win_rates(spark, sf) -> DataFrame:
     return w.select("model", r("win_rate").alias("win_rate"))
 
 
-@query("tie_set")
+SQL_TIES = SQL_ALL_BASE + """,
+er AS (SELECT series_id, event_id, model, abs(y - p) AS e FROM fa WHERE split = 'test' AND h = 0 AND y IS NOT NULL AND p IS NOT NULL),
+pe AS (SELECT a.model, a.event_id, a.e - b.e AS d FROM er a JOIN er b ON a.event_id = b.event_id AND b.model = 'personal_mean'),""" + sql_resampled(
+    "pe", "model", "d", "event_id") + """,
+se AS (SELECT series_id, model, avg(e) AS e FROM er GROUP BY 1, 2),
+wr AS (SELECT a.model, avg(CASE WHEN a.e < b.e THEN 1 ELSE 0 END) AS win_rate FROM se a JOIN se b ON a.series_id = b.series_id AND b.model = 'personal_mean' GROUP BY 1),
+ti AS (SELECT rs.*, win_rate, (lo <= 0 AND hi >= 0) OR rs.model = 'personal_mean' AS ties_leader FROM rs JOIN wr ON rs.model = wr.model WHERE n >= 30)"""
+
+
+@query("tie_set", sql(SQL_TIES, f"""
+SELECT model, n, {sr('mean')} AS delta, {sr('lo')} AS lo, {sr('hi')} AS hi, {sr('win_rate')} AS win_rate, ties_leader FROM ti"""))
 def tie_set(spark, sf) -> DataFrame:
     f = baseline_forecasts(spark, sf).where("split = 'test' AND h = 0")
-    return B.tie_set(f, "personal_mean", ["event_id"], "series_id")
+    t = B.tie_set(f, "personal_mean", ["event_id"], "series_id")
+    return t.select("model", "n", *[r(c).alias(c) for c in ("delta", "lo", "hi", "win_rate")], "ties_leader")
 
 
-@query("shipped_model")
+@query("shipped_model", sql(SQL_TIES + """,
+va AS (SELECT model, avg(abs(y - p)) AS mae FROM fa WHERE split = 'val' AND h = 0 AND y IS NOT NULL AND p IS NOT NULL GROUP BY 1 HAVING count(*) >= 10)""", f"""
+SELECT ti.model, {sr('mae')} AS mae, {sr('win_rate')} AS win_rate, CAST(cost AS INTEGER) AS cost FROM ti JOIN va ON ti.model = va.model
+JOIN (SELECT unnest({list(B.BASELINES)}) AS model, unnest(range({len(B.BASELINES)})) AS cost) c ON c.model = ti.model WHERE ties_leader
+ORDER BY cost, mae, ti.model LIMIT 1"""))
 def shipped_model(spark, sf) -> DataFrame:
-    f = baseline_forecasts(spark, sf).where("h = 0")
+    f = pin(baseline_forecasts(spark, sf).where("h = 0 AND split IN ('val', 'test')").select("split", "model", "event_id", "series_id", "y", "p"))
     val = M.evaluate(f.where("split = 'val'"), ["model"]).select("model", "mae")
     ties = B.tie_set(f.where("split = 'test'"), "personal_mean", ["event_id"], "series_id")
-    return B.cheapest_tied(ties, val, {m: i for i, m in enumerate(B.BASELINES)})
+    best = B.cheapest_tied(ties, val, {m: i for i, m in enumerate(B.BASELINES)})
+    return best.select("model", r("mae").alias("mae"), r("win_rate").alias("win_rate"), "cost")
 
 
 # ---- learned models ---------------------------------------------------------------------------------------
