@@ -32,6 +32,11 @@ def frame(spark, sf) -> DataFrame:
     return W.build_features(event_panel(spark, sf), CFG)
 
 
+def features_of(f: DataFrame) -> list[str]:
+    """All features of the event panel, without the row number and the numbers that the vitals are made from."""
+    return [n for n in W.feature_names(f) if n not in ("event_id", "k", "pulse")]
+
+
 def learning_frame(spark, sf) -> DataFrame:
     """The columns learners read, written once: every fit scans this instead of rebuilding the features."""
     cols = [*ROW, "ts", "split", "patient_split", "days_since_last", "sbp", *dict.fromkeys([*SMALL, *LAGS]), "y_sbp_h0", "y_sbp_h1"]
@@ -270,12 +275,16 @@ def shipped_model(spark, sf) -> DataFrame:
 
 # ---- learned models ---------------------------------------------------------------------------------------
 
+KINDS = ["ridge", "ridge_delta", "ridge_window", "ridge_window_delta", "ridge_own", "elastic_net", "huber", "gbt", "forest"]
+
+
 @query("model_sweep")
 def model_sweep(spark, sf) -> DataFrame:
-    """Ridge, its delta and window forms, elastic net, boosting and forest, on val, test and unseen entities."""
-    kinds = ["ridge", "ridge_delta", "ridge_window", "elastic_net", "huber", "gbt", "forest"]
-    long = L.sweep(learning_frame(spark, sf), SMALL, ["sbp"], [0], kinds, ROW, LAGS)
-    return M.evaluate(long, ["signal", "h", "model", "arm"], last="last")
+    """All baselines and learners over every feature, both signals, all horizons and arms; failed fits are rows with a note."""
+    f = frame(spark, sf)
+    long, notes = L.sweep(f, features_of(f), CFG.signals, CFG.horizons, KINDS, bound=event_rows(spark, sf))
+    board = M.evaluate(long, ["signal", "h", "model", "family", "arm"], last="last", least=L.MIN_TEST)
+    return board.unionByName(notes.withColumn("family", F.lit("learned")).withColumn("arm", F.lit("all")), allowMissingColumns=True)
 
 
 @query("residual_intercepts")
@@ -352,7 +361,7 @@ def shuffled_target_probe(spark, sf) -> DataFrame:
 def selected(spark, sf):
     """Selection over every feature and every target, Pearson and Spearman."""
     f = frame(spark, sf)
-    return X.select_features(f, W.feature_names(f), [f"y_{s}_h{h}" for s in CFG.signals for h in CFG.horizons])
+    return X.select_features(f, features_of(f), [f"y_{s}_h{h}" for s in CFG.signals for h in CFG.horizons])
 
 
 @query("feature_selection")
