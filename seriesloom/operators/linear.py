@@ -56,24 +56,30 @@ def _held(df: DataFrame, features: Sequence[str], labels: Mapping[str, Column],
     return df.select(*keep, *[finite(f).alias(x) for f, x in zip(features, xs)], *[c.cast("double").alias(y) for c, y in zip(labels.values(), ys)]), xs, ys
 
 
-def sums(train: DataFrame, features: Sequence[str], centre: np.ndarray, labels: Mapping[str, Column],
+def sums(train: DataFrame, features: Sequence[str], centre: np.ndarray | Mapping[str, np.ndarray], labels: Mapping[str, Column],
          near: Mapping[str, tuple[Model, float]] | None = None) -> dict[str, Sums]:
-    """Products per label over the rows where it is known. With ``near`` (model, scale), rows weigh as Huber's loss has them."""
+    """Products per label over the rows where it is known. With ``near`` (model, scale), rows weigh as Huber's loss has them.
+
+    ``centre`` fills the holes: one vector, or one per label.
+    """
     held, xs, ys = _held(train, features, labels)
     size = len(features) + 2
     upper = np.triu_indices(size)
     fits = [near[name] for name in labels] if near else None
+    centres = [centre[name] if isinstance(centre, Mapping) else centre for name in labels]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(ys), len(upper[0]) + 3))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.nan_to_num(_matrix(batch, xs) - centre) if xs else np.zeros((batch.num_rows, 0))
+            raw = _matrix(batch, xs)
             for i, name in enumerate(ys):
                 y = batch.column(name).to_numpy(zero_copy_only=False).astype(float)
                 known = ~np.isnan(y)
-                z = np.column_stack([np.ones(known.sum()), x[known], y[known]])
+                if not known.any():
+                    continue
+                z = np.column_stack([np.ones(known.sum()), np.nan_to_num(raw[known] - centres[i]), y[known]])
                 w = None
                 if fits:
                     model, scale = fits[i]
@@ -167,14 +173,18 @@ def huber(train: DataFrame, features: Sequence[str], centre: np.ndarray, labels:
     return out | {name: model for name, (model, _) in near.items()}
 
 
-def predict(rows: DataFrame, features: Sequence[str], centre: np.ndarray, models: Sequence[Model], keep: Sequence[str], name: str = "p") -> DataFrame:
-    """``keep`` columns and an array of every model's prediction, all models by one matrix product."""
+def predict(rows: DataFrame, features: Sequence[str], centre: np.ndarray | Sequence[np.ndarray], models: Sequence[Model], keep: Sequence[str], name: str = "p") -> DataFrame:
+    """``keep`` columns and an array of every model's prediction, by one matrix product per ``centre`` (one, or one per model)."""
     held, xs, _ = _held(rows, features, {}, keep)
     weights, intercept = np.column_stack([m.weights for m in models]), np.array([m.intercept for m in models])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.nan_to_num(_matrix(batch, xs) - centre) @ weights + intercept
+            raw = _matrix(batch, xs)
+            if isinstance(centre, np.ndarray):
+                p = np.nan_to_num(raw - centre) @ weights + intercept
+            else:
+                p = np.column_stack([np.nan_to_num(raw - c) @ m.weights + m.intercept for c, m in zip(centre, models)])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(models), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), flat], [*keep, name])
 

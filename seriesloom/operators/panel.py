@@ -131,13 +131,13 @@ def thin(lanes: Lanes, fracs: Sequence[float], seed: int, order: Sequence[str])
     """Drop ``round(frac * (n - 2))`` interior rows per series and fraction; endpoints always stay.
 
     Returns one copy of the panel per fraction with ``drop_frac``, the old ``step`` as ``old_step`` and
-    a renumbered ``step``. Rows are chosen by a seeded hash of (series, step).
+    a renumbered ``step``. Rows are chosen by the md5 of (series, step, seed), the lowest first.
     """
     key = lanes.key
     sized = lanes.done(lanes.whole(lanes.df, _n=F.count("*")))
     inner = (F.col("step") > 0) & (F.col("step") < F.col("_n") - 1)
     drawn = (sized.where(inner).select(*key, F.col("step").alias("old_step"))
-             .withColumn("_draw", F.xxhash64(*key, "old_step", F.lit(seed))))
+             .withColumn("_draw", F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.col("old_step").cast("string"), F.lit(str(seed))).cast("binary"))))
     chosen = lay_out(drawn, key, ["_draw", "old_step"])
     ranks = chosen.done(chosen.df).select(*key, "old_step", F.col("step").alias("_rank"))
     each = (sized.withColumnRenamed("step", "old_step").join(ranks, [*key, "old_step"], "left")

@@ -375,17 +375,32 @@ def selection_blocks(spark, sf) -> DataFrame:
     return X.cluster_blocks(selected(spark, sf)[1])
 
 
-@query("missingness_sweep")
-def missingness_sweep(spark, sf) -> DataFrame:
-    """Thin every series by five fractions, rebuild features for all at once, score the smoothed level."""
+def thinned_features(spark, sf) -> DataFrame:
+    """Every series thinned by five fractions, features rebuilt for all at once."""
     lanes = event_panel(spark, sf)
     lanes.df = lanes.df.select("series_id", "ts", "event_id", "step", "sbp", "dbp", "split", "days_since_last")
     thinned = P.thin(lanes, CFG.thin_fracs, 42, ["ts", "event_id"]).drop("step", "old_step")
     again = lay_out(thinned, ["series_id", "drop_frac"], ["ts", "event_id"], reach=W.REACH, bound=event_bound(spark, sf))
-    f = W.build_features(again, CFG).where("split = 'test' AND y_sbp_h0 IS NOT NULL AND sbp_ewm30 IS NOT NULL")
-    g = f.groupBy("drop_frac").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y_sbp_h0") - F.col("sbp_ewm30"))).alias("mae"))
-    base = g.where("drop_frac = 0").select(F.col("mae").alias("_base"))
-    return attach_row(g, base).select("drop_frac", "n", "mae", (F.col("mae") - F.col("_base")).alias("delta"))
+    return W.build_features(again, CFG)
+
+
+@query("missingness_sweep")
+def missingness_sweep(spark, sf) -> DataFrame:
+    """The ridge refitted and scored on every thinned copy."""
+    f = thinned_features(spark, sf)
+    return L.missingness(f, [n for n in features_of(f) if n != "drop_frac"], "y_sbp_h0", CFG.thin_fracs, 5 * event_rows(spark, sf))
+
+
+@query("missingness_sizes", sql(SQL_EVENT_PANEL, f"""
+SELECT drop_frac, count(*) AS n_rows, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test FROM (
+  SELECT f AS drop_frac, split, n, CASE WHEN n <= 3 THEN 0 ELSE CAST(round_even(f * (n - 2), 0) AS BIGINT) END AS n_drop,
+    CASE WHEN inside THEN row_number() OVER (PARTITION BY f, series_id, inside ORDER BY md5(concat(series_id, ':', step, ':42')), step) - 1 END AS rank
+  FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n, step > 0 AND step < count(*) OVER (PARTITION BY series_id) - 1 AS inside FROM ep),
+    (SELECT unnest({list(CFG.thin_fracs)})::DOUBLE AS f))
+WHERE rank IS NULL OR rank >= n_drop GROUP BY 1"""))
+def missingness_sizes(spark, sf) -> DataFrame:
+    """Train and test rows that thinning leaves for the refits."""
+    return L.thinned_sizes(thinned_features(spark, sf), "y_sbp_h0").select("drop_frac", "n_rows", "n_train", "n_test")
 
 
 @query("walk_forward_parity", sql(SQL_EVENT_PANEL + "," + over_step(f"""

@@ -100,3 +100,26 @@ def test_sweep_arms_and_failures(spark, monkeypatch):
     assert error < 4
     tiny, none = L.sweep(df.limit(100), ["sbp_lag1"], ["sbp"], [0], ["ridge"])
     assert tiny.count() == 0 and none.count() == 0
+
+
+def test_missingness_refits_every_copy(spark):
+    r = np.random.default_rng(5)
+    n = 1500
+    d = pd.DataFrame({"drop_frac": r.choice([0.0, 0.3, 0.9], n, p=[.5, .4, .1]), "split": r.choice(["train", "test"], n, p=[.7, .3]),
+                      "a": r.normal(size=n), "b": r.normal(5, 2, n)})
+    d["y"] = (3 + d["drop_frac"]) * d["a"] + d["b"] + r.normal(0, 0.5, n)
+    d["b"] = d["b"].where(r.random(n) < 0.9)
+    d["y"] = d["y"].where(r.random(n) < 0.95)
+    df = spark.createDataFrame(d).select("split", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("drop_frac", "a", "b", "y")])
+    got = L.missingness(df, ["a", "b"], "y", [0.0, 0.3, 0.9]).toPandas().set_index("drop_frac")
+    for f in (0.0, 0.3):
+        mine = d[(d.drop_frac == f) & d.y.notna()]
+        train, test = mine[mine.split == "train"], mine[mine.split == "test"]
+        fill = train[["a", "b"]].median()
+        x, mean, sd = train[["a", "b"]].fillna(fill), train[["a", "b"]].fillna(fill).mean(), train[["a", "b"]].fillna(fill).std(ddof=0)
+        z = ((x - mean) / sd).to_numpy()
+        w = np.linalg.solve(z.T @ z + N.RIDGE * np.eye(2), z.T @ (train.y - train.y.mean()).to_numpy())
+        p = ((test[["a", "b"]].fillna(fill) - mean) / sd).to_numpy() @ w + train.y.mean()
+        assert (got.loc[f, "n_train"], got.loc[f, "n_test"]) == (len(train), len(test))
+        np.testing.assert_allclose(got.loc[f, ["mae", "rmse"]].astype(float), [np.abs(test.y - p).mean(), np.sqrt(((test.y - p) ** 2).mean())], rtol=1e-6)
+    assert got.loc[0.9, "note"] == "too few train rows" and np.isnan(got.loc[0.9, "mae"]) and got.loc[0.0, "delta"] == 0
