@@ -175,26 +175,6 @@ def detector_scorecard(spark, sf) -> DataFrame:
     return s.select("detector", "budget_pct", *[r(c).alias(c) for c in ("precision", "recall", "lift", "lead_days_p90")])
 
 
-@query("tuned_detectors")
-def tuned_detectors(spark, sf) -> DataFrame:
-    """Smoothing, CUSUM and Page-Hinkley grids scored on validation rows in one job."""
-    lanes = event_panel(spark, sf)
-    thr = D.event_thresholds(lanes.done(lanes.df), bound=event_bound(spark, sf))
-    df = D.label_events(lanes, attach(lanes.df, thr, "series_id", bound=lanes.longest))
-    df = df.withColumn("_x", F.lag("sbp").over(lanes.window))
-    df = D.cusum(lanes, df, "_x", {"cusum_50": 0.5, "cusum_25": 0.25, "cusum_100": 1.0})
-    df = D.page_hinkley(lanes, df, "_x", {"ph_05": 0.05, "ph_01": 0.01, "ph_20": 0.2})
-    df = W.add_baseline(lanes, df, "sbp", F.col("sbp"))
-    df = W.add_ewma(lanes, df, {"sbp": F.col("sbp")}, (0.05, 0.1, 0.2, 0.4))
-    gaps = [(F.abs(F.col("_x") - F.col(W.ewm_name("sbp", a))) / F.nullif(F.col("sbp_base_std"), F.lit(0.0)))
-            .alias(f"gap_{int(a * 100):02d}") for a in (0.1, 0.05, 0.2, 0.4)]
-    rows = lanes.done(df).select("split", "event_next", "cusum_50", "cusum_25", "cusum_100", "ph_05", "ph_01", "ph_20", *gaps)
-    families = {"statistical": ("gap_10", ["gap_05", "gap_20", "gap_40"]), "cusum": ("cusum_50", ["cusum_25", "cusum_100"]),
-                "page_hinkley": ("ph_05", ["ph_01", "ph_20"])}
-    lifts = D.ap_lifts(rows, [c for d, cs in families.values() for c in (d, *cs)], event_rows(spark, sf))
-    return D.pick_tuned(lifts, families)
-
-
 @query("serving_detector")
 def serving_detector(spark, sf) -> DataFrame:
     """Chosen on validation rows alone; the running detectors need a series' whole history and are not served."""

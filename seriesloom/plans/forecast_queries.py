@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.functions.lanes import attach_row, lay_out
 from seriesloom.functions.quantile import quantiles
+from seriesloom.functions.skew import attach
 from seriesloom.lineage import pin
+from seriesloom.operators import densities as N
+from seriesloom.operators import detectors as D
 from seriesloom.operators import features as W
 from seriesloom.operators import forecast as B
 from seriesloom.operators import learners as L
@@ -481,23 +484,45 @@ def threshold_promotion(spark, sf) -> DataFrame:
 
 # ---- learned detectors and heads ----------------------------------------------------------------------------
 
-MATRIX = ["sbp_lag1", "sbp_mean7", "sbp_std7", "sbp_slope7", "dbp_lag1", "dbp_mean7", "pp_mean7", "gap_mean24"]
-
-
 @query("learned_detectors")
 def learned_detectors(spark, sf) -> DataFrame:
-    """Subspace, density and covariance distances over dense varying columns, ranked against the events."""
-    f = pin(detector_frame(spark, sf).select("split", "event_next", "event_id", *MATRIX))
-    pipe, dense = L.score_matrix(f, MATRIX)
-    rows = pipe.transform(L.doubles(f, dense)).select("split", "event_next", "event_id", "_x")
-    train = rows.where("split = 'train'")
-    rows = L.pca_error(train, rows, min(3, len(dense)))
-    rows = L.gmm_score(train, rows, 2)
-    rows = L.covariance_distance(train, rows, len(dense))
-    long = W.unpivot(rows, ["d_pca_recon", "d_gmm_nll", "d_covariance"], "detector", "score", ["event_next"])
+    """Subspace of 10, four diagonal components and covariance distance over all dense varying columns, ranked against the events."""
+    f = detector_frame(spark, sf)
+    features = features_of(f.drop(*[c for c in f.columns if c.startswith(("d_", "event_"))]))
+    f = pin(f.select("series_id", "split", "event_next", *features))
+    shape = N.learn(f.where("split = 'train'"), N.matrix_columns(f, features), (4,), event_rows(spark, sf))
+    rows = N.score(f, shape, ["event_next"], (10,))
+    long = W.unpivot(rows, ["pca_10", "gmm_4", "covariance"], "detector", "score", ["event_next"])
     return M.ranking(long, ["detector"], "score", "event_next", event_rows(spark, sf))
 
 
+@query("tuned_detectors")
+def tuned_detectors(spark, sf) -> DataFrame:
+    """Smoothing, CUSUM, Page-Hinkley, subspace and mixture grids, all scored on validation rows in one job."""
+    lanes = event_panel(spark, sf)
+    thr = D.event_thresholds(lanes.done(lanes.df), bound=event_bound(spark, sf))
+    df = D.label_events(lanes, attach(lanes.df, thr, "series_id", bound=lanes.longest))
+    df = df.withColumn("_x", F.lag("sbp").over(lanes.window))
+    df = D.cusum(lanes, df, "_x", {"cusum_50": 0.5, "cusum_25": 0.25, "cusum_100": 1.0})
+    df = D.page_hinkley(lanes, df, "_x", {"ph_05": 0.05, "ph_01": 0.01, "ph_20": 0.2})
+    df = W.build_features(lanes, CFG, df)
+    features = features_of(df.drop("_x", "event_threshold", *[c for c in df.columns if c.startswith(("event_", "cusum_", "ph_"))]))
+    more = (0.05, 0.2, 0.4)
+    again = lay_out(df.drop("step"), ["series_id"], ["ts", "event_id"], reach=W.REACH, bound=event_bound(spark, sf))
+    df = W.add_ewma(again, again.df, {"sbp": F.col("sbp")}, more)
+    gaps = [(F.abs(F.col("_x") - F.col(W.ewm_name("sbp", a))) / F.nullif(F.col("sbp_base_std"), F.lit(0.0)))
+            .alias(f"gap_{int(a * 100):02d}") for a in (0.1, *more)]
+    running = ["cusum_50", "cusum_25", "cusum_100", "ph_05", "ph_01", "ph_20"]
+    rows = pin(again.done(df).select("series_id", "split", "event_next", *running, *gaps, *features))
+    shape = N.learn(rows.where("split = 'train'"), N.matrix_columns(rows, features), (4, 2, 8), event_rows(spark, sf))
+    kept = ["split", "event_next", *running, "gap_10", "gap_05", "gap_20", "gap_40"]
+    scored = N.score(rows.where("split = 'val'"), shape, kept, (10, 5, 20), covariance=False)
+    families = {"statistical": ("gap_10", ["gap_05", "gap_20", "gap_40"]), "cusum": ("cusum_50", ["cusum_25", "cusum_100"]),
+                "page_hinkley": ("ph_05", ["ph_01", "ph_20"]), "subspace": ("pca_10", ["pca_5", "pca_20"]), "mixture": ("gmm_4", ["gmm_2", "gmm_8"])}
+    lifts = D.ap_lifts(scored, [c for d, cs in families.values() for c in (d, *cs)], event_rows(spark, sf))
+    return D.pick_tuned(lifts, families)
+
+
 @query("tier_classifier")
 def tier_classifier(spark, sf) -> DataFrame:
     """Multi-class head on the tier of the next row, confusion counts on the test tail."""
