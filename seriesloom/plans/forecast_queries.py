@@ -16,6 +16,7 @@ from seriesloom.operators import learners as L
 from seriesloom.operators import metrics as M
 from seriesloom.operators import panel as P
 from seriesloom.operators import selection as X
+from seriesloom.operators import stacking as K
 from seriesloom.operators import stats as A
 from seriesloom.operators import thresholds as O
 from seriesloom.plans.detector_queries import SQL_ALL_BASE, SQL_BASE, baseline_forecasts, detector_frame, over_step, sql_resampled
@@ -204,12 +205,6 @@ def series_ridge(spark, sf) -> DataFrame:
     return p.select("series_id", "step", (F.col("sbp_lag1") + F.col("change")).alias("p"), F.col("y_sbp_h0").alias("y"))
 
 
-def legs(spark, sf) -> DataFrame:
-    """Three forecasts of the next value per row: last value, personal mean, smoothed level."""
-    return frame(spark, sf).select("series_id", "event_id", "step", "split", F.col("sbp").alias("y"), F.col("sbp_lag1").alias("a"),
-                                   F.col("sbp_base_mean").alias("b"), F.col("sbp_ewm30").alias("c"))
-
-
 SQL_LEGS = SQL_EVENT_PANEL + "," + over_step(f"""
 lg AS (SELECT series_id, event_id, step, {sql_lag('sbp', 1)} AS a, {sql_expand('avg', 'sbp')} AS b, {sql_roll('avg', 'sbp', 3, 2)} AS c FROM ep)""")
 
@@ -226,13 +221,23 @@ def ensemble_means(spark, sf) -> DataFrame:
 
 @query("ensemble_weighted")
 def ensemble_weighted(spark, sf) -> DataFrame:
-    """Inverse-error and stacked weights, learned on the inner tail of train rows."""
-    rows = legs(spark, sf)
-    sums = B.leg_sums(rows.where("split = 'val'"), ["a", "b", "c"], "y")
-    inv, stack = B.inverse_error_weights(sums, 3), B.stacked_weights(sums, 3)
-    test = rows.where("split = 'test'")
-    return test.select("series_id", "event_id", "y", B.ensemble(["a", "b", "c"], "weighted", inv).alias("ens_inv_mae"),
-                       B.ensemble(["a", "b", "c"], "weighted", stack).alias("ens_stack"))
+    """Ridge, boosting and a smoother in four ensembles, per horizon and arm; weights from the inner tail of train rows."""
+    f = frame(spark, sf)
+    s = pin(states(spark, sf, B.HOLT_GRID).select("series_id", "step", "_v", "level", "trend"))
+    learn = f.where("split = 'train' AND patient_split = 'fit'").select("series_id", "step")
+    out = None
+    for h in CFG.horizons:
+        best = B.holt_grid(s.join(learn, ["series_id", "step"], "left_semi"), "series_id", h).orderBy("mae", "config").first()["config"]
+        p = F.when(F.col("step") > 0, B.holt_forecast(s, best, B.HOLT_GRID[best][2], h + 1)).alias("holt")
+        rows, weights = K.ensembles(f.join(s.select("series_id", "step", p), ["series_id", "step"], "left"), features_of(f), f"y_sbp_h{h}",
+                                    ["ts", "event_id"], "holt", bound=event_rows(spark, sf), lane_bound=event_bound(spark, sf))
+        names = [*K.TABULAR, "holt", "ens_mean", "ens_median", "ens_inv_mae", "ens_stack"]
+        long = W.unpivot(rows, names, "model", "p", ["arm", F.col(f"y_sbp_h{h}").cast("double").alias("y")])
+        found = F.create_map(*[x for n, w in weights.items() if w for x in (F.lit(n), F.array(*[F.lit(v) for v in w]))]) if any(weights.values()) else None
+        board = M.evaluate(long, ["model", "arm"]).withColumn("h", F.lit(h)).withColumn(
+            "weights", F.try_element_at(found, F.col("model")) if found is not None else F.lit(None).cast("array<double>"))
+        out = board if out is None else out.unionByName(board)
+    return out
 
 
 # ---- decisions ------------------------------------------------------------------------------------------
