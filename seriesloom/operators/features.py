@@ -205,6 +205,11 @@ def target_columns(lanes: Lanes, signals: Sequence[str], horizons: Sequence[int]
 
 def build_features(lanes: Lanes, config: Config = Config(), df: DataFrame | None = None) -> DataFrame:
     """The feature frame: panel columns, features and targets. Echo rows are gone on return."""
+    return lanes.done(with_features(lanes, config, df))
+
+
+def with_features(lanes: Lanes, config: Config = Config(), df: DataFrame | None = None) -> DataFrame:
+    """The feature frame in its lanes, echo rows included, for more windows over it."""
     df = lanes.df if df is None else df
     have = set(df.columns)
     symptoms = raw_symptoms(df.columns)
@@ -249,8 +254,7 @@ def build_features(lanes: Lanes, config: Config = Config(), df: DataFrame | None
     if "heart_rate" in have:
         late += [ratio(F.col("heart_rate_lag1") - F.col("_hr_base_mean"), F.col("_hr_base_std")).alias("hr_z"),
                  ratio(F.col("heart_rate_lag1"), F.col("sbp_lag1")).alias("shock_index_lag1")]
-    out = df.select("*", *late).drop("_pp_base_mean", "_pp_base_std", "_hr_base_mean", "_hr_base_std")
-    return lanes.done(out)
+    return df.select("*", *late).drop("_pp_base_mean", "_pp_base_std", "_hr_base_mean", "_hr_base_std")
 
 
 # Columns a model never sees raw, and bookkeeping columns the frame keeps.

@@ -24,13 +24,20 @@ def target_mismatches(frame: DataFrame, signal: str, horizons: Sequence[int], to
             .agg(F.count("*").alias("n"), F.count_if(off).alias("mismatches")))
 
 
-def structural_audit(frame: DataFrame, features: Sequence[str], signal="sbp", horizons=(0, 1, 2), key="series_id") -> DataFrame:
-    """Copies of the current value, exact lags, split order, holdout, infinities, coverage, density, latent columns."""
+def structural_audit(frame: DataFrame, features: Sequence[str], signal="sbp", horizons=(0, 1, 2), key="series_id",
+                     before: str | None = None) -> DataFrame:
+    """Copies of the current value, exact lags, split order, holdout, infinities, coverage, density, latent columns.
+
+    ``before`` names a column with the previous row's value, where the caller's window has it already.
+    """
     features = [f for f in features if f in frame.columns]
-    now = frame.select(key, "step", F.col(f"{signal}_lag1").alias("l"))
-    before = frame.select(key, (F.col("step") + 1).alias("step"), F.col(signal).alias("v"))
-    same = F.col("l").eqNullSafe(F.col("v")) | F.coalesce(F.abs(F.col("l") - F.col("v")) <= 1e-3, F.lit(False))
-    lagged = now.join(before, [key, "step"]).agg(F.count_if(~same).alias("lag_off"))
+    lagged = frame
+    if before is None:
+        lanes = lay_out(frame.select(key, "step", signal, f"{signal}_lag1"), [key], ["step"], reach=1)
+        lagged, before = lanes.done(lanes.df.withColumn("_before", F.lag(signal).over(lanes.window))), "_before"
+    l, v = F.col(f"{signal}_lag1"), F.col(before)
+    same = l.eqNullSafe(v) | F.coalesce(F.abs(l - v) <= 1e-3, F.lit(False))
+    lagged = lagged.where("step > 0").agg(F.count_if(~same).alias("lag_off"))
     order = frame.groupBy(key).agg(
         *[F.max(F.when(F.col("split") == s, F.col("step"))).alias(f"hi_{s}") for s in ("train", "val", "test")],
         *[F.min(F.when(F.col("split") == s, F.col("step"))).alias(f"lo_{s}") for s in ("train", "val", "test")],
@@ -61,21 +68,20 @@ def structural_audit(frame: DataFrame, features: Sequence[str], signal="sbp", ho
         ("latent variables are not features", F.lit(not latent), F.lit(float(len(latent))), True)])
 
 
-def future_corruption(panel: DataFrame, build: Callable[[DataFrame], DataFrame], features: Sequence[str], value="sbp",
-                      key="series_id", shift: float = 50.0, tolerance: float = 1e-6) -> DataFrame:
+def future_corruption(lanes: Lanes, df: DataFrame, build: Callable[[Lanes, DataFrame], DataFrame], features: Sequence[str], value="sbp",
+                      shift: float = 50.0, tolerance: float = 1e-6) -> DataFrame:
     """Raise the second half of every series and rebuild: no feature of the first half may move.
 
-    ``build`` turns panel rows into features. One row per feature with the number of moved cells.
+    ``build`` adds features to laid-out rows and keeps their lanes. Both variants are built in the same lanes, one after
+    the other, and compared within the row, so nothing is joined. One row per feature with the number of moved cells.
     """
-    half = panel.groupBy(key).agg(F.floor((F.max("step") + 1) / 2).alias("_mid"))
-    marked = panel.join(half, key)
-    bent = marked.withColumn(value, F.when(F.col("step") >= F.col("_mid"), F.col(value) + shift).otherwise(F.col(value)))
-    cut = lambda d, tag: d.where(F.col("step") < F.col("_mid")).select(
-        key, "step", *[finite(f).alias(f"{tag}{i}") for i, f in enumerate(features)])
-    j = cut(build(marked), "a").join(cut(build(bent), "b"), [key, "step"])
-    moved = lambda i: ~(F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) | F.coalesce(
-        F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= tolerance + tolerance * F.abs(F.col(f"b{i}")), F.lit(False)))
-    one = j.agg(*[F.count_if(moved(i)).alias(f"m{i}") for i in range(len(features))], F.count("*").alias("n"))
+    half = lanes.whole(df, _last=F.max("step")).withColumn("_mid", F.floor((F.col("_last") + 1) / 2)).drop("_last")
+    values = F.array(*[finite(f) for f in features])
+    first = build(lanes, half).select(*half.columns, values.alias("_first"))
+    bent = first.withColumn(value, F.when(F.col("step") >= F.col("_mid"), F.col(value) + shift).otherwise(F.col(value)))
+    both = lanes.done(build(lanes, bent)).where(F.col("step") < F.col("_mid")).select("_first", values.alias("_second"))
+    same = lambda a, b: a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= tolerance + tolerance * F.abs(b), F.lit(False))
+    one = both.agg(F.count("*").alias("n"), *[F.count_if(~same(F.col("_first")[i], F.col("_second")[i])).alias(f"m{i}") for i in range(len(features))])
     return one.select(F.inline(F.array(*[F.struct(
         F.lit(f).alias("feature"), F.col("n").alias("n_rows"), F.col(f"m{i}").alias("n_moved")) for i, f in enumerate(features)])))
 

@@ -14,7 +14,7 @@ from seriesloom.operators import leakage as K
 from seriesloom.operators import selection as X
 from seriesloom.operators import stats as A
 from seriesloom.plans.detector_queries import over_step
-from seriesloom.plans.feature_queries import overlay, sql_lag, sql_roll
+from seriesloom.plans.feature_queries import overlay, sql_expand, sql_lag, sql_roll, sql_slope
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (CONFIG, EVENT_CONFIG, SQL_EVENT_PANEL, SQL_PANEL, SQL_SESSIONS, event_bound,
                                     event_panel, event_rows, panel, r, sessions, sql, sr, table)
@@ -418,27 +418,56 @@ def cadence_audit(spark, sf) -> DataFrame:
 
 @query("leakage_structure")
 def leakage_structure(spark, sf) -> DataFrame:
-    f = W.build_features(panel(spark, sf), CONFIG)
+    lanes = panel(spark, sf)
+    f = W.build_features(lanes, CONFIG, lanes.df.withColumn("_before", F.lag("sbp").over(lanes.window)))
     names = [n for n in W.feature_names(f) if not n.startswith("weight")]
-    keep = ["series_id", "step", "split", "patient_split", "sbp", "y_sbp_h0", "y_sbp_h1", "y_sbp_h2"]
-    return K.structural_audit(pin(f.select(*dict.fromkeys([*keep, *names]))), names)
+    keep = ["series_id", "step", "split", "patient_split", "sbp", "_before", "y_sbp_h0", "y_sbp_h1", "y_sbp_h2"]
+    return K.structural_audit(pin(f.select(*dict.fromkeys([*keep, *names]))), names, before="_before")
 
 
-PROBED = ["sbp_lag1", "sbp_mean7", "sbp_std14", "sbp_slope7", "sbp_ewm10", "sbp_base_mean", "sbp_z", "pp_z", "gap_mean24"]
+def future_sql() -> dict[str, str]:
+    """Features as SQL over ``bp``, the panel in which the later half may be raised."""
+    out = {f: sql_exact(f) for f in EXACT if f.startswith(("sbp_", "dbp_", "pp_"))}
+    for s in ("sbp", "dbp"):
+        out |= {f"{s}_{n}{w}": sql_roll(fn, s, w, max(2, w // 3)) for w in (3, 7, 14, 30) for n, fn in (("mean", "avg"), ("std", "stddev_samp"))}
+        out |= {f"{s}_slope{w}": sql_slope(s, w) for w in (3, 7, 14, 30)}
+        out |= {f"{s}_base_mean": sql_expand("avg", s), f"{s}_base_std": sql_expand("stddev_samp", s)}
+        out[f"{s}_z"] = f"({sql_lag(s, 1)} - {out[f'{s}_base_mean']}) / nullif({out[f'{s}_base_std']}, 0)"
+        out[f"{s}_mom_3_14"] = f"{out[f'{s}_mean3']} - {out[f'{s}_mean14']}"
+        out[f"{s}_excess_base"] = f"{out[f'{s}_mean7']} - {out[f'{s}_base_mean']}"
+        out[f"{s}_vol_ratio"] = f"{out[f'{s}_std3']} / nullif({out[f'{s}_std14']}, 0)"
+    out["pp_mean7"] = sql_roll("avg", "(sbp - dbp)", 7, 3)
+    out["gap_mean24"] = sql_roll("avg", "days_since_last", 24, 4)
+    return out
 
 
-@query("leakage_future", sql(SQL_PANEL, " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, CAST(sum(m) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_moved FROM (SELECT floor(count(*) / 2) AS m FROM pn GROUP BY series_id)"
-    for c in PROBED)))
-def leakage_future(spark, sf) -> DataFrame:
+FUTURE = future_sql()
+
+
+def corrupted(spark, sf, features) -> DataFrame:
     """Raise the later half of every series by 50 and rebuild: no earlier feature may move."""
     lanes = panel(spark, sf)
-    rows = lanes.done(lanes.df).select("series_id", "ts", "step", "sbp", "dbp", "days_since_last")
+    names = features or W.feature_names(W.build_features(lanes, CONFIG))
+    return K.future_corruption(lanes, lanes.df, lambda at, df: W.with_features(at, CONFIG, df), names)
+
+
+@query("leakage_future", sql(SQL_PANEL + """,
+hp AS (SELECT *, floor((max(step) OVER (PARTITION BY series_id) + 1) / 2) AS mid FROM pn),
+bp AS (SELECT hp.* REPLACE (CASE WHEN bent = 1 AND step >= mid THEN sbp + 50 ELSE sbp END AS sbp), bent FROM hp, (SELECT unnest([0, 1]) AS bent)),
+vs AS (SELECT series_id, step, mid, bent, [""" + ", ".join(f"CAST({x} AS DOUBLE)" for x in FUTURE.values()).replace(
+    "PARTITION BY series_id", "PARTITION BY bent, series_id") + f"""] AS v FROM bp),
+pr AS (SELECT a.v AS a, b.v AS b FROM vs a JOIN vs b ON a.series_id = b.series_id AND a.step = b.step AND a.bent = 0 AND b.bent = 1 WHERE a.step < a.mid),
+fs AS (SELECT unnest({list(FUTURE)}) AS feature, unnest(range({len(FUTURE)})) AS i)""", """
+SELECT feature, count(*) AS n_rows, CAST(count(*) FILTER (WHERE NOT (a[i + 1] IS NOT DISTINCT FROM b[i + 1]
+  OR coalesce(abs(a[i + 1] - b[i + 1]) <= 1e-6 + 1e-6 * abs(b[i + 1]), false))) AS BIGINT) AS n_moved FROM pr, fs GROUP BY 1"""))
+def leakage_future(spark, sf) -> DataFrame:
+    return corrupted(spark, sf, list(FUTURE))
+
 
-    def build(d):
-        again = lay_out(d.drop("step"), ["series_id"], ["ts"], reach=W.REACH, bound=event_bound(spark, sf))
-        return W.build_features(again, CONFIG)
-    return K.future_corruption(rows, build, PROBED)
+@query("leakage_future_all")
+def leakage_future_all(spark, sf) -> DataFrame:
+    """The same probe over every feature, those that SQL has no short form for included."""
+    return corrupted(spark, sf, None)
 
 
 @query("leakage_labels")

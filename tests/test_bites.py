@@ -117,16 +117,12 @@ def test_schema_checks_bite(spark):
 
 def test_leakage_probes_bite(spark, sf):
     lanes = panel(spark, sf)
-    rows = lanes.done(lanes.df).select("series_id", "ts", "step", "sbp", "dbp", "days_since_last", "split", "patient_split")
-
-    def build(d):
-        again = lay_out(d.drop("step"), ["series_id"], ["ts"], reach=W.REACH)
-        f = W.build_features(again, CONFIG)
-        w = lay_out(f.drop("step"), ["series_id"], ["ts"], reach=2)
-        return w.done(w.df.withColumn("peek", F.lead("sbp").over(w.window)))
-    moved = {r.feature: r.n_moved for r in K.future_corruption(rows, build, ["sbp_lag1", "sbp_z", "peek"]).collect()}
+
+    def build(at, df):
+        return W.with_features(at, CONFIG, df).withColumn("peek", F.lead("sbp").over(at.window))
+    moved = {r.feature: r.n_moved for r in K.future_corruption(lanes, lanes.df, build, ["sbp_lag1", "sbp_z", "peek"]).collect()}
     assert moved["sbp_lag1"] == 0 and moved["sbp_z"] == 0 and moved["peek"] > 0
-    f = build(rows)
+    f = W.build_features(lanes, CONFIG)
     bad = {r.h: r.mismatches for r in K.target_mismatches(f.withColumn("y_sbp_h1", F.col("sbp")), "sbp", (0, 1)).collect()}
     assert bad[0] == 0 and bad[1] > 0
     copy = {r.check: r.status for r in K.structural_audit(f.withColumn("twin", F.col("sbp") * 2.0), ["sbp_lag1", "twin"]).collect()}
