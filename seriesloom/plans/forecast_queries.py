@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.functions.lanes import attach_row, lay_out
@@ -13,6 +14,7 @@ from seriesloom.operators import detectors as D
 from seriesloom.operators import features as W
 from seriesloom.operators import forecast as B
 from seriesloom.operators import learners as L
+from seriesloom.operators import linear as G
 from seriesloom.operators import metrics as M
 from seriesloom.operators import panel as P
 from seriesloom.operators import selection as X
@@ -336,11 +338,15 @@ def champion_challenger(spark, sf) -> DataFrame:
 
 @query("block_importance")
 def block_importance(spark, sf) -> DataFrame:
-    f = learning_frame(spark, sf)
-    train = L.doubles(fit_rows(f), SMALL).withColumn("_label", F.col("y_sbp_h0"))
-    model = L.make_model("ridge", SMALL).fit(train.select(*SMALL, "_label"))
-    blocks = {"sbp level": ["sbp_mean7", "sbp_mean14", "sbp_base_mean", "sbp_ewm30"], "sbp lags": LAGS[:3], "dbp": ["dbp_lag1", "dbp_mean7"]}
-    return L.block_importance(model, f.where("split = 'test'"), SMALL, "y_sbp_h0", blocks, ["series_id", "event_id"])
+    """Every kept feature with all members of its cluster, permuted together three times, for the ridge on the kept features."""
+    f = pin(frame(spark, sf))
+    names, audit, _ = X.select_features(f, features_of(f), ["y_sbp_h0", "y_sbp_h1", "y_sbp_h2"])
+    blocks = {x["feature"]: [m for m in x["members"] if m in set(names)] for x in X.cluster_blocks(audit).orderBy("feature").collect()}    # one row a feature
+    train = fit_rows(f).where(F.col("y_sbp_h1").isNotNull())
+    centre = G.medians(train, names, event_rows(spark, sf))
+    model = G.ridge(G.sums(train, names, centre, {"y": F.col("y_sbp_h1")})["y"], np.arange(len(names)))
+    score = lambda rows: G.predict(rows, names, centre, [model], ["block", "repeat", "y_sbp_h1"], "_p").withColumn("p", F.col("_p")[0])
+    return L.block_importance(score, f.where("split = 'test'"), names, "y_sbp_h1", blocks)
 
 
 @query("prediction_explanations")

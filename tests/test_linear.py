@@ -123,3 +123,33 @@ def test_missingness_refits_every_copy(spark):
         assert (got.loc[f, "n_train"], got.loc[f, "n_test"]) == (len(train), len(test))
         np.testing.assert_allclose(got.loc[f, ["mae", "rmse"]].astype(float), [np.abs(test.y - p).mean(), np.sqrt(((test.y - p) ** 2).mean())], rtol=1e-6)
     assert got.loc[0.9, "note"] == "too few train rows" and np.isnan(got.loc[0.9, "mae"]) and got.loc[0.0, "delta"] == 0
+
+
+def test_block_importance_deals_whole_rows(spark):
+    r = np.random.default_rng(2)
+    d = pd.DataFrame(r.normal(size=(301, 4)), columns=["a", "b", "c", "e"])
+    d["y"] = 3 * d["a"] + d["b"]
+    seen = []
+
+    def score(rows):
+        seen.append(rows)
+        return rows.withColumn("p", 3 * F.col("a") + F.col("b"))
+    blocks = {"ab": ["a", "b"], "c": ["c"], "b": ["b"]}
+    got = {x.block: x for x in L.block_importance(score, spark.createDataFrame(d).repartition(3), ["a", "b", "c", "e"], "y", blocks).collect()}
+    dealt = seen[0].toPandas()
+    assert len(dealt) == 301 * (3 * 3 + 1)
+    key = lambda x, cols: sorted(map(tuple, x[cols].to_numpy()))
+    for k in range(3):
+        ab = dealt[(dealt.block == 0) & (dealt.repeat == k)]
+        assert key(ab, ["a", "b"]) == key(d, ["a", "b"]) and key(ab, ["c", "e", "y"]) == key(d, ["c", "e", "y"])   # pairs stay whole, all are dealt
+        assert key(ab, ["a", "c"]) != key(d, ["a", "c"])
+        other = dealt[(dealt.block == 2) & (dealt.repeat == k)]
+        assert key(ab[["b", "y"]], ["b", "y"]) == key(other, ["b", "y"])                   # one partner for all blocks
+    assert got["c"].mae_increase == 0 and got["ab"].mae_increase > got["b"].mae_increase > 0.5 and got["ab"].n_features == 2
+
+
+def test_bijections():
+    for n in (1, 2, 7, 12, 97, 360):
+        for seed in range(5):
+            a, b = L.bijection(n, seed)
+            assert sorted((a * i + b) % n for i in range(n)) == list(range(n))
