@@ -183,6 +183,18 @@ def serving_detector(spark, sf) -> DataFrame:
     return D.choose(D.scorecard(f, [*serveable, D.REFERENCE], 3.0, bound=7 * event_rows(spark, sf)), 5, serveable)
 
 
+_SHIPPED: dict[tuple, str] = {}
+
+
+def shipped_detector(spark, sf) -> str:
+    """The one detector that banners, fairness and gates use: ``serving_detector``, chosen once a session."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _SHIPPED:
+        best = serving_detector(spark, sf).first()
+        _SHIPPED[at] = best["detector"] if best else "d_personal_z"
+    return _SHIPPED[at]
+
+
 @query("anomaly_timeline", sql(SQL_DS + """,
 cu AS (SELECT quantile_cont(d_personal_z, 0.95) AS cut FROM ds WHERE split = 'val')""", """
 SELECT series_id, event_id, CAST(coalesce(step >= 7 AND d_personal_z >= cut, false) AS INTEGER) AS flagged FROM ds, cu"""))
@@ -399,9 +411,8 @@ def error_concentration(spark, sf) -> DataFrame:
 @query("fairness_battery")
 def fairness_battery(spark, sf) -> DataFrame:
     """Forecast error, detector recall and detector precision per slice; only the first two gate."""
-    f = detector_frame(spark, sf)
-    cut = D.serving_cut(f, "d_mean7_excess", 5, event_rows(spark, sf))
-    t = D.timeline(f, "d_mean7_excess", cut).where("split = 'test'")
+    f, name = detector_frame(spark, sf), shipped_detector(spark, sf)
+    t = D.timeline(f, name, D.serving_cut(f, name, 5, event_rows(spark, sf))).where("split = 'test'")
     axes = ["segment", "is_male", "is_dm"]
     err = t.where("y_sbp_h1 IS NOT NULL AND sbp_ewm30 IS NOT NULL")
     a = M.slice_gate(err, axes, F.avg(F.abs(F.col("y_sbp_h1") - F.col("sbp_base_mean"))), 1.5, "forecast MAE",

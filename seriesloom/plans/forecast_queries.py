@@ -13,6 +13,7 @@ from seriesloom.operators import densities as N
 from seriesloom.operators import detectors as D
 from seriesloom.operators import features as W
 from seriesloom.operators import forecast as B
+from seriesloom.operators import heads as R
 from seriesloom.operators import learners as L
 from seriesloom.operators import linear as G
 from seriesloom.operators import metrics as M
@@ -550,23 +551,36 @@ def tier_classifier(spark, sf) -> DataFrame:
     return scored.groupBy("tier_label", F.element_at(names, F.col("_pred").cast("int") + 1).alias("predicted")).agg(F.count("*").alias("n"))
 
 
+SYMPTOMS = ["dizziness", "severe_headache", "edema", "palpitations", "sob", "syncope", "face_swelling", "dry_cough"]
+#: Columns of the same row that a symptom's head must not read.
+SAME_ROW = {*SYMPTOMS, "missed_3d", "adherence_7d"}
+
+
+def symptom_heads(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Heads of every symptom zero to two rows ahead: scored rows of threshold pool and test split, and one row per head."""
+    lanes = event_panel(spark, sf)
+    at = {(s, h): f"_y_{s}_{h}" for s in SYMPTOMS for h in CFG.horizons}
+    df = lanes.df.select("*", *[(F.lead(s, h).over(lanes.window) if h else F.col(s)).alias(c) for (s, h), c in at.items()])
+    f = W.build_features(lanes, CFG, df)
+    names = [n for n in features_of(f) if n not in SAME_ROW and not n.startswith("_y_")]
+    return R.rare_event_heads(f, names, at, ["series_id", "is_male", "is_dm", "segment"], bound=24 * event_rows(spark, sf))
+
+
 @query("rare_event_head")
 def rare_event_head(spark, sf) -> DataFrame:
-    """Boosted head for a symptom two rows ahead: calibrated, cut at the alert budget, scored on test rows."""
-    lanes = event_panel(spark, sf)
-    df = lanes.df.withColumn("y_sym", F.lead("dizziness", 2).over(lanes.window))
-    f = pin(W.build_features(lanes, CFG, df).select("series_id", "step", "split", "y_sym", *SMALL))
-    got = L.rare_event_head(f, SMALL, "y_sym", bound=event_rows(spark, sf))
-    if got is None:                 # too few positives to train on: the same columns, scored without probabilities
-        test = f.where("split = 'test' AND y_sym IS NOT NULL").select(
-            "y_sym", *[F.lit(None).cast("double").alias(c) for c in ("prob", "cut")])
-    else:
-        scored, cut = got
-        test = attach_row(scored.where("pool = 'test'").select("y_sym", "prob"), cut)
-    test = test.withColumn("label", F.lit("dizziness"))
-    out = M.rare_event(test, ["label"], "y_sym", "prob", "cut", event_rows(spark, sf))
-    labels = test.groupBy("label").agg(F.count("*").alias("n_rows"))
-    return labels.join(out, "label", "left").withColumn("status", F.lit("too few positives" if got is None else "trained"))
+    """Every symptom and horizon: calibrated, cut at the alert budget, scored on test rows, or why there is no head."""
+    return R.board(*symptom_heads(spark, sf), 24 * event_rows(spark, sf))
+
+
+@query("head_parity")
+def head_parity(spark, sf) -> DataFrame:
+    """Spread of the precision-recall area between subgroups, per head and axis."""
+    long, _ = symptom_heads(spark, sf)
+    out = None
+    for axis in ("is_male", "is_dm", "segment"):
+        one = R.parity(long, axis, bound=24 * event_rows(spark, sf)).withColumn("axis", F.lit(axis))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("chained_scoring")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seriesloom.lineage import checkpoint_dir
 from seriesloom.operators import detectors as D
@@ -13,12 +13,14 @@ from seriesloom.operators import rules as R
 from seriesloom.operators import serving as V
 from seriesloom.operators import thresholds as O
 from seriesloom.operators.learners import fit_predict
-from seriesloom.plans.detector_queries import detector_frame, fairness_battery
-from seriesloom.plans.forecast_queries import SMALL, fit_rows, forecast_pairs, learning_frame, missingness_sweep, prediction_explanations
+from seriesloom.plans.detector_queries import detector_frame, fairness_battery, shipped_detector
+from seriesloom.plans.forecast_queries import (SMALL, SYMPTOMS, cold_start_curve, fit_rows, forecast_pairs, head_parity, learning_frame,
+                                               missingness_sweep, prediction_explanations)
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, SQL_READINGS, event_bound, event_panel, event_rows, r,
                                     readings, sql, sr, table, us)
 from seriesloom.plans.rule_queries import advisories, base_sql, event_alerts, extended_rows, smoothed_forecast
+from seriesloom.plans.threshold_queries import cut_frame
 from seriesloom.sources import reading_log
 from seriesloom.streaming.rules import STORE, stream_alerts
 from seriesloom.streaming.sessions import stream_sessions
@@ -122,7 +124,8 @@ def banners(spark, sf) -> DataFrame:
     lanes, df = extended_rows(spark, sf)
     eng = R.summary(R.evaluate_extended(lanes.done(df))).select("series_id", "is_emergency", "fired", F.col("n_rows").alias("n"))
     f = detector_frame(spark, sf)
-    t = D.timeline(f, "d_mean7_excess", D.serving_cut(f, "d_mean7_excess", 5, event_rows(spark, sf)))
+    name = shipped_detector(spark, sf)
+    t = D.timeline(f, name, D.serving_cut(f, name, 5, event_rows(spark, sf)))
     det = t.groupBy("series_id").agg(F.max_by("flagged", "step").alias("flagged"))
     last, ahead = smoothed_forecast(spark, sf)
     fc = R.predicted_alerts(last, ahead).groupBy("series_id").agg(F.max("fired").alias("forecast_fired"))
@@ -137,8 +140,8 @@ def gate_evidence(spark, sf) -> dict[str, DataFrame | None]:
     panel = event_panel(spark, sf)
     rows = panel.done(panel.df)
     thr = O.thresholds(rows, CFG, bound=n)
-    det = detector_frame(spark, sf)
-    flags = D.timeline(det, "d_personal_z", D.serving_cut(det, "d_personal_z", 5, n)).where("split = 'test'").select("flagged")
+    det, name = detector_frame(spark, sf), shipped_detector(spark, sf)
+    flags = D.timeline(det, name, D.serving_cut(det, name, 5, n)).where("split = 'test'").select("flagged")
     ood = D.abstention(det, ["sbp_lag1", "sbp_mean7", "dbp_lag1", "dbp_mean7"], bound=4 * n).where("split = 'test'")
     lf = learning_frame(spark, sf)
     scored = fit_predict(fit_rows(lf), lf.where("split = 'test'"), "ridge", SMALL, "y_sbp_h0")
@@ -146,16 +149,21 @@ def gate_evidence(spark, sf) -> dict[str, DataFrame | None]:
     by = scored.groupBy("patient_split").agg(err.alias("mae"))
     penalty = by.agg((F.max(F.when(F.col("patient_split") == "holdout", F.col("mae")))
                       - F.max(F.when(F.col("patient_split") == "fit", F.col("mae")))).alias("penalty"))
+    cuts = cut_frame(spark, sf)
+    blend = O.predict_bayes_blend(cuts, O.fit_bayes_blend(cuts.where("offset_split = 'train'"), n), "_m")
+    learned = blend.where("offset_split = 'holdout'").select(O.cap(F.col("_m"), CFG).alias("p"))
+    by_size = Window.orderBy("n_readings")                     # one row per probe
+    curve = cold_start_curve(spark, sf).select((F.col("band_width") - F.lag("band_width").over(by_size)).alias("widening"))
     return {
         "thresholds": thr, "detector_flags": flags, "alerts": lanes.done(pop),
         "emergencies": G.emergency_evidence(lanes.done(pop), lanes2.done(per)), "fairness": fairness_battery(spark, sf),
         "explanations": prediction_explanations(spark, sf), "abstention": ood, "cold_penalty": penalty,
         "advisories": advisories(spark, sf), "missingness": missingness_sweep(spark, sf),
         "forecaster_features": spark.createDataFrame([(c,) for c in SMALL], "feature string"),
-        "detector": spark.createDataFrame([("d_personal_z",)], "detector string"),
+        "detector": spark.createDataFrame([(name,)], "detector string"),
         "pairs": forecast_pairs(spark, sf).where("split = 'test'").select("codes"),
-        "learned_thresholds": thr.select(F.col("threshold").alias("p")), "cold_start": None, "label_source": None, "shipped": None,
-        "label_fairness": None}
+        "learned_thresholds": learned, "cold_start": curve, "shipped": None, "label_fairness": head_parity(spark, sf),
+        "label_source": spark.createDataFrame([(s, True) for s in SYMPTOMS], "label string, synthetic boolean")}
 
 
 @query("promotion_gates")
