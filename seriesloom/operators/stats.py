@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesloom.config import STALE_DAYS
-from seriesloom.functions.expr import finite, first_of, half_even
+from seriesloom.functions.expr import clip, finite, first_of, half_even
 from seriesloom.functions.lanes import LANE_ROWS, Lanes, attach_row, lay_out
 from seriesloom.functions.quantile import quantiles
 from seriesloom.functions.skew import attach
@@ -54,9 +54,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cov = F.col("xy") - F.col("sx") * F.col("sy") / n
     vx, vy = F.col("qx") - F.col("sx") * F.col("sx") / n, F.col("qy") - F.col("sy") * F.col("sy") / n
     name = F.array(*[F.lit(c) for c in columns])
-    r = F.when((vx > 1e-18) & (vy > 1e-18), cov / F.sqrt(vx * vy))
+    # What rounding leaves of a constant column's variance is no variance.
+    r = F.when((vx > 1e-12 * F.col("qx")) & (vy > 1e-12 * F.col("qy")), cov / F.sqrt(vx * vy))
     return g.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), F.col("n").cast("long").alias("n"),
-                    F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("r"))
+                    clip(r, -1.0, 1.0).alias("r"))
 
 
 def centred_ranks(cells: DataFrame, value: str, name: str, bound: int) -> DataFrame:

@@ -45,3 +45,10 @@ def test_spearman_equals_pandas(spark, table, monkeypatch, lane, heavy):
     assert got.keys() == want.keys()
     for k, (n, rho) in want.items():
         assert got[k][0] == n and (got[k][1] is None if rho is None else abs(got[k][1] - rho) < 1e-9)
+
+
+def test_a_constant_column_correlates_with_nothing(spark, table):
+    df = spark.createDataFrame(table.assign(zero=0.0, third=1 / 3)).select("zero", "third", "many", "few")
+    got = {(r.a, r.b): r.r for r in A.correlation_matrix(df, ["zero", "third", "many", "few"]).collect()}
+    assert all(r is None for (a, _), r in got.items() if a in ("zero", "third"))
+    assert abs(got["many", "few"] - table["many"].corr(table["few"])) < 1e-9
