@@ -29,7 +29,7 @@ class Config:
     max_entities: int | None = None
     test_frac: float = 0.2
     val_frac: float = 0.2
-    holdout_frac: float = 0.2
+    holdout_frac: float = 0.3
     split_salt: str = "patient-split"
     signals: tuple = SIGNALS
     lags: tuple = LAGS

@@ -26,9 +26,8 @@ def registry(spark: SparkSession, available: Sequence[str] = BASE_INPUTS) -> Dat
 
 
 def tier_policy(spark: SparkSession) -> DataFrame:
-    rows = [(i, t, {"yes": True, "no": False}.get(p), h, n) for i, (t, p, h, n) in enumerate(lines(TIER_TABLE))]
-    return spark.createDataFrame(
-        rows, "tier_rank int, tier string, personalisable boolean, forecast_horizon string, note string")
+    """Tiers by rank, and whether a personal threshold may move them."""
+    return spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(TIER_TABLE)], "tier_rank int, tier string, personalisable boolean")
 
 
 def gate(df: DataFrame) -> Column:

@@ -73,11 +73,11 @@ def fractional_gaps(spark, sf) -> DataFrame:
 
 @query("entity_buckets", """
 SELECT c_custkey, CAST(concat('0x', substr(md5(concat('offset-split:', c_custkey)), 1, 8)) AS BIGINT) % 100 AS bucket,
-  CASE WHEN CAST(concat('0x', substr(md5(concat('patient-split:', c_custkey)), 1, 8)) AS BIGINT) % 100 < 20
+  CASE WHEN CAST(concat('0x', substr(md5(concat('patient-split:', c_custkey)), 1, 8)) AS BIGINT) % 100 < 30
        THEN 'holdout' ELSE 'fit' END AS part FROM customer""")
 def entity_buckets(spark, sf) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", bucket("c_custkey", "offset-split").alias("bucket"),
-                                               entity_split("c_custkey", 0.2).alias("part"))
+                                               entity_split("c_custkey", CONFIG.holdout_frac).alias("part"))
 
 
 @query("cohort_keys", sql(SQL_PANEL, """

@@ -160,7 +160,7 @@ pn AS (SELECT *, least(greatest(coalesce(days_since_last_raw, 2), 1), 30) AS day
              WHEN step > round_even(max(step) OVER (PARTITION BY series_id)
                     * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE) - CAST(0.2 AS DOUBLE)), 0) THEN 'val'
              ELSE 'train' END AS split,
-        CASE WHEN CAST(concat('0x', substr(md5(concat('patient-split:', series_id)), 1, 8)) AS BIGINT) % 100 < 20
+        CASE WHEN CAST(concat('0x', substr(md5(concat('patient-split:', series_id)), 1, 8)) AS BIGINT) % 100 < 30
              THEN 'holdout' ELSE 'fit' END AS patient_split FROM pn0)"""
 
 
@@ -241,7 +241,7 @@ ep AS (SELECT *, least(greatest(coalesce(days_since_last_raw, 2), 1), 30) AS day
               * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE)), 0) THEN 'test'
        WHEN step > round_even(max(step) OVER (PARTITION BY series_id)
               * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE) - CAST(0.2 AS DOUBLE)), 0) THEN 'val' ELSE 'train' END AS split,
-  CASE WHEN CAST(concat('0x', substr(md5(concat('patient-split:', series_id)), 1, 8)) AS BIGINT) % 100 < 20
+  CASE WHEN CAST(concat('0x', substr(md5(concat('patient-split:', series_id)), 1, 8)) AS BIGINT) % 100 < 30
        THEN 'holdout' ELSE 'fit' END AS patient_split,
   concat(CASE WHEN coalesce(age, 65) < 50 THEN '<50' WHEN coalesce(age, 65) < 65 THEN '50-64'
     WHEN coalesce(age, 65) < 75 THEN '65-74' ELSE '75+' END, '|', CASE WHEN is_male = 1 THEN 'M' ELSE 'F' END)
