@@ -81,13 +81,13 @@ al AS (SELECT pb.warm, k, q, n, actual, CASE q WHEN 0.85 THEN p[1] WHEN 0.9 THEN
   CASE q WHEN 0.85 THEN c[1] WHEN 0.9 THEN c[2] ELSE c[3] END AS cohort
   FROM pb JOIN pr ON pb.warm = pr.warm AND pb.cohort_key = pr.cohort_key
   JOIN ac ON pb.series_id = ac.series_id AND pb.warm = ac.warm CROSS JOIN ks CROSS JOIN qs)""", f"""
-SELECT CAST(warm AS INTEGER) AS warm, k, q, count(*) AS n, round(avg(abs(actual - (140 + least(greatest(
-  n / (n + k) * personal + (1 - n / (n + k)) * cohort - 140, -25), 15)))), 1) AS mae_fit FROM al GROUP BY 1, 2, 3
+SELECT CAST(warm AS INTEGER) AS warm, k, q, count(*) AS n, {sr('avg(abs(actual - round_even(140 + least(greatest(n / (n + k) * personal + (1 - n / (n + k)) * cohort - 140, -25), 15), 1)))', 2)} AS mae_fit
+FROM al GROUP BY 1, 2, 3
 HAVING count(*) >= 20"""))
 def threshold_search(spark, sf) -> DataFrame:
-    """Thresholds are rounded to one decimal before scoring, so errors are compared at that precision."""
+    """Thresholds are rounded to one decimal before scoring."""
     s = O.search(rows_of(spark, sf), CFG, bound=event_bound(spark, sf), cohort_bound=event_rows(spark, sf))
-    return s.select("warm", "k", "q", "n", F.round("mae_fit", 1).alias("mae_fit"))
+    return s.select("warm", "k", "q", "n", r("mae_fit", 2).alias("mae_fit"))
 
 
 @query("best_threshold_config")
