@@ -15,7 +15,7 @@ from seriesloom.llm import exact, language, minhash, mixing, packing
 from seriesloom.llm.common import few_rows_a_batch
 from seriesloom.llm.queries import tokenizer_path
 
-#: Learned models and hash samples are not expressible in SQL; the tests hold every stage against a brute-force version.
+#: Learned models and hash samples are not expressible in SQL; the tests check the stages' columns, sequences and operators.
 ORACLE_SQL = None
 
 
