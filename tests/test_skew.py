@@ -12,7 +12,7 @@ from seriesloom.plans import roles
 
 #: Queries that attach a row per series, patient, day or rank, one for each place.
 USERS = ["event_labels", "forecast_scores", "theta", "series_autoregression", "series_regression", "residual_intercepts", "alerts_personalised",
-         "drift_advisories", "fluid_advisories", "contract_self_test", "request_errors", "panel", "static_join", "key_sets", "tuned_detectors",
+         "drift_advisories", "fluid_advisories", "contract_self_test", "request_errors", "panel", "static_join", "key_sets",
          "event_base_rates", "quantiles_by_selection", "threshold_search", "pressure_features"]
 
 
