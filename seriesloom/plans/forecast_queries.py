@@ -27,7 +27,7 @@ from seriesloom.plans.feature_queries import sql_expand, sql_lag, sql_roll
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, event_bound, event_panel, event_rows, r, sql, sr)
 from seriesloom.plans.rule_queries import event_alerts
-from seriesloom.plans.threshold_queries import cut_frame
+from seriesloom.plans.threshold_queries import SQL_BLEND, cut_frame
 
 SMALL = ["sbp_lag1", "sbp_lag2", "sbp_lag3", "sbp_mean7", "sbp_mean14", "sbp_std7", "sbp_base_mean", "sbp_ewm30", "dbp_lag1",
          "dbp_mean7", "gap_mean24", "age", "is_male"]
@@ -481,17 +481,23 @@ def learned_thresholds(spark, sf) -> DataFrame:
     return O.board(long, CFG)
 
 
-@query("threshold_promotion")
+@query("threshold_promotion", sql(SQL_BLEND + """,
+cp AS (SELECT 'blend' AS candidate, series_id, cut, y, 140 + least(greatest(pred - 140, -25), 15) AS p,
+  140 + least(greatest(hist_n / (hist_n + CAST(30 AS DOUBLE)) * q90 + (1 - hist_n / (hist_n + CAST(30 AS DOUBLE))) * cohort_prior - 140, -25), 15) AS ref
+  FROM bb WHERE part = 'holdout'),
+er AS (SELECT candidate, series_id, cut, greatest(0.9 * (y - p), -0.1 * (y - p)) - greatest(0.9 * (y - ref), -0.1 * (y - ref)) AS d FROM cp),""" + sql_resampled(
+    "er", "candidate", "d", "concat(series_id, ':', cut)"), f"""
+SELECT candidate, n, {sr('mean')} AS delta, {sr('lo')} AS lo, {sr('hi')} AS hi, hi < 0 AS promoted FROM rs WHERE n >= 30"""))
 def threshold_promotion(spark, sf) -> DataFrame:
     """The learned blend against the best reference on holdout entities, paired: promoted when the interval lies below zero."""
     f = cut_frame(spark, sf)
     scored = O.predict_bayes_blend(f, O.fit_bayes_blend(f.where("offset_split = 'train'"), event_rows(spark, sf)), "_m")
-    ho = scored.where("offset_split = 'holdout'").withColumn("_all", F.lit("blend"))
+    ho = scored.where("offset_split = 'holdout'").withColumn("candidate", F.lit("blend"))
     y = F.col("y")
     ref = O.reference_candidates(CFG.shrink_k, CFG)["capped blend (reference)"]
-    e = ho.select("_all", "series_id", "cut", O.pinball(y, O.cap(F.col("_m"), CFG)).alias("a"), O.pinball(y, O.cap(ref, CFG)).alias("b"))
-    return M.paired(e, ["_all"], "a", "b", ["series_id", "cut"]).withColumnRenamed("_all", "candidate").withColumn(
-        "promoted", F.col("hi") < 0)
+    e = ho.select("candidate", "series_id", "cut", O.pinball(y, O.cap(F.col("_m"), CFG)).alias("a"), O.pinball(y, O.cap(ref, CFG)).alias("b"))
+    d = M.paired(e, ["candidate"], "a", "b", ["series_id", "cut"])
+    return d.select("candidate", "n", *[r(c).alias(c) for c in ("delta", "lo", "hi")], (F.col("hi") < 0).alias("promoted"))
 
 
 # ---- learned detectors and heads ----------------------------------------------------------------------------

@@ -69,7 +69,7 @@ def observed_bands(spark, sf) -> DataFrame:
         "series_id", r("actual").alias("actual"))
 
 
-@query("threshold_search", sql(SQL_EVENT_PANEL + """,
+SQL_GRID = SQL_EVENT_PANEL + """,
 ws AS (SELECT unnest([16, 24, 32, 40]) AS warm), ks AS (SELECT unnest([10, 30, 60])::DOUBLE AS k),
 qs AS (SELECT unnest([0.85, 0.90, 0.95])::DOUBLE AS q),
 wm AS (SELECT ep.*, warm FROM ep JOIN ws ON step < warm),
@@ -80,20 +80,23 @@ ac AS (SELECT series_id, warm, quantile_cont(sbp, 0.9) AS actual FROM ep JOIN ws
 al AS (SELECT pb.warm, k, q, n, actual, CASE q WHEN 0.85 THEN p[1] WHEN 0.9 THEN p[2] ELSE p[3] END AS personal,
   CASE q WHEN 0.85 THEN c[1] WHEN 0.9 THEN c[2] ELSE c[3] END AS cohort
   FROM pb JOIN pr ON pb.warm = pr.warm AND pb.cohort_key = pr.cohort_key
-  JOIN ac ON pb.series_id = ac.series_id AND pb.warm = ac.warm CROSS JOIN ks CROSS JOIN qs)""", f"""
-SELECT CAST(warm AS INTEGER) AS warm, k, q, count(*) AS n, {sr('avg(abs(actual - round_even(140 + least(greatest(n / (n + k) * personal + (1 - n / (n + k)) * cohort - 140, -25), 15), 1)))', 2)} AS mae_fit
-FROM al GROUP BY 1, 2, 3
-HAVING count(*) >= 20"""))
+  JOIN ac ON pb.series_id = ac.series_id AND pb.warm = ac.warm CROSS JOIN ks CROSS JOIN qs)""" + """,
+gr AS (SELECT CAST(warm AS INTEGER) AS warm, k, q, count(*) AS n,
+  avg(abs(actual - round_even(140 + least(greatest(n / (n + k) * personal + (1 - n / (n + k)) * cohort - 140, -25), 15), 1))) AS mae_fit
+  FROM al GROUP BY 1, 2, 3 HAVING count(*) >= 20)"""
+
+
+@query("threshold_search", sql(SQL_GRID, f"SELECT warm, k, q, n, {sr('mae_fit', 2)} AS mae_fit FROM gr"))
 def threshold_search(spark, sf) -> DataFrame:
     """Thresholds are rounded to one decimal before scoring."""
     s = O.search(rows_of(spark, sf), CFG, bound=event_bound(spark, sf), cohort_bound=event_rows(spark, sf))
     return s.select("warm", "k", "q", "n", r("mae_fit", 2).alias("mae_fit"))
 
 
-@query("best_threshold_config")
+@query("best_threshold_config", sql(SQL_GRID, f"SELECT warm, k, q, n, {sr('mae_fit', 2)} AS mae_fit FROM gr ORDER BY gr.mae_fit, warm, k, q LIMIT 1"))
 def best_threshold_config(spark, sf) -> DataFrame:
     s = O.search(rows_of(spark, sf), CFG, bound=event_bound(spark, sf), cohort_bound=event_rows(spark, sf))
-    return O.best_config(s)
+    return O.best_config(s).select("warm", "k", "q", "n", r("mae_fit", 2).alias("mae_fit"))
 
 
 @query("threshold_scorecard", sql(SQL_PRIOR + """,
@@ -155,12 +158,14 @@ def threshold_cuts(spark, sf) -> DataFrame:
                                               "level_vs_cohort", *STATS]])
 
 
-@query("bayes_blend", sql(SQL_CUTS + """,
+SQL_BLEND = SQL_CUTS + """,
 v AS (SELECT var_samp(y - q90) AS s2, var_samp(q90 - cohort_prior) AS t2, quantile_cont(y - q90, 0.5) AS bias
   FROM cf WHERE part = 'train'),
-b AS (SELECT least(greatest(s2 / greatest(t2, 1e-9), 1), 400) AS k, bias FROM v)""", f"""
-SELECT series_id, CAST(cut AS INTEGER) AS cut,
-  {sr('hist_n / (hist_n + k) * q90 + (1 - hist_n / (hist_n + k)) * cohort_prior + bias')} AS pred FROM cf, b"""))
+b AS (SELECT least(greatest(s2 / greatest(t2, 1e-9), 1), 400) AS k, bias FROM v),
+bb AS (SELECT cf.*, hist_n / (hist_n + k) * q90 + (1 - hist_n / (hist_n + k)) * cohort_prior + bias AS pred FROM cf, b)"""
+
+
+@query("bayes_blend", sql(SQL_BLEND, f"SELECT series_id, CAST(cut AS INTEGER) AS cut, {sr('pred')} AS pred FROM bb"))
 def bayes_blend(spark, sf) -> DataFrame:
     f = cut_frame(spark, sf)
     fitted = O.fit_bayes_blend(f.where("offset_split = 'train'"), event_rows(spark, sf))
