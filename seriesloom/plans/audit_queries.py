@@ -163,11 +163,22 @@ def ks_drift(spark, sf) -> DataFrame:
     return A.ks_two_sample(a, b, ["sbp", "dbp"], bound=event_rows(spark, sf)).select("feature", r("statistic").alias("statistic"))
 
 
-@query("ks_by_ship_year")
+@query("ks_by_ship_year", "WITH b AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, CASE WHEN year(l_shipdate) < 1998 THEN 1 ELSE 0 END AS a FROM lineitem" for c in LI) + f"""),
+c AS (SELECT feature, v, sum(a) AS x, sum(1 - a) AS y FROM b GROUP BY 1, 2),
+d AS (SELECT feature, sum(x) OVER (PARTITION BY feature) AS nx, sum(y) OVER (PARTITION BY feature) AS ny, sum(x) OVER w AS cx, sum(y) OVER w AS cy FROM c
+  WINDOW w AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT feature, CAST(max(nx) AS BIGINT) AS n_base, CAST(max(ny) AS BIGINT) AS n_current, max(abs(cx / CAST(nx AS DOUBLE) - cy / CAST(ny AS DOUBLE))) AS s
+  FROM d GROUP BY 1),
+l AS (SELECT *, sqrt(n_base * CAST(n_current AS DOUBLE) / (n_base + n_current)) * s AS lam FROM k),
+p AS (SELECT feature, min(n_base) AS n_base, min(n_current) AS n_current, min(s) AS s,
+  least(greatest(sum(CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * i * i * lam * lam)), 0), 1) AS p FROM l, range(1, 101) t(i) GROUP BY 1)
+SELECT feature, n_base, n_current, {sr('s')} AS statistic, {sr('p')} AS p_value, p < 0.05 AS drift FROM p""")
 def ks_by_ship_year(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
     mid = F.year("l_shipdate") < 1998
-    return A.ks_two_sample(li.where(mid), li.where(~mid), LI)
+    k = A.ks_two_sample(li.where(mid), li.where(~mid), LI)
+    return k.select("feature", "n_base", "n_current", r("statistic").alias("statistic"), r("p_value").alias("p_value"), "drift")
 
 
 def sql_psi(columns, ref, cur, source):

@@ -27,7 +27,7 @@ from seriesloom.plans.feature_queries import sql_expand, sql_lag, sql_roll
 from seriesloom.plans.registry import query
 from seriesloom.plans.roles import (EVENT_CONFIG as CFG, SQL_EVENT_PANEL, event_bound, event_panel, event_rows, r, sql, sr)
 from seriesloom.plans.rule_queries import event_alerts
-from seriesloom.plans.threshold_queries import SQL_BLEND, cut_frame
+from seriesloom.plans.threshold_queries import SQL_BLEND, SQL_PRIOR, cut_frame
 
 SMALL = ["sbp_lag1", "sbp_lag2", "sbp_lag3", "sbp_mean7", "sbp_mean14", "sbp_std7", "sbp_base_mean", "sbp_ewm30", "dbp_lag1",
          "dbp_mean7", "gap_mean24", "age", "is_male"]
@@ -440,7 +440,14 @@ def walk_forward_parity(spark, sf) -> DataFrame:
         F.count("*").alias("n"), r(F.avg(F.abs(F.col("sbp_mean7") - F.col("actual")))).alias("serve_mae"))
 
 
-@query("cold_start_curve")
+@query("cold_start_curve", sql(SQL_PRIOR + f""",
+cb AS (SELECT series_id, np, count(*) AS n, quantile_cont(sbp, 0.9) AS personal, stddev_samp(sbp) AS sd, min(cohort_key) AS cohort_key
+  FROM ep, (SELECT unnest({list(CFG.cold_probe)}) AS np) WHERE step < np GROUP BY 1, 2 HAVING count(*) = np),
+ct AS (SELECT np, sd, CASE WHEN n < {CFG.cold_start_min} THEN 'cold_start' WHEN n < {CFG.steady_state} THEN 'bootstrapping' ELSE 'steady' END AS tier,
+  140 + least(greatest(CASE WHEN n >= 5 THEN n / (n + CAST(30 AS DOUBLE)) * personal + (1 - n / (n + CAST(30 AS DOUBLE))) * coalesce(cohort, g)
+    ELSE coalesce(cohort, g) END - 140, -25), 15) AS t
+  FROM cb CROSS JOIN gp LEFT JOIN pr ON cb.cohort_key = pr.cohort_key)""", f"""
+SELECT CAST(np AS INTEGER) AS n_readings, tier, count(*) AS n_series, {sr('avg(t)')} AS threshold, {sr('avg(2.5631 * sd)')} AS band_width FROM ct GROUP BY 1, 2"""))
 def cold_start_curve(spark, sf) -> DataFrame:
     """What a series gets after its first n rows: confidence tier, threshold, width of the recent band."""
     from seriesloom.operators.serving import confidence_tier
@@ -456,8 +463,8 @@ def cold_start_curve(spark, sf) -> DataFrame:
     j = attach_row(per.withColumn("cohort_key", cohort_key("age", "is_male")).join(F.broadcast(c.drop("warm")), "cohort_key", "left"), g.drop("warm"))
     j = j.withColumn("cohort_q900", F.coalesce("cohort_q900", "global_q900"))
     j = j.withColumn("threshold", O.cap(O.blend("n", "personal", "cohort_q900", CFG.shrink_k), CFG)).withColumn("tier", confidence_tier("n", CFG))
-    return j.groupBy("n_readings", "tier").agg(F.count("*").alias("n_series"), F.avg("threshold").alias("threshold"),
-                                               F.avg(2.5631 * F.col("sd")).alias("band_width"))
+    return j.groupBy("n_readings", "tier").agg(F.count("*").alias("n_series"), r(F.avg("threshold")).alias("threshold"),
+                                               r(F.avg(2.5631 * F.col("sd"))).alias("band_width"))
 
 
 @query("learned_thresholds")
