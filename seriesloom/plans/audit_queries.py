@@ -511,7 +511,8 @@ def report_verification(spark, sf) -> DataFrame:
 
 @query("row_overlap", sql(SQL_EVENT_PANEL, """
 SELECT CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE split <> 'train') AS BIGINT) AS n_scored,
-  CAST(0 AS BIGINT) AS n_shared FROM ep"""))
+  (SELECT count(*) FROM (SELECT series_id, step FROM ep WHERE split = 'train' INTERSECT SELECT series_id, step FROM ep WHERE split <> 'train')) AS n_shared
+FROM ep"""))
 def row_overlap(spark, sf) -> DataFrame:
     """No scored row is a training row."""
     lanes = event_panel(spark, sf)

@@ -375,11 +375,14 @@ def classifier_labels(spark, sf) -> DataFrame:
                                        F.count_if("trainable").alias("trainable"))
 
 
-@query("provenance", """
-SELECT 'cohorts_disjoint' AS "check", CAST(0 AS BIGINT) AS n_offending, 1 AS holds
-UNION ALL SELECT 'real_alerts_are_real', 0, 1
-UNION ALL SELECT 'other_alerts_are_other', (SELECT count(DISTINCT o_custkey) FROM orders), 0
-UNION ALL SELECT 'no_other_id_in_real_alerts', 0, 1""")
+@query("provenance", sql(SQL_EVENT_PANEL + "," + base_sql("ep", "step") + """,
+ids AS (SELECT DISTINCT 'real' AS kind, CAST(series_id AS VARCHAR) AS id FROM al UNION ALL SELECT DISTINCT 'other', concat('s', s_suppkey) FROM supplier
+  UNION ALL SELECT DISTINCT 'real_alerts', CAST(series_id AS VARCHAR) FROM al WHERE v IS NOT NULL UNION ALL SELECT DISTINCT 'other_alerts', concat('c', o_custkey) FROM orders),
+ch AS (SELECT unnest([{'c': 'cohorts_disjoint', 'l': 'real', 'r': 'other', 'bad': true}, {'c': 'real_alerts_are_real', 'l': 'real_alerts', 'r': 'real', 'bad': false},
+  {'c': 'other_alerts_are_other', 'l': 'other_alerts', 'r': 'other', 'bad': false}, {'c': 'no_other_id_in_real_alerts', 'l': 'real_alerts', 'r': 'other', 'bad': true}]) AS t),
+of AS (SELECT t.c AS c, count(a.id) FILTER (WHERE (b.id IS NOT NULL) = t.bad) AS n FROM ch LEFT JOIN ids a ON a.kind = t.l LEFT JOIN ids b ON b.kind = t.r AND b.id = a.id
+  GROUP BY 1)""", """
+SELECT c AS "check", n AS n_offending, CAST(n = 0 AS INTEGER) AS holds FROM of"""))
 def provenance_query(spark, sf) -> DataFrame:
     """Event series against suppliers under a prefix; alerts of the second cohort deliberately carry foreign ids."""
     lanes, al = event_alerts(spark, sf)
