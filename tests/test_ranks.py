@@ -52,3 +52,33 @@ def test_a_constant_column_correlates_with_nothing(spark, table):
     got = {(r.a, r.b): r.r for r in A.correlation_matrix(df, ["zero", "third", "many", "few"]).collect()}
     assert all(r is None for (a, _), r in got.items() if a in ("zero", "third"))
     assert abs(got["many", "few"] - table["many"].corr(table["few"])) < 1e-9
+
+
+def test_spearman_moves_values_once_per_column_not_per_pair(spark, table):
+    plan = A.spearman(spark.createDataFrame(table), FEATURES, TARGETS)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+
+
+@pytest.mark.parametrize("lane", [1_000_000, 100])
+def test_spearman_over_blocks_with_holes_at_their_ends(spark, monkeypatch, lane):
+    """Warming features, targets ahead of the last rows, blocks without any value, infinities, both zeros."""
+    monkeypatch.setattr(A, "LANE_ROWS", lane)
+    r = np.random.default_rng(8)
+    n = 5000
+    at = np.arange(n) % 40
+    d = pd.DataFrame({"many": r.normal(size=n), "few": r.integers(-3, 3, n) * 0.5, "same": 1.0, "flag": r.integers(0, 2, n) * -0.0})
+    d["holes"] = d["many"].where(at > 6)
+    d["empty"] = d["few"].where(at > 6)
+    d["t1"] = (d["many"] + d["few"] + r.normal(size=n)).where(at < 39)
+    d["t2"] = (d["t1"].round(1)).where(at < 37)
+    d.loc[3000:4999, :] = np.nan
+    df = spark.createDataFrame(d).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in d.columns]).withColumn("many", F.coalesce("many", F.lit(float("inf"))))
+    got = {(x.feature, x.target): (x.n, x.rho) for x in A.spearman(df.repartition(2), FEATURES, TARGETS).collect()}
+    assert got.keys() == plain(d).keys()
+    for k, (rows, rho) in plain(d).items():
+        assert got[k][0] == rows and (got[k][1] is None if rho is None else abs(got[k][1] - rho) < 1e-9)
+
+
+def test_spearman_without_any_pair(spark):
+    df = spark.createDataFrame([(None, 1.0), (2.0, None)], "x double, y double")
+    assert A.spearman(df, ["x"], ["y"]).collect() == [] and A.spearman(df.limit(0), ["x"], ["y"]).collect() == []
