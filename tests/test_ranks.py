@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions import lanes, skew
+from seriesloom.operators import selection as X
 from seriesloom.operators import stats as A
 
 FEATURES, TARGETS = ["few", "many", "same", "holes", "flag", "empty"], ["t1", "t2"]
@@ -82,3 +83,13 @@ def test_spearman_over_blocks_with_holes_at_their_ends(spark, monkeypatch, lane)
 def test_spearman_without_any_pair(spark):
     df = spark.createDataFrame([(None, 1.0), (2.0, None)], "x double, y double")
     assert A.spearman(df, ["x"], ["y"]).collect() == [] and A.spearman(df.limit(0), ["x"], ["y"]).collect() == []
+
+
+def test_relevance_moves_values_once_per_column_and_weighs_both_correlations(spark, table):
+    df = spark.createDataFrame(table).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in table.columns])
+    got = X.relevance(df, FEATURES, TARGETS)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    pearson = {(f, t): table[f].corr(table[t]) for f in FEATURES for t in TARGETS if table[f].std() > 0}
+    want = {f: max([abs(v or 0.0) for (g, t), (n, rho) in plain(table).items() if g == f and n >= 200
+                    for v in (rho, pearson.get((f, t)))], default=0.0) for f in FEATURES}
+    assert {x.feature: round(x.relevance, 9) for x in got.collect()} == {f: round(v, 9) for f, v in want.items()}
