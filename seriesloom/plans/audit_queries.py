@@ -205,7 +205,9 @@ def drift_monitor(spark, sf) -> DataFrame:
     """Feature drift of the test tail against train, most moved first."""
     f = W.build_features(event_panel(spark, sf), EVENT_CONFIG)
     names = [f"{s}_{n}" for s in ("sbp", "dbp") for n in ("lag1", "mean7", "mean14", "std7", "slope7", "z", "ewm30")]
-    scores = A.psi(f.where("split = 'train'"), f.where("split = 'test'"), [*names, "gap_mean24"], bound=event_rows(spark, sf))
+    names = [*names, "gap_mean24"]
+    f = pin(f.where("split IN ('train', 'test')").select("split", *names))                 # edges and counts scan it
+    scores = A.psi(f.where("split = 'train'"), f.where("split = 'test'"), names, bound=event_rows(spark, sf))
     return A.drift_report(scores).withColumn("response", A.response("status"))
 
 
