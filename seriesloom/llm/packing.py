@@ -38,6 +38,23 @@ def _sentence_ends(tokenizer) -> np.ndarray:
     return ends
 
 
+def _byte_signs() -> dict[int, str]:
+    """Latin-1 letters as the signs that stand for their UTF-8 bytes in a byte-level vocabulary."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+    return {c: "".join(signs[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_AS_BYTES = _byte_signs()
+
+
+def _stretches(flat: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` from start[i] to start[i + 1] for every i of ``at``, joined, and their offsets."""
+    first, count = start[at], start[at + 1] - start[at]
+    offsets = np.append(0, np.cumsum(count))
+    return flat[np.repeat(first - offsets[:-1], count) + np.arange(offsets[-1])], offsets
+
+
 class Encoder:
     """Token ids of whole texts, word by word with a cache: this tokenizer's tokens never span a space or a line feed."""
 
@@ -46,10 +63,19 @@ class Encoder:
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.ends = _sentence_ends(self.tokenizer)
         self.tails = {t: array("I", self.tokenizer.encode(t, add_special_tokens=False).ids) for t in ("", ",", ".")}
-        self.forget()
+        self.known, self.asked = {}, np.zeros(0, np.int64)      # a word's number, how often a number was asked for
+        self.ids, self.start = array("I"), array("q", [0])
 
     def forget(self) -> None:
-        self.known, self.ids, self.start = {}, array("I"), array("q", [0])
+        """All words but the half of ``cached`` that were asked for most often, and at least twice."""
+        kept = np.argsort(-self.asked, kind="stable")[:self.cached // 2]
+        kept = np.sort(kept[self.asked[kept] > 1])
+        words = list(self.known)
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.uint32)
+        ids, offsets = _stretches(flat, start, kept)
+        self.known = {words[k]: i for i, k in enumerate(kept.tolist())}
+        self.asked = self.asked[kept] // 2
+        self.ids, self.start = array("I", ids.tobytes()), array("q", offsets.astype(np.int64).tobytes())
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids with a closing END per text; null is empty."""
@@ -92,29 +118,41 @@ class Encoder:
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = list(dict.fromkeys(words[i] for i in missing))
-            for i in range(0, len(new), 4096):
-                self._learn(new[i:i + 4096])
-            at[missing] = [self.known[words[i]] for i in missing]
-        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.uint32)
-        first, count = start[at], start[at + 1] - start[at]
-        offsets = np.append(0, np.cumsum(count))
-        return flat[np.repeat(first - offsets[:-1], count) + np.arange(offsets[-1])], offsets
+            unknown = [words[i] for i in missing]
+            self._learn(list(dict.fromkeys(unknown)))
+            at[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+        asked = np.bincount(at, minlength=len(self.known))
+        asked[:len(self.asked)] += self.asked
+        self.asked = asked
+        return _stretches(np.frombuffer(self.ids, np.uint32), np.frombuffer(self.start, np.int64), at)
 
     def _learn(self, words: list[str]) -> None:
-        """A final comma or full stop after a letter is a token of its own and the first letter's case does not matter."""
-        stems = {}
+        """A word of Latin-1 letters is one piece of the model, in lower case; a comma or full stop behind it is a token of its own.
+
+        All other words take the tokenizer's whole way.
+        """
+        tokenize, known = self.tokenizer.model.tokenize, self.known
+        other = []
         for word in words:
-            tail = word[-1:] if word[-1:] in ",." and word[-2:-1].isalpha() else ""
-            stem = word[:len(word) - len(tail)]
-            stems[word] = (stem[:1].lower() + stem[1:] if "A" <= stem[:1] <= "Z" else stem, tail)
-        new = [stem for stem in dict.fromkeys(stem for stem, _ in stems.values()) if stem not in self.known]
-        for stem, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self._add(stem, found.ids)
-        for word, (stem, tail) in stems.items():
-            if word not in self.known:
-                at = self.known[stem]
-                self._add(word, self.ids[self.start[at]:self.start[at + 1]] + self.tails[tail])
+            stem = word[:-1] if word[-1:] in (",", ".") else word
+            if not (stem.isalpha() and (stem.isascii() or max(stem) <= "\xff")):
+                other.append(word)
+                continue
+            tail, stem = word[len(stem):], stem.lower()
+            at = known.get(stem)
+            if at is None:
+                piece = stem if stem.isascii() else stem.translate(_AS_BYTES)
+                ids = array("I", [t.id for t in tokenize(piece)])
+                if tail or word != stem:
+                    self._add(stem, ids)
+            else:
+                ids = self.ids[self.start[at]:self.start[at + 1]]
+            if word not in known:
+                self._add(word, ids + self.tails[tail])
+        for i in range(0, len(other), 4096):
+            some = other[i:i + 4096]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self._add(word, found.ids)
 
     def _add(self, word: str, ids) -> None:
         self.known[word] = len(self.known)

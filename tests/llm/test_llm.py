@@ -188,6 +188,26 @@ def test_packing(docs):
         assert at <= 2048
 
 
+def test_words_are_encoded_as_by_the_tokenizer():
+    """Letters of Latin-1 take the model's short way; a mark behind a capital may compose only after lowering."""
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(tokenizer_path())
+    texts = ["Él, cióN. STRASSE Straße. ÿ ª µ Æ×. J\u030c H\u0331. \u0130x, don't DON'T. <|STARTOFTEXT|> a., ,. x2. \u03a3\u03a3", "\n\tWord word, Word. WORD,"]
+    got = packing.Encoder(tokenizer_path()).encode([*texts, None])
+    assert [g.tolist() for g in got] == [*(whole.encode(t, add_special_tokens=False).ids + [1] for t in texts), [1]]
+
+
+def test_a_full_cache_of_words_keeps_the_frequent_ones(monkeypatch):
+    encoder = packing.Encoder(tokenizer_path(), cached=64)
+    rare = [" ".join(f"{a}{b}{c}zq" for a in "bcdfg" for b in "aeiou" for c in s) for s in "hjklmn"]
+    for text in rare:
+        encoder.encode([f"the river the river {text} the"])
+    taught, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (taught.extend(words), learn(words))[1])
+    encoder.encode(["the river " + " ".join(f"{a}xq" for a in "bcdfg")])
+    assert "bxq" in taught and "the" not in taught and "river" not in taught and len(encoder.known) < 64
+
+
 def test_cuts_have_least_cost():
     rng = np.random.default_rng(1)
     at = np.unique(rng.integers(1, 9000, 400)).tolist()
