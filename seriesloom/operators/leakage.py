@@ -51,7 +51,7 @@ def structural_audit(frame: DataFrame, features: Sequence[str], signal="sbp", ho
         *[F.avg(F.col(f"y_{signal}_h{h}").isNotNull().cast("double")).alias(f"cov{h}") for h in horizons],
         *[F.count(f).alias(f"_n{i}") for i, f in enumerate(features)], F.count("*").alias("_rows"))
     one = one.withColumn("density", F.array_min(F.array(*[F.col(f"_n{i}") for i in range(len(features))])) / F.col("_rows"))
-    twins = correlation_matrix(frame, [*features, signal]).where(F.col("b") == signal).agg(
+    twins = correlation_matrix(frame, [*features, signal], last=1).where(F.col("b") == signal).agg(
         F.coalesce(F.max(F.abs("r")), F.lit(0.0)).alias("copy"))
     one = attach_row(attach_row(attach_row(one, twins), lagged), order)
     c = F.col
